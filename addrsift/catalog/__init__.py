@@ -2,7 +2,7 @@
 
 
 def _load():
-    from . import base, extraction, statistics  # noqa: F401
+    from . import base, extraction, statistics, enrichment  # noqa: F401
 
     return base
 

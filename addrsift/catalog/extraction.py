@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import times as T
 from ..operators import entries as E
 from .base import query
-from .checks import DATED, ENTRIES, FAILED, HITS, LINES, V4, V6, dated, exploded, with_
+from .checks import ENTRIES, FAILED, HITS, LINES, V4, V6, dated, exploded, with_
 from .inputs import NOW, check_sql, frame, log_lines, table
 
 START, END = 1704844800, 1705708800  # 2024-01-10 and 2024-01-20, 00:00:00 UTC
@@ -262,7 +262,7 @@ def time_expr_column(spark, sf_dir):
     return texts.select("event_id", T.time_expr_ts("time_text", NOW).alias("stamp"))
 
 
-@query(with_(_TIMES, """bounds AS (SELECT event_id, CASE WHEN trim(time_text) <> '' THEN stamp END AS s,
+@query(with_(_TIMES, """, bounds AS (SELECT event_id, CASE WHEN trim(time_text) <> '' THEN stamp END AS s,
     CASE WHEN event_id % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE 1706000000 END AS e,
     event_id % 5 = 1 AS no_comma, stamp IS NULL AS bad FROM timed)
   SELECT event_id, CASE WHEN ok THEN s END AS start_ts, CASE WHEN ok THEN e END AS end_ts
@@ -273,9 +273,8 @@ def time_range_column(spark, sf_dir):
         .when(F.col("event_id") % 5 == 1, F.lit(" 1706000000"))
         .otherwise(F.lit(",1706000000 "))
     )
-    texts = frame(spark, sf_dir, "time_texts").select(
-        "event_id", T.time_range(F.concat("time_text", tail), NOW).alias("r")
-    )
+    texts = frame(spark, sf_dir, "time_texts").withColumn("range", F.concat("time_text", tail))
+    texts = texts.select("event_id", T.time_range("range", NOW).alias("r"))
     return texts.select("event_id", "r.start_ts", "r.end_ts")
 
 

@@ -40,86 +40,63 @@ def search_flag(
 #
 # A matched text is cut at fixed offsets and turned into seconds by arithmetic
 # from the first day of its month, so that 2024-02-31 becomes 2 March.  Text
-# that fails its range checks falls through to the next pattern.
+# that fails its range checks falls through to the next pattern.  The expression
+# is written as SQL text: it is parsed once instead of built call by call.
 
 
-def _num(text: Column, start: int, length: int) -> Column:
-    return F.substring(text, start, length).try_cast("bigint")
+def _num(start: int, length: int) -> str:
+    return f"try_cast(substring(t, {start}, {length}) AS BIGINT)"
 
 
-def _seconds(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-    ok = (
-        mo.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59)
-        & s.between(0, 60)
-    )
-    days = F.unix_date(F.make_date(y.cast("int"), mo.cast("int"), F.lit(1))) + d - 1
-    return F.when(ok, days * 86400 + h * 3600 + mi * 60 + s)
-
-
-def _clock(text: Column) -> tuple[Column, Column, Column]:
-    """The hh:mm:ss at the end of a match."""
-    return _num(text, -8, 2), _num(text, -5, 2), _num(text, -2, 2)
-
-
-def _month(name: Column) -> Column:
-    table = F.array(*[F.lit(m) for m in P.MONTHS])
-    return F.array_position(table, F.lower(name))
-
-
-def _iso_seconds(text: Column) -> Column:
-    return _seconds(_num(text, 1, 4), _num(text, 6, 2), _num(text, 9, 2), *_clock(text))
-
+def _month(start: int) -> str:
+    names = ", ".join(f"'{m}'" for m in P.MONTHS)
+    return f"array_position(array({names}), lower(substring(t, {start}, 3)))"
 
-def _apache_seconds(text: Column) -> Column:
-    month = _month(F.substring(text, 4, 3))
-    return _seconds(_num(text, 8, 4), month, _num(text, 1, 2), *_clock(text))
 
+_CLOCK = (_num(-8, 2), _num(-5, 2), _num(-2, 2))
+_MIDNIGHT = ("0L", "0L", "0L")
 
-def _syslog_seconds(text: Column, year: int) -> Column:
-    day = F.regexp_extract(text, r"^...\s+(\d+)", 1).try_cast("bigint")
-    return _seconds(F.lit(year), _month(F.substring(text, 1, 3)), day, *_clock(text))
 
-
-def _date_seconds(text: Column) -> Column:
-    zero = F.lit(0)
-    return _seconds(_num(text, 1, 4), _num(text, 6, 2), _num(text, 9, 2), zero, zero, zero)
+def _seconds(y: str, mo: str, d: str, h: str, mi: str, s: str) -> str:
+    return (
+        f"CASE WHEN {mo} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31 AND {h} BETWEEN 0 AND 23"
+        f" AND {mi} BETWEEN 0 AND 59 AND {s} BETWEEN 0 AND 60"
+        f" THEN (unix_date(make_date(CAST({y} AS INT), CAST({mo} AS INT), 1)) + {d} - 1) * 86400"
+        f" + {h} * 3600 + {mi} * 60 + {s} END"
+    )
 
 
-def _dates(line: Column, assume_year: int | None) -> list[Column]:
-    """struct(date_string, ts) or null for each of the five patterns, in order.
+def dates_sql(line: str, assume_year: int | None = None) -> str:
+    """SQL of struct(date_string, ts), or null, for the SQL expression ``line``.
 
-    The match is bound to a lambda variable, so it is computed once per pattern no
+    The match ``t`` is a lambda variable, so it is computed once per pattern no
     matter how often its parts are used or how a filter on ``ts`` is moved about.
     """
-    year = P.YEARLESS if assume_year is None else assume_year
+    year = f"{P.YEARLESS if assume_year is None else int(assume_year)}L"
+    ymd = (_num(1, 4), _num(6, 2), _num(9, 2))
+    syslog_day = r"try_cast(regexp_extract(t, r'^...\s+(\d+)', 1) AS BIGINT)"
     parsers = [
-        (P.DATE_SPACE, _iso_seconds),
-        (P.DATE_T, _iso_seconds),
-        (P.DATE_APACHE, _apache_seconds),
-        (P.DATE_SYSLOG, lambda t: _syslog_seconds(t, year)),
-        (P.DATE_ONLY, _date_seconds),
+        (P.DATE_SPACE, _seconds(*ymd, *_CLOCK)),
+        (P.DATE_T, _seconds(*ymd, *_CLOCK)),
+        (P.DATE_APACHE, _seconds(_num(8, 4), _month(4), _num(1, 2), *_CLOCK)),
+        (P.DATE_SYSLOG, _seconds(year, _month(1), syslog_day, *_CLOCK)),
+        (P.DATE_ONLY, _seconds(*ymd, *_MIDNIGHT)),
     ]
-
-    def found(pattern, parse):
-        def dated(text):
-            return F.when(
-                text != "", F.struct(text.alias("date_string"), parse(text).alias("ts"))
-            )
-
-        matches = F.transform(F.array(F.regexp_extract(line, pattern, 1)), dated)
-        return F.get(F.filter(matches, lambda d: d["ts"].isNotNull()), F.lit(0))
-
-    return [found(pattern, parse) for pattern, parse in parsers]
+    found = [
+        f"get(filter(transform(array(regexp_extract({line}, r'{pattern}', 1)),"
+        f" t -> if(t <> '', named_struct('date_string', t, 'ts', {value}), null)),"
+        f" d -> d.ts IS NOT NULL), 0)"
+        for pattern, value in parsers
+    ]
+    return f"coalesce({', '.join(found)})"
 
 
-def extract_date(line: Column | str, assume_year: int | None = None) -> Column:
+def extract_date(line: str = "value", assume_year: int | None = None) -> Column:
     """struct(date_string, ts): the first time stamp of a line in pattern order.
 
-    ``date_string`` is null and ``ts`` is 0 where there is none.  Zone marks are
-    ignored.  Dates without a year belong to 1900 unless ``assume_year`` is set,
-    so their ``ts`` is negative.
+    ``line`` is a column name or SQL expression.  ``date_string`` is null and
+    ``ts`` is 0 where there is none.  Zone marks are ignored.  Dates without a year
+    belong to 1900 unless ``assume_year`` is set, so their ``ts`` is negative.
     """
-    none = F.struct(
-        F.lit(None).cast("string").alias("date_string"), F.lit(0).cast("bigint").alias("ts")
-    )
-    return F.coalesce(*_dates(_col(line), assume_year), none)
+    none = "named_struct('date_string', CAST(null AS STRING), 'ts', 0L)"
+    return F.expr(f"coalesce({dates_sql(line, assume_year)}, {none})")

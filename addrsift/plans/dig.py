@@ -98,7 +98,8 @@ class Options:
 
 def time_bounds(spark, text: str, now: int) -> dict[str, int | None]:
     """``start_ts`` and ``end_ts`` options of a ``from,to`` text; wrong text is an error."""
-    row = spark.range(1).select(times.time_range(F.lit(text), now, strict=True).alias("r")).first()
+    given = spark.range(1).select(F.lit(text).alias("text"))
+    row = given.select(times.time_range("text", now, strict=True).alias("r")).first()
     return {"start_ts": row.r.start_ts, "end_ts": row.r.end_ts}
 
 
