@@ -31,7 +31,7 @@ def cidr_match_v4(spark, sf_dir):
     return frame(spark, sf_dir, "address_pool").select(
         "event_id", "ip4", "net4",
         NF.cidr_match("ip4", "net4").alias("inside"),
-        NF.cidr_match("ip4", F.substring_index("net4", "/", 1)).alias("same"),
+        NF.cidr_match("ip4", "substring_index(net4, '/', 1)").alias("same"),
     )
 
 

@@ -3,6 +3,9 @@
 An address is (family, hi, lo): IPv4 in ``lo`` alone, IPv6 as two signed 64-bit
 halves.  Masking two numbers is all a prefix match needs, and the masked numbers
 are fixed-width join keys.
+
+Arguments are column names or SQL expressions.  Intermediate values are bound to
+lambda variables in the SQL text, so each is computed once.
 """
 
 from __future__ import annotations
@@ -10,106 +13,113 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .addresses import _col
-
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-_V4_TEXT = rf"^{_V4}$"
 _V4_TAIL = rf"^(.*:)({_V4})$"
 _GROUPS = r"^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"
 
 
-def _v4_number(text: Column) -> Column:
-    part = [F.split_part(text, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``value``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _v4_number(text: str) -> str:
+    part = [f"CAST(split_part({text}, '.', {i}) AS BIGINT)" for i in (1, 2, 3, 4)]
+    return f"({part[0]} * 16777216 + {part[1]} * 65536 + {part[2]} * 256 + {part[3]})"
 
 
-def _v6_groups(text: Column) -> Column:
-    """Eight colon-separated groups of an IPv6 text; null if it is none."""
-    low = F.lower(text)
-    tail = _v4_number(F.regexp_extract(low, _V4_TAIL, 2))
-    folded = F.when(
-        low.rlike(_V4_TAIL),
-        F.concat(
-            F.regexp_extract(low, _V4_TAIL, 1),
-            F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"),
-            F.lower(F.hex(tail.bitwiseAND(65535))),
-        ),
-    ).otherwise(low)
+def _half(first: int) -> str:
+    number = [f"CAST(conv(g[{first + i}], 16, 10) AS BIGINT)" for i in range(4)]
+    return (
+        f"(shiftleft({number[0]}, 48) | shiftleft({number[1]}, 32)"
+        f" | shiftleft({number[2]}, 16) | {number[3]})"
+    )
+
+
+def _v6_key(ip: str) -> str:
+    """Struct of an IPv6 text in any notation; null if it is none."""
+    dotted = _let(
+        "n", _v4_number(f"regexp_extract(low, r'{_V4_TAIL}', 2)"),
+        f"concat(regexp_extract(low, r'{_V4_TAIL}', 1), lower(hex(shiftright(n, 16))), ':', lower(hex(n & 65535)))",
+    )
+    folded = f"CASE WHEN low RLIKE r'{_V4_TAIL}' THEN {dotted} ELSE low END"
     # "::" stands for at least one group of zeros
-    left = F.substring_index(folded, "::", 1)
-    right = F.substr(folded, F.instr(folded, "::") + 2)
-    count = lambda side: F.when(side == "", 0).otherwise(F.size(F.split(side, ":")))
-    missing = 8 - count(left) - count(right)
-    zeros = F.repeat(F.lit("0:"), missing)
-    filled = F.concat(
-        F.when(left == "", "").otherwise(F.concat(left, F.lit(":"))),
-        F.when(right == "", F.rtrim(zeros, F.lit(":"))).otherwise(F.concat(zeros, right)),
+    sides = (
+        "named_struct('l', substring_index(f, '::', 1), 'r', substring(f, instr(f, '::') + 2))"
+    )
+    missing = "8 - if(s.l = '', 0, size(split(s.l, ':'))) - if(s.r = '', 0, size(split(s.r, ':')))"
+    zeros = "repeat('0:', m)"
+    filled = (
+        f"CASE WHEN m >= 1 THEN concat(if(s.l = '', '', concat(s.l, ':')),"
+        f" if(s.r = '', trim(TRAILING ':' FROM {zeros}), concat({zeros}, s.r))) END"
     )
-    whole = F.when(folded.contains("::"), F.when(missing >= 1, filled)).otherwise(folded)
-    return F.when(whole.rlike(_GROUPS), F.split(whole, ":"))
+    expanded = _let("s", sides, _let("m", missing, filled))
+    whole = f"CASE WHEN contains(f, '::') THEN {expanded} ELSE f END"
+    groups = _let("w", whole, f"CASE WHEN w RLIKE r'{_GROUPS}' THEN split(w, ':') END")
+    key = (
+        f"CASE WHEN g IS NOT NULL THEN named_struct('family', 6, 'hi', {_half(0)}, 'lo', {_half(4)}) END"
+    )
+    return _let("low", f"lower({ip})", _let("f", folded, _let("g", groups, key)))
 
 
-def _half(groups: Column, first: int) -> Column:
-    number = [
-        F.conv(F.get(groups, F.lit(first + i)), 16, 10).try_cast("bigint") for i in range(4)
-    ]
+def _key(ip: str) -> str:
     return (
-        F.shiftleft(number[0], 48)
-        .bitwiseOR(F.shiftleft(number[1], 32))
-        .bitwiseOR(F.shiftleft(number[2], 16))
-        .bitwiseOR(number[3])
+        f"CASE WHEN {ip} RLIKE r'^{_V4}$' THEN named_struct('family', 4, 'hi', 0L, 'lo', {_v4_number(ip)})"
+        f" WHEN contains({ip}, ':') THEN {_v6_key(ip)} END"
     )
 
 
-def address_key(ip: Column | str) -> Column:
-    """struct(family, hi, lo); null for text that is no address.
+def _cut(key: str, plen: str) -> str:
+    """Struct (family, plen, hi, lo) of a key struct cut to ``plen`` bits."""
+    low_bits = f"(if({key}.family = 4, 32, 128) - {plen})"
+    hi_mask = (
+        f"CASE WHEN {plen} <= 0 THEN 0L WHEN {plen} >= 64 THEN -1L ELSE shiftleft(-1L, 64 - {plen}) END"
+    )
+    lo_mask = (
+        f"CASE WHEN {low_bits} <= 0 THEN -1L WHEN {low_bits} >= 64 THEN 0L"
+        f" ELSE shiftleft(-1L, {low_bits}) END"
+    )
+    return (
+        f"named_struct('family', {key}.family, 'plen', {plen},"
+        f" 'hi', {key}.hi & {hi_mask}, 'lo', {key}.lo & {lo_mask})"
+    )
 
-    Octets with leading zeros are not addresses here.
-    """
-    ip = _col(ip)
-    groups = _v6_groups(F.when(ip.contains(":"), ip))
-    zero = F.lit(0).cast("bigint")
-    v4 = F.struct(F.lit(4).alias("family"), zero.alias("hi"), _v4_number(ip).alias("lo"))
-    v6 = F.struct(F.lit(6).alias("family"), _half(groups, 0).alias("hi"), _half(groups, 4).alias("lo"))
-    return F.when(ip.rlike(_V4_TEXT), v4).when(groups.isNotNull(), v6)
 
+def _network(network: str) -> str:
+    plen = rf"try_cast(regexp_extract({network}, r'^[^/]*/(\d{{1,3}})$', 1) AS INT)"
+    body = f"CASE WHEN k.family IS NOT NULL AND p <= if(k.family = 4, 32, 128) THEN {_cut('k', 'p')} END"
+    return _let("k", _key(f"substring_index({network}, '/', 1)"), _let("p", plen, body))
 
-def masked(family: Column, hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
-    """The halves of an address cut to ``plen`` bits."""
-    ones = F.lit(-1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    hi_mask = F.when(plen <= 0, zero).when(plen >= 64, ones).otherwise(_shift(ones, 64 - plen))
-    lo_bits = F.when(family == 4, 32).otherwise(128) - plen
-    lo_mask = F.when(lo_bits <= 0, ones).when(lo_bits >= 64, zero).otherwise(_shift(ones, lo_bits))
-    return hi.bitwiseAND(hi_mask), lo.bitwiseAND(lo_mask)
 
+def address_key(ip: str) -> Column:
+    """struct(family, hi, lo); null for text that is no address.
 
-def _shift(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", value, bits.cast("int"))
+    Octets with leading zeros are not addresses here.
+    """
+    return F.expr(_key(ip))
 
 
-def network_key(network: Column | str) -> Column:
+def network_key(network: str) -> Column:
     """struct(family, plen, hi, lo) of ``address/prefix``, host bits cleared.
 
     Null for text without a prefix, with a prefix out of range or with an address
     that is none.
     """
-    network = _col(network)
-    key = address_key(F.substring_index(network, "/", 1))
-    plen = F.regexp_extract(network, r"^[^/]*/(\d{1,3})$", 1).try_cast("int")
-    limit = F.when(key["family"] == 4, 32).otherwise(128)
-    hi, lo = masked(key["family"], key["hi"], key["lo"], plen)
-    return F.when(
-        key.isNotNull() & plen.isNotNull() & (plen <= limit),
-        F.struct(key["family"].alias("family"), plen.alias("plen"), hi.alias("hi"), lo.alias("lo")),
-    )
+    return F.expr(_network(network))
+
 
+def prefix_key(key: str, plen: str) -> Column:
+    """struct(family, plen, hi, lo) of an :func:`address_key` column cut to ``plen`` bits."""
+    return F.expr(_cut(key, plen))
 
-def cidr_match(ip: Column | str, network: Column | str) -> Column:
+
+def cidr_match(ip: str, network: str) -> Column:
     """Whether ``network`` holds ``ip``; without a prefix, whether the texts are equal."""
-    ip, network = _col(ip), _col(network)
-    a, n = address_key(ip), network_key(network)
-    hi, lo = masked(a["family"], a["hi"], a["lo"], n["plen"])
-    inside = (a["family"] == n["family"]) & (hi == n["hi"]) & (lo == n["lo"])
-    return F.when(network.contains("/"), F.coalesce(inside, F.lit(False))).otherwise(ip == network)
+    inside = _let(
+        "a", _key(ip), _let("n", _network(network),
+        f"a.family = n.family AND {_cut('a', 'n.plen')} = n"),
+    )
+    return F.expr(
+        f"CASE WHEN contains({network}, '/') THEN coalesce({inside}, false) ELSE {ip} = {network} END"
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.networks import address_key, masked, network_key
+from ..functions.networks import address_key, network_key, prefix_key
 from ..session import pinned
 from .joins import BROADCAST_ROWS, lookup_join
 
@@ -24,16 +24,10 @@ _NONE = -1  # prefix length of the row that stands for "no network"
 
 def keyed_networks(networks: DataFrame, values: list[Column], column: str = "network") -> DataFrame:
     """One row per network with the aggregated ``values``; rows that are no network go."""
-    key = F.col("_k")
-    return (
-        networks.withColumn("_k", network_key(column)).where(key.isNotNull())
-        .select(
-            "*",
-            key["family"].alias("_family"), key["plen"].alias("_plen"),
-            key["hi"].alias("_hi"), key["lo"].alias("_lo"),
-        )
-        .groupBy(*_KEY).agg(*values)
-    )
+    # exploding an array without nulls computes a key once and drops rows that have none
+    key = F.explode(F.array_compact(F.array(network_key(column)))).alias("_k")
+    parts = [F.col(f"_k.{name[1:]}").alias(name) for name in _KEY]
+    return networks.select("*", key).select("*", *parts).groupBy(*_KEY).agg(*values)
 
 
 def _profile(table: DataFrame) -> tuple[dict[int, list[int]], int]:
@@ -55,11 +49,14 @@ def _hits(rows: DataFrame, table: DataFrame, lengths: dict[int, list[int]], smal
         .when(family == 6, array(lengths[6]))
         .otherwise(array([]))
     )
-    hi, lo = masked(family, F.col("_a.hi"), F.col("_a.lo"), F.col("_plen"))
     candidates = (
         rows.select("*", address_key("ip").alias("_a"))
-        .select("*", F.explode(plens).alias("_plen"))
-        .select(*rows.columns, family.alias("_family"), "_plen", hi.alias("_hi"), lo.alias("_lo"))
+        .select("*", F.explode(plens).alias("_len"))
+        .select("*", prefix_key("_a", "_len").alias("_c"))
+        .select(
+            *rows.columns, F.col("_c.family").alias("_family"), F.col("_len").alias("_plen"),
+            F.col("_c.hi").alias("_hi"), F.col("_c.lo").alias("_lo"),
+        )
     )
     found = lookup_join(
         candidates, table.withColumn("_hit", F.lit(True)), _KEY, "left",
