@@ -1,12 +1,14 @@
 """Inputs of the registered queries, derived from the given tables by SQL.
 
 The same SQL text builds every input here and in the check, so both sides start
-from equal rows; only date formatting differs by engine.  ``{D:name}`` in a text is
-replaced by the formatting call of the engine.
+from equal rows; only two spellings differ by engine: ``{D:name}`` formats ``ts``
+and ``{each:...}`` repeats a row for each of the values.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +116,8 @@ FROM (
       ELSE '2001:db8:0:0:0:0:' || n_nationkey || ':0/112' END AS network,
     CASE WHEN n_nationkey = 3 THEN NULL WHEN plen = 8 THEN 'US' WHEN plen = 24 THEN 'CH'
       ELSE substr('DEFRUSGBCHNOISLIATBRJPNLSEPLESITCAAUINCNZADKFIIEPT', 2 * n_nationkey + 1, 2) END AS cc
-  FROM (SELECT n_nationkey, 8 AS plen FROM {nation} WHERE n_nationkey = 0
-    UNION ALL SELECT n_nationkey, 16 FROM {nation} UNION ALL SELECT n_nationkey, 24 FROM {nation}
-    UNION ALL SELECT n_nationkey, 17 FROM {nation} UNION ALL SELECT n_nationkey, 112 FROM {nation}) p) g"""),
+  FROM (SELECT n_nationkey, {each:8, 16, 24, 17, 112} AS plen FROM {nation}) p
+  WHERE plen <> 8 OR n_nationkey = 0) g"""),
 
     "asn_blocks": (["supplier"], """
 SELECT '8.' || (2 * s_suppkey) || '.0.0/16' AS network, CAST(64500 + s_suppkey AS BIGINT) AS asn,
@@ -246,7 +247,7 @@ def _filled(name: str, engine: int) -> str:
     call = ("date_format(ts, '{}')", "strftime(ts, '{}')")[engine]
     for key, formats in FORMATS.items():
         text = text.replace("{D:" + key + "}", call.format(formats[engine]))
-    return text
+    return re.sub(r"\{each:(.*?)\}", (r"explode(array(\1))", r"unnest([\1])")[engine], text)
 
 
 def check_sql(name: str) -> str:
@@ -261,6 +262,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all slots if the files give fewer partitions than half of them.
+
+    The lines built from the rows are expensive to search, the rows are narrow.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(slots, key) if 2 * rows.rdd.getNumPartitions() <= slots else rows
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input as a DataFrame."""
     tables, _ = INPUTS[name]
@@ -269,7 +279,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in tables:
         # one view per folder, so that sessions may look at several scales
         view = f"addrsift_{t}_{abs(hash(sf_dir))}"
-        table(spark, sf_dir, t).createOrReplaceTempView(view)
+        rows = table(spark, sf_dir, t)
+        if t == "events":
+            rows = spread(rows, "event_id")
+        rows.createOrReplaceTempView(view)
         views[t] = view
     for t, view in views.items():
         text = text.replace("{" + t + "}", view)

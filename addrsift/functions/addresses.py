@@ -12,12 +12,26 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def extract_ipv4(line: Column | str) -> Column:
-    """All IPv4 addresses of a line, in order."""
-    return F.regexp_extract_all(_col(line), F.lit(P.IPV4), F.lit(0))
+def _ipv4_sql(line: str) -> str:
+    return f"regexp_extract_all({line}, r'{P.IPV4}', 0)"
 
 
-def extract_ipv6(line: Column | str, mode: str = "reference") -> Column:
+def _ipv6_sql(line: str, mode: str) -> str:
+    if mode not in ("reference", "full"):
+        raise ValueError(f"ipv6 mode must be 'reference' or 'full', not {mode!r}")
+    pattern = P.IPV6_REFERENCE if mode == "reference" else P.IPV6_FULL
+    return (
+        f"CASE WHEN contains({line}, '::') OR length({line}) - length(replace({line}, ':', '')) >= 7"
+        f" THEN regexp_extract_all({line}, r'{pattern}', 0) ELSE CAST(array() AS ARRAY<STRING>) END"
+    )
+
+
+def extract_ipv4(line: str = "value") -> Column:
+    """All IPv4 addresses of a line, in order; ``line`` is a column name or SQL expression."""
+    return F.expr(_ipv4_sql(line))
+
+
+def extract_ipv6(line: str = "value", mode: str = "reference") -> Column:
     """All IPv6 addresses of a line, in order.
 
     ``mode='reference'`` takes the first alternative that matches, which cuts
@@ -25,21 +39,12 @@ def extract_ipv6(line: Column | str, mode: str = "reference") -> Column:
     Every alternative needs either ``::`` or seven colons, so lines without
     them never reach the regular expression.
     """
-    if mode not in ("reference", "full"):
-        raise ValueError(f"ipv6 mode must be 'reference' or 'full', not {mode!r}")
-    line = _col(line)
-    pattern = P.IPV6_REFERENCE if mode == "reference" else P.IPV6_FULL
-    possible = line.contains("::") | (
-        F.length(line) - F.length(F.replace(line, F.lit(":"), F.lit(""))) >= 7
-    )
-    return F.when(possible, F.regexp_extract_all(line, F.lit(pattern), F.lit(0))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.expr(_ipv6_sql(line, mode))
 
 
-def extract_ips(line: Column | str, ipv6_mode: str = "reference") -> Column:
+def extract_ips(line: str = "value", ipv6_mode: str = "reference") -> Column:
     """IPv4 addresses of a line, then its IPv6 addresses."""
-    return F.concat(extract_ipv4(line), extract_ipv6(line, ipv6_mode))
+    return F.expr(f"concat({_ipv4_sql(line)}, {_ipv6_sql(line, ipv6_mode)})")
 
 
 def is_ipv4(ip: Column | str) -> Column:

@@ -15,7 +15,7 @@ def explode_ips(lines: DataFrame, ipv6_mode: str = "reference", value: str = "va
     The array stays inside the generator, so it is built once per line and lines
     without addresses are gone before any other expression runs.
     """
-    return lines.select("*", F.posexplode(A.extract_ips(F.col(value), ipv6_mode)).alias("pos", "ip"))
+    return lines.select("*", F.posexplode(A.extract_ips(value, ipv6_mode)).alias("pos", "ip"))
 
 
 def with_date(df: DataFrame, value: str = "value", assume_year: int | None = None) -> DataFrame:

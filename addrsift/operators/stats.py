@@ -13,99 +13,67 @@ STATS_COLUMNS = [
 ]
 
 
-def _partials(keep: Column | None) -> list[Column]:
-    """Mergeable aggregates of entries.
-
-    ``_first`` and ``_last`` are the dated entries with the smallest and largest
-    time stamp, the earliest entry winning ties; ``_head`` is the first entry in
-    input order, dated or not.
-    """
-
-    def kept(value: Column, *tests: Column) -> Column:
-        for test in [*tests, *([keep] if keep is not None else [])]:
-            value = F.when(test, value)
-        return value
-
-    dated = F.col("ts") > 0
-    return [
-        F.count(kept(F.lit(1))).alias("_n"),
-        F.min(kept(F.struct("ts", "row_id", "pos", "date_string"), dated)).alias("_first"),
-        F.max(
-            kept(
-                F.struct(
-                    "ts", (-F.col("row_id")).alias("r"), (-F.col("pos")).alias("p"), "date_string"
-                ),
-                dated,
-            )
-        ).alias("_last"),
-        F.min(kept(F.struct("row_id", "pos", "ts", "date_string"))).alias("_head"),
-        F.count(kept(F.lit(1), F.col("login_status") == "success")).alias("_ok"),
-        F.count(kept(F.lit(1), F.col("login_status") == "failed")).alias("_failed"),
-        F.count(kept(F.lit(1), F.col("matches_search"))).alias("_hits"),
-    ]
-
-
-_MERGED = [
-    F.sum, F.min, F.max, F.min, F.sum, F.sum, F.sum,
-]
-
-
-def ip_stats(
-    entries: DataFrame, keep: Column | None = None, ranked: bool = False
-) -> DataFrame:
+# Mergeable aggregates of entries.  ``_first`` and ``_last`` are the dated entries
+# with the smallest and largest time stamp, the earliest entry winning ties;
+# ``_head`` is the first entry in input order, dated or not.
+_PARTIALS = {
+    "_n": "count({kept} 1 {end})",
+    "_first": "min({kept} CASE WHEN ts > 0 THEN struct(ts, row_id, pos, date_string) END {end})",
+    "_last": "max({kept} CASE WHEN ts > 0 THEN"
+    " named_struct('ts', ts, 'r', -row_id, 'p', -pos, 'date_string', date_string) END {end})",
+    "_head": "min({kept} struct(row_id, pos, ts, date_string) {end})",
+    "_ok": "count({kept} CASE WHEN login_status = 'success' THEN 1 END {end})",
+    "_failed": "count({kept} CASE WHEN login_status = 'failed' THEN 1 END {end})",
+    "_hits": "count({kept} CASE WHEN matches_search THEN 1 END {end})",
+}
+_MERGE = {"_first": "min", "_last": "max", "_head": "min"}
+_ALL = "_all"
+
+
+def ip_stats(entries: DataFrame, keep: Column | None = None, ranked: bool = False) -> DataFrame:
     """One row per address: counts, first and last sighting, login and search counts.
 
-    With a ``correlation`` column in use, entries are first reduced per (address,
-    value), so a hot address is spread over its values and only distinct values
-    are gathered per address.  ``keep`` restricts what is counted while all
-    entries are still seen; ``ranked`` then adds ``all_count``, the count without
-    ``keep``, and keeps addresses that have no kept entry.
+    With a ``correlation`` column, entries are first reduced per (address, value),
+    so a hot address is spread over its values and only distinct values are
+    gathered per address.  ``keep`` restricts what is counted while all entries are
+    still seen; ``ranked`` then adds ``all_count``, the count without ``keep``, and
+    keeps addresses that have no kept entry.
     """
     correlated = "correlation" in entries.columns
-    partials = _partials(keep)
-    names = ["_n", "_first", "_last", "_head", "_ok", "_failed", "_hits"]
+    kept, end = "", ""
+    if keep is not None:
+        entries = entries.withColumn("_keep", keep)
+        kept, end = "CASE WHEN _keep THEN", "END"
+    parts = {n: text.format(kept=kept, end=end) for n, text in _PARTIALS.items()}
     if ranked:
-        partials.append(F.count(F.lit(1)).alias("_all"))
-        names.append("_all")
+        parts[_ALL] = "count(1)"
+    aggregates = [F.expr(text).alias(n) for n, text in parts.items()]
+    joined = "CAST(null AS STRING)"
     if correlated:
-        value = F.col("correlation") if keep is None else F.when(keep, F.col("correlation"))
-        merge = [*_MERGED, F.sum]
-        grouped = (
-            entries.withColumn("correlation", value)
-            .groupBy("ip", "correlation").agg(*partials)
-            .groupBy("ip")
-            .agg(
-                *[f(n).alias(n) for n, f in zip(names, merge)],
-                F.array_sort(F.collect_list("correlation")).alias("_values"),
-            )
-        )
-        joined = F.when(F.size("_values") > 0, F.array_join("_values", ", "))
+        if keep is not None:
+            entries = entries.withColumn("correlation", F.expr("CASE WHEN _keep THEN correlation END"))
+        merged = [F.expr(f"{_MERGE.get(n, 'sum')}({n})").alias(n) for n in parts]
+        values = F.expr("array_sort(collect_list(correlation))").alias("_values")
+        grouped = entries.groupBy("ip", "correlation").agg(*aggregates)
+        grouped = grouped.groupBy("ip").agg(*merged, values)
+        joined = "CASE WHEN size(_values) > 0 THEN array_join(_values, ', ') END"
     else:
-        grouped = entries.groupBy("ip").agg(*partials)
-        joined = F.lit(None).cast("string")
-
-    head_ts = F.col("_head.ts")
-    frozen = head_ts < 0  # an undated-year first entry keeps its place as first
-    first_ts = F.when(frozen, head_ts).otherwise(F.coalesce("_first.ts", head_ts))
-    first_seen = (
-        F.when(~frozen & F.col("_first").isNotNull(), F.col("_first.date_string"))
-        .otherwise(F.col("_head.date_string"))
-    )
-    last_seen = F.when(F.col("_last").isNotNull(), F.col("_last.date_string")).otherwise(
-        F.col("_head.date_string")
-    )
-    return grouped.select(
+        grouped = entries.groupBy("ip").agg(*aggregates)
+
+    # a first entry of a year before 1970 keeps its place as first
+    return grouped.selectExpr(
         "ip",
-        first_seen.alias("first_seen"),
-        last_seen.alias("last_seen"),
-        F.col("_n").alias("count"),
-        first_ts.alias("first_ts"),
-        F.coalesce("_last.ts", head_ts).alias("last_ts"),
-        F.col("_ok").alias("login_success_count"),
-        F.col("_failed").alias("login_failed_count"),
-        F.col("_hits").alias("search_hits"),
-        joined.alias("correlation"),
-        *([F.col("_all").alias("all_count")] if ranked else []),
+        "CASE WHEN _head.ts >= 0 AND _first IS NOT NULL THEN _first.date_string"
+        " ELSE _head.date_string END AS first_seen",
+        "CASE WHEN _last IS NOT NULL THEN _last.date_string ELSE _head.date_string END AS last_seen",
+        "_n AS count",
+        "CASE WHEN _head.ts < 0 THEN _head.ts ELSE coalesce(_first.ts, _head.ts) END AS first_ts",
+        "coalesce(_last.ts, _head.ts) AS last_ts",
+        "_ok AS login_success_count",
+        "_failed AS login_failed_count",
+        "_hits AS search_hits",
+        f"{joined} AS correlation",
+        *([f"{_ALL} AS all_count"] if ranked else []),
     )
 
 

@@ -38,11 +38,13 @@ def _core(stats: DataFrame, search_hits: bool) -> list[Column]:
 def _texts(stats: DataFrame, columns: list[str]) -> Column:
     """Enrichment values as text; null (and left out of JSON) if there is none."""
     types = dict(stats.dtypes)
-    parts = [
-        F.format_string("%.6f", c).alias(c) if types[c] == "double" else F.col(c).cast("string").alias(c)
-        for c in columns
-    ]
-    return F.struct(*parts)
+    return F.struct(*[_text(c, types[c]).alias(c) for c in columns])
+
+
+def _text(column: str, kind: str) -> Column:
+    """A value as text, coordinates with six decimals; null stays null."""
+    text = F.format_string("%.6f", column) if kind == "double" else F.col(column).cast("string")
+    return F.when(F.col(column).isNotNull(), text)
 
 
 def stats_records(stats: DataFrame, search_hits: bool = False) -> DataFrame:
@@ -135,7 +137,5 @@ def display_view(
     ]
     types = dict(stats.dtypes)
     for c in enrichment_columns(stats):
-        text = F.format_string("%.6f", c) if types[c] == "double" else F.col(c).cast("string")
-        shown = F.when(F.col(c).isNotNull(), text).otherwise("")
-        columns.append(shown.alias(P.DISPLAY_NAMES.get(c, c)))
+        columns.append(F.coalesce(_text(c, types[c]), F.lit("")).alias(P.DISPLAY_NAMES.get(c, c)))
     return stats.select(*columns)

@@ -96,21 +96,20 @@ def _may_hold_many(path: str) -> bool:
 
 
 def _text_reader(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFrame:
-    path = F.lower(F.col("_metadata.file_path"))
     raw = (
         spark.read.option("lineSep", "\n")
         .option("ignoreCorruptFiles", skip_failing)
         .option("ignoreMissingFiles", skip_failing)
         .text(paths)
-        .where(~path.endswith(".xz"))
     )
-    compressed = F.lower(F.col("_metadata.file_path")).rlike(r"\.(gz|bz2)$")
-    ends_in_cr = compressed & F.col("value").endswith("\r")
-    without_cr = F.substr(F.col("value"), F.lit(1), F.length("value") - 1)
-    return raw.select(
-        F.when(ends_in_cr, without_cr).otherwise(F.col("value")).alias("value"),
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
+    if any(_may_hold_many(p) for p in paths):
+        raw = raw.where("NOT endswith(lower(_metadata.file_path), '.xz')")
+    # compressed files lose one CR per line, plain ones keep it
+    return raw.selectExpr(
+        r"CASE WHEN endswith(value, '\r') AND lower(_metadata.file_path) RLIKE r'\.(gz|bz2)$'"
+        " THEN substr(value, 1, length(value) - 1) ELSE value END AS value",
+        "_metadata.file_path AS file_path",
+        "_metadata.file_block_start AS block_start",
     )
 
 
