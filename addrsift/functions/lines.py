@@ -84,13 +84,23 @@ def dates_sql(line: str, assume_year: int | None = None) -> str:
         (P.DATE_SYSLOG, _seconds(year, _month(1), syslog_day, *_CLOCK)),
         (P.DATE_ONLY, _seconds(*ymd, *_MIDNIGHT)),
     ]
-    found = [
-        f"get(filter(transform(array(regexp_extract({line}, r'{pattern}', 1)),"
-        f" t -> if(t <> '', named_struct('date_string', t, 'ts', {value}), null)),"
-        f" d -> d.ts IS NOT NULL), 0)"
-        for pattern, value in parsers
-    ]
-    return f"coalesce({', '.join(found)})"
+
+    def found(match: str, value: str) -> str:
+        return (
+            f"get(filter(transform(array({match}),"
+            f" t -> if(t <> '', named_struct('date_string', t, 'ts', {value}), null)),"
+            f" d -> d.ts IS NOT NULL), 0)"
+        )
+
+    # Without a date in figures (``iso`` is empty) three of the patterns cannot match.
+    figures = {P.DATE_SPACE, P.DATE_T}
+    steps = []
+    for pattern, value in parsers:
+        match = "iso" if pattern == P.DATE_ONLY else f"regexp_extract({line}, r'{pattern}', 1)"
+        step = found(match, value)
+        steps.append(f"CASE WHEN iso <> '' THEN {step} END" if pattern in figures else step)
+    iso = f"regexp_extract({line}, r'{P.DATE_ONLY}', 1)"
+    return f"get(transform(array({iso}), iso -> coalesce({', '.join(steps)})), 0)"
 
 
 def extract_date(line: str = "value", assume_year: int | None = None) -> Column:

@@ -16,17 +16,18 @@ NOT_BEFORE_WORD = f"(?!{WORD})"
 AFTER_WORD = f"(?<={WORD})"
 BEFORE_WORD = f"(?={WORD})"
 
-IPV4 = f"{NOT_AFTER_WORD}(?:{OCTET}\\.){{3}}{OCTET}{NOT_BEFORE_WORD}"
+# The first lookahead only makes positions that cannot start a match fail at once.
+IPV4 = f"(?=[0-9]){NOT_AFTER_WORD}(?:{OCTET}\\.){{3}}{OCTET}{NOT_BEFORE_WORD}"
 
 # First matching alternative wins, so compressed addresses are cut after "::".
-IPV6_REFERENCE = "|".join([
+IPV6_REFERENCE = "(?=[0-9a-fA-F]{0,4}:)(?:" + "|".join([
     f"{NOT_AFTER_WORD}(?:{HEXTET}:){{7}}{HEXTET}{NOT_BEFORE_WORD}",
     f"{NOT_AFTER_WORD}(?:{HEXTET}:){{1,7}}:{BEFORE_WORD}",
     f"{NOT_AFTER_WORD}(?:{HEXTET}:){{1,6}}:{HEXTET}{NOT_BEFORE_WORD}",
     f"{AFTER_WORD}::(?:{HEXTET}:){{0,5}}{HEXTET}{NOT_BEFORE_WORD}",
     f"{NOT_AFTER_WORD}{HEXTET}::(?:{HEXTET}:){{0,5}}{HEXTET}{NOT_BEFORE_WORD}",
     f"{AFTER_WORD}::ffff:(?:{OCTET}\\.){{3}}{OCTET}{NOT_BEFORE_WORD}",
-])
+]) + ")"
 
 # Longest alternative first: whole compressed addresses.
 IPV6_FULL = (
