@@ -185,9 +185,8 @@ def filter_no_ipv6(spark, sf_dir):
     return _filtered(spark, sf_dir, no_ipv6=True)
 
 
-def _ranged(spark, sf_dir, *args, **options):
-    entries = E.extract_entries(log_lines(spark, sf_dir))
-    kept = E.filter_time_range(entries, *args, **options)
+def _ranged(spark, sf_dir, start, end, include_missing=False):
+    kept = E.extract_entries(log_lines(spark, sf_dir), time_range=(start, end, include_missing))
     return kept.select(F.col("row_id").alias("event_id"), "pos", "ip", "ts")
 
 
@@ -210,6 +209,13 @@ def time_range_include_missing(spark, sf_dir):
     return _ranged(spark, sf_dir, END, None, include_missing=True)
 
 
+@query(_range_check(f"ts <> 0 AND ts >= {END}"))
+def time_range_filter(spark, sf_dir):
+    """The same as a filter over entries."""
+    kept = E.filter_time_range(E.extract_entries(log_lines(spark, sf_dir)), END)
+    return kept.select(F.col("row_id").alias("event_id"), "pos", "ip", "ts")
+
+
 @query(with_(ENTRIES, f"""SELECT count(*) FILTER (WHERE ts = 0 OR ts NOT BETWEEN {START} AND {END}) AS excluded,
   count(*) FILTER (WHERE ts = 0) AS no_timestamp FROM entries"""))
 def time_filter_counts(spark, sf_dir):

@@ -108,33 +108,45 @@ def threat_report(text: Column | str) -> Column:
     )
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cert_date(text: Column | str) -> Column:
     """``Jan 3 06:24:14 2026 GMT`` as ``01/3/2026 06:24``; unknown months leave it as it is."""
-    text = _col(text)
-    word = F.split(F.trim(text, F.lit(_BLANK)), r"\s+")
     names = F.array(*[F.lit(m.capitalize()) for m in P.MONTHS])
-    month = F.array_position(names, F.get(word, 0))
-    clock = F.coalesce(F.get(word, 2), F.lit(""))
-    shown = F.concat(
-        F.lpad(month.cast("string"), 2, "0"), F.lit("/"),
-        F.coalesce(F.get(word, 1), F.lit("")), F.lit("/"),
-        F.coalesce(F.get(word, 3), F.lit("")),
-        F.when(F.length(clock) >= 5, F.concat(F.lit(" "), F.substring(clock, 1, 5))).otherwise(""),
-    )
-    return F.when(month > 0, shown).otherwise(text)
 
+    def word(text: Column, i: int) -> Column:
+        return F.coalesce(F.get(F.split(F.trim(text, F.lit(_BLANK)), r"\s+"), F.lit(i)), F.lit(""))
 
-def _last_line(text: Column, part: str, also: str = "") -> Column:
-    """Last line that holds ``part`` (and matches ``also``)."""
-    lines = F.filter(_lines(text), lambda x: x.contains(part) & x.rlike(also))
-    return F.try_element_at(lines, F.lit(-1))
+    def shown(text: Column) -> Column:
+        month = F.array_position(names, word(text, 0))
+        clock = word(text, 2)
+        day = F.concat_ws("/", F.lpad(month.cast("string"), 2, "0"), word(text, 1), word(text, 3))
+        time = F.when(F.length(clock) >= 5, F.substring(clock, 1, 5))
+        return F.when(month > 0, F.concat_ws(" ", day, time)).otherwise(text)
 
+    return _bound(_col(text), shown)
 
-def _common_name(line: Column) -> Column:
-    named = F.when(line.contains("CN = "), F.substr(line, F.instr(line, "CN = ") + 5)).when(
-        line.contains("CN="), F.substr(line, F.instr(line, "CN=") + 3)
-    )
-    return _some(F.trim(F.substring_index(named, ",", 1), F.lit(_BLANK)))
+
+def _last_value(text: Column, part: str) -> Column:
+    """What follows the first colon of the last line that holds ``part``."""
+    value = F.regexp_extract(text, rf"(?s)^(?:.*\n)?(?=[^\n]*{part})[^\n:]*:([^\n]*)", 1)
+    return F.trim(value, F.lit(_BLANK))
+
+
+def _common_name(text: Column, part: str) -> Column:
+    """Common name in the last line that holds ``part`` and one; ``CN = `` comes before ``CN=``."""
+    line = rf"(?s)^(?:.*\n)?(?=[^\n]*{part})(?=[^\n]*CN(?: = |=))([^\n]*)"
+
+    def name(line: Column) -> Column:
+        spaced = F.regexp_extract(line, "CN = ([^,]*)", 1)
+        tight = F.regexp_extract(line, "CN=([^,]*)", 1)
+        found = F.when(line.contains("CN = "), spaced).otherwise(tight)
+        return _some(F.trim(found, F.lit(_BLANK)))
+
+    return _bound(F.regexp_extract(text, line, 1), name)
 
 
 def certificate(text: Column | str, session: Column | str | None = None) -> Column:
@@ -143,17 +155,16 @@ def certificate(text: Column | str, session: Column | str | None = None) -> Colu
     ``session`` is the text of the handshake, from which ``tls_version`` is read.
     """
     text = _col(text)
-    at = F.instr(text, "Validity")
-    validity = F.when(at > 0, F.substr(text, at))
-    key_line = _last_line(text, "Public-Key:")
+    validity = F.regexp_extract(text, "(?s)(Validity.*)", 1)
+    size = F.regexp_extract(text, r"(?s)^(?:.*\n)?[^\n]*Public-Key:[^\n(]*\(([^\n]*?).bit", 1)
     fields = {
-        "tls_cn": _common_name(_last_line(text, "Subject:", "CN ?=")),
-        "tls_issuer": _common_name(_last_line(text, "Issuer:", "CN ?=")),
-        "tls_algorithm": _some(_after_colon(_last_line(text, "Signature Algorithm:"))),
-        "tls_created": cert_date(_some(_after_colon(_last_line(validity, "Not Before:")))),
-        "tls_expires": cert_date(_some(_after_colon(_last_line(validity, "Not After :")))),
+        "tls_cn": _common_name(text, "Subject:"),
+        "tls_issuer": _common_name(text, "Issuer:"),
+        "tls_algorithm": _bound(_last_value(text, "Signature Algorithm:"), _some),
+        "tls_created": _bound(_last_value(validity, "Not Before:"), lambda d: cert_date(_some(d))),
+        "tls_expires": _bound(_last_value(validity, "Not After :"), lambda d: cert_date(_some(d))),
         "tls_version": F.lit(None).cast("string") if session is None else tls_version(session),
-        "tls_keysize": _some(F.trim(F.regexp_extract(key_line, r"\((.*?).bit", 1), F.lit(_BLANK))),
+        "tls_keysize": _bound(F.trim(size, F.lit(_BLANK)), _some),
     }
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 

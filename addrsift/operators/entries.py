@@ -54,17 +54,27 @@ def extract_entries(
     assume_year: int | None = None,
     correlation: Column | None = None,
     keep: Column | None = None,
+    time_range: tuple[int | None, int | None, bool] | None = None,
 ) -> DataFrame:
     """Entries of lines.
 
     ``keep`` is a predicate over ``ip`` that runs before any line attribute is
     computed.  ``correlation``, an expression over the line columns, adds a column
-    of that name in which empty text is null.
+    of that name in which empty text is null.  ``time_range`` (start, end, include
+    missing) drops entries outside while the time stamp is taken, which saves
+    taking it once to filter and once to keep.
     """
     hits = explode_ips(lines, ipv6_mode)
     if keep is not None:
         hits = hits.where(keep)
-    dated = with_date(hits, assume_year=assume_year)
+    if time_range is None:
+        dated = with_date(hits, assume_year=assume_year)
+    else:
+        start, end, missing = time_range
+        inside = F.filter(
+            F.array(extract_date("value", assume_year)), lambda d: _inside(d["ts"], start, end, missing)
+        )
+        dated = hits.select("*", F.inline(inside))
     status = login_status("value") if detect_login else F.lit(None).cast("string")
     numbered = ["line_number"] if "line_number" in lines.columns else []
     extra = []
@@ -84,14 +94,7 @@ def extract_entries(
     )
 
 
-def in_time_range(
-    ts: Column | str = "ts",
-    start: int | Column | None = None,
-    end: int | Column | None = None,
-    include_missing: bool = False,
-) -> Column:
-    """Inclusive range with optional ends; ``ts`` 0 means no time stamp."""
-    ts = A._col(ts)
+def _inside(ts: Column, start, end, include_missing: bool) -> Column:
     inside = F.lit(True)
     if start is not None:
         inside = inside & (ts >= start)
@@ -100,6 +103,20 @@ def in_time_range(
     return F.when(ts == 0, F.lit(include_missing)).otherwise(inside)
 
 
+def in_time_range(
+    ts: str = "ts",
+    start: int | Column | None = None,
+    end: int | Column | None = None,
+    include_missing: bool = False,
+) -> Column:
+    """Inclusive range with optional ends; ``ts`` 0 means no time stamp.
+
+    The time stamp is bound once, so a filter that the optimizer moves below the
+    extraction repeats it once, not for every comparison.
+    """
+    return F.exists(F.array(ts), lambda t: _inside(t, start, end, include_missing))
+
+
 def filter_time_range(
     entries: DataFrame,
     start: int | None = None,

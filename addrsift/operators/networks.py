@@ -22,17 +22,17 @@ _KEY = ["_family", "_plen", "_hi", "_lo"]
 _NONE = -1  # prefix length of the row that stands for "no network"
 
 
-def keyed_networks(networks: DataFrame, values: list[Column], column: str = "network") -> DataFrame:
-    """One row per network with the aggregated ``values``; rows that are no network go."""
+def keyed_networks(networks: DataFrame, column: str = "network") -> DataFrame:
+    """Rows that name a network, with its key columns."""
     # exploding an array without nulls computes a key once and drops rows that have none
     key = F.explode(F.array_compact(F.array(network_key(column)))).alias("_k")
     parts = [F.col(f"_k.{name[1:]}").alias(name) for name in _KEY]
-    return networks.select("*", key).select("*", *parts).groupBy(*_KEY).agg(*values)
+    return networks.select("*", key).select("*", *parts).drop("_k")
 
 
-def _profile(table: DataFrame) -> tuple[dict[int, list[int]], int]:
+def _profile(keyed: DataFrame) -> tuple[dict[int, list[int]], int]:
     """Prefix lengths by family and row count: one aggregate of at most 162 rows."""
-    found = table.groupBy("_family", "_plen").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = keyed.groupBy("_family", "_plen").agg(F.count(F.lit(1)).alias("n")).collect()
     lengths = {f: sorted(r["_plen"] for r in found if r["_family"] == f) for f in (4, 6)}
     return lengths, sum(r["n"] for r in found)
 
@@ -66,15 +66,18 @@ def _hits(rows: DataFrame, table: DataFrame, lengths: dict[int, list[int]], smal
 
 
 def _merged(
-    rows: DataFrame, table: DataFrame, results: list[Column], max_broadcast_rows: int
+    rows: DataFrame, keyed: DataFrame, value: Column, results: list[Column], max_broadcast_rows: int
 ) -> DataFrame:
     """Rows (one per ``ip``) with the aggregated results of their networks.
 
+    ``value`` is what several rows of one network come to.
+
     A table within the broadcast bound lets whole rows flow through the lookup.
     Beyond it only addresses are shuffled and the results joined back to the rows,
     which are pinned first so that they are not computed twice.
     """
-    lengths, n = _profile(table)
+    lengths, n = _profile(keyed)
+    table = keyed.groupBy(*_KEY).agg(value)
     if n <= max_broadcast_rows:
         rest = [c for c in rows.columns if c != "ip"]
         carried = [F.first(F.struct(*rest)).alias("_row")] if rest else []
@@ -95,9 +98,9 @@ def longest_prefix(
     ``rows`` has one row per ``ip``.  Of equal blocks the one with the smallest
     values counts.
     """
-    table = keyed_networks(blocks, [F.min(F.struct(*values)).alias("_v")], network)
+    smallest = F.min(F.struct(*values)).alias("_v")
     best = F.max_by("_v", F.when(F.col("_hit"), F.col("_plen"))).alias("_v")
-    out = _merged(rows, table, [best], max_broadcast_rows)
+    out = _merged(rows, keyed_networks(blocks, network), smallest, [best], max_broadcast_rows)
     return out.select(*rows.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -153,10 +156,10 @@ def with_threat_lists(
     exact = threats.where(~is_net).groupBy(F.col("network").alias("ip")).agg(
         F.collect_set("list_name").alias("_exact")
     )
-    nets = keyed_networks(threats.where(is_net), [names])
+    nets = keyed_networks(threats.where(is_net))
     out = lookup_join(stats, exact, ["ip"], max_broadcast_rows=max_broadcast_rows)
     out = _merged(
-        out, nets, [F.flatten(F.collect_list("_lists")).alias("_nets")], max_broadcast_rows
+        out, nets, names, [F.flatten(F.collect_list("_lists")).alias("_nets")], max_broadcast_rows
     )
     none = F.array().cast("array<string>")
     return out.select(

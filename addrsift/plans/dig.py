@@ -71,6 +71,12 @@ class Options:
     output: str = "stats"
     group_by: str | None = None
 
+    @property
+    def time_range(self) -> tuple[int | None, int | None, bool] | None:
+        if self.start_ts is None and self.end_ts is None:
+            return None
+        return self.start_ts, self.end_ts, self.include_no_timestamp
+
     @property
     def searching(self) -> bool:
         return bool(self.search or self.search_regex)
@@ -127,13 +133,16 @@ def _entries(lines: DataFrame, o: Options) -> DataFrame:
         assume_year=o.assume_year,
         correlation=correlation,
         keep=E.address_filter(o.no_private, o.no_reserved, o.no_ipv4, o.no_ipv6),
+        # limits look at entries of all times, so the range can only come early without them
+        time_range=None if o.top_limit or o.limit else o.time_range,
     )
 
 
 def _statistics(entries: DataFrame, o: Options) -> DataFrame:
-    keep = None
-    if o.start_ts is not None or o.end_ts is not None:
-        keep = E.in_time_range("ts", o.start_ts, o.end_ts, o.include_no_timestamp)
+    if o.time_range is None or not (o.top_limit or o.limit):
+        keep = None
+    else:
+        keep = E.in_time_range("ts", *o.time_range)
     if o.top_limit and not o.limit:
         return S.top_stats(entries, o.top_limit, keep)
     if o.top_limit:
