@@ -262,6 +262,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SPREAD = {"events": "event_id", "orders": "o_orderkey"}
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Rows over all slots if the files give fewer partitions than half of them.
 
@@ -280,8 +283,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         # one view per folder, so that sessions may look at several scales
         view = f"addrsift_{t}_{abs(hash(sf_dir))}"
         rows = table(spark, sf_dir, t)
-        if t == "events":
-            rows = spread(rows, "event_id")
+        if t in _SPREAD:
+            rows = spread(rows, _SPREAD[t])
         rows.createOrReplaceTempView(view)
         views[t] = view
     for t, view in views.items():

@@ -130,23 +130,38 @@ def cert_date(text: Column | str) -> Column:
     return _bound(_col(text), shown)
 
 
-def _last_value(text: Column, part: str) -> Column:
+def _last_line(lines: Column, *tests) -> Column:
+    """Last line that passes all tests."""
+
+    def passes(line: Column) -> Column:
+        ok = tests[0](line)
+        for test in tests[1:]:
+            ok = ok & test(line)
+        return ok
+
+    return F.try_element_at(F.filter(lines, passes), F.lit(-1))
+
+
+def _holds(part: str):
+    return lambda line: line.contains(part)
+
+
+def _last_value(lines: Column, part: str) -> Column:
     """What follows the first colon of the last line that holds ``part``."""
-    value = F.regexp_extract(text, rf"(?s)^(?:.*\n)?(?=[^\n]*{part})[^\n:]*:([^\n]*)", 1)
-    return F.trim(value, F.lit(_BLANK))
+    return _bound(_last_line(lines, _holds(part)), lambda line: _some(_after_colon(line)))
 
 
-def _common_name(text: Column, part: str) -> Column:
+def _common_name(lines: Column, part: str) -> Column:
     """Common name in the last line that holds ``part`` and one; ``CN = `` comes before ``CN=``."""
-    line = rf"(?s)^(?:.*\n)?(?=[^\n]*{part})(?=[^\n]*CN(?: = |=))([^\n]*)"
+    line = _last_line(lines, _holds(part), lambda x: x.contains("CN = ") | x.contains("CN="))
 
     def name(line: Column) -> Column:
-        spaced = F.regexp_extract(line, "CN = ([^,]*)", 1)
-        tight = F.regexp_extract(line, "CN=([^,]*)", 1)
+        spaced = F.substr(line, F.instr(line, "CN = ") + 5)
+        tight = F.substr(line, F.instr(line, "CN=") + 3)
         found = F.when(line.contains("CN = "), spaced).otherwise(tight)
-        return _some(F.trim(found, F.lit(_BLANK)))
+        return _some(F.trim(F.substring_index(found, ",", 1), F.lit(_BLANK)))
 
-    return _bound(F.regexp_extract(text, line, 1), name)
+    return _bound(line, name)
 
 
 def certificate(text: Column | str, session: Column | str | None = None) -> Column:
@@ -154,19 +169,25 @@ def certificate(text: Column | str, session: Column | str | None = None) -> Colu
 
     ``session`` is the text of the handshake, from which ``tls_version`` is read.
     """
-    text = _col(text)
-    validity = F.regexp_extract(text, "(?s)(Validity.*)", 1)
-    size = F.regexp_extract(text, r"(?s)^(?:.*\n)?[^\n]*Public-Key:[^\n(]*\(([^\n]*?).bit", 1)
-    fields = {
-        "tls_cn": _common_name(text, "Subject:"),
-        "tls_issuer": _common_name(text, "Issuer:"),
-        "tls_algorithm": _bound(_last_value(text, "Signature Algorithm:"), _some),
-        "tls_created": _bound(_last_value(validity, "Not Before:"), lambda d: cert_date(_some(d))),
-        "tls_expires": _bound(_last_value(validity, "Not After :"), lambda d: cert_date(_some(d))),
-        "tls_version": F.lit(None).cast("string") if session is None else tls_version(session),
-        "tls_keysize": _bound(F.trim(size, F.lit(_BLANK)), _some),
-    }
-    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+    version = F.lit(None).cast("string") if session is None else tls_version(session)
+
+    def fields(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, _holds("Validity")), True)
+        validity = F.when(start > 0, F.slice(lines, start, F.size(lines)))
+        size = F.regexp_extract(_last_line(lines, _holds("Public-Key:")), r"\((.*?).bit", 1)
+        named = {
+            "tls_cn": _common_name(lines, "Subject:"),
+            "tls_issuer": _common_name(lines, "Issuer:"),
+            "tls_algorithm": _last_value(lines, "Signature Algorithm:"),
+            "tls_created": cert_date(_last_value(validity, "Not Before:")),
+            "tls_expires": cert_date(_last_value(validity, "Not After :")),
+            "tls_version": version,
+            "tls_keysize": _bound(F.trim(size, F.lit(_BLANK)), _some),
+        }
+        return F.struct(*[value.alias(name) for name, value in named.items()])
+
+    return _bound(_lines(_col(text)), fields)
 
 
 def tls_version(text: Column | str) -> Column:
