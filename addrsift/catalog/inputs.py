@@ -292,6 +292,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def streamed_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines as a stream over the events table."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    view = f"addrsift_event_stream_{abs(hash(sf_dir))}"
+    rows.createOrReplaceTempView(view)
+    return spark.sql(_filled("log_lines", 0).replace("{events}", view))
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.lines import from_lines
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import is_eu_country, is_gdpr_country
+from ..session import pinned
 
 # group kind -> key column, extra column taken from the smallest address
 _KINDS = {"asn": ("asn", "org"), "country": ("cc", "country"), "org": ("org", None)}
@@ -73,9 +74,11 @@ def group_members(stats: DataFrame, kind: str, order: bool = True) -> DataFrame:
 def members_with_totals(stats: DataFrame, kind: str) -> DataFrame:
     """Members in long form with the totals of their group.
 
-    The totals have one row per group; where they outgrow Spark's broadcast limit
-    the adaptive join splits an oversized group.
+    The statistics are checkpointed, so that totals and members come from one pass
+    over the logs.  The totals have one row per group; where they outgrow Spark's
+    broadcast limit the adaptive join splits an oversized group.
     """
+    stats = pinned(stats)
     totals = stats.groupBy(group_key(kind).alias("group_key")).agg(
         F.count(F.lit(1)).alias("unique_ips"), F.sum("count").alias("total_events")
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pinned
 from .joins import BROADCAST_ROWS, lookup_join
 
 CACHE_SCHEMA = "ip string, source string, cached_at bigint, data map<string,string>"
@@ -32,10 +33,11 @@ def enrich_entries(
 ) -> DataFrame:
     """Look every distinct address up once and attach the result to all its entries.
 
-    ``lookup`` maps a table of distinct ``ip`` to one row per ``ip``.  Entries of a
-    frequent address are spread when the result is too large to broadcast.
+    ``lookup`` maps a table of distinct ``ip`` to one row per ``ip``.  Its result is
+    checkpointed, so counting it does not repeat it.  Entries of a frequent address
+    are spread when the result is too large to broadcast.
     """
-    found = lookup(entries.select("ip").distinct())
+    found = pinned(lookup(entries.select("ip").distinct()))
     return lookup_join(
         entries, found, ["ip"], "left",
         spread=F.struct("row_id", "pos"), max_broadcast_rows=max_broadcast_rows,
@@ -136,8 +138,11 @@ def lookup_cached(
     concurrency: int = 8,
     pause_seconds: float = 0.0,
 ) -> DataFrame:
-    """Results for all addresses: fresh cache rows first, the rest from ``lookup``."""
-    wanted = ips.select("ip").distinct()
+    """Results for all addresses: fresh cache rows first, the rest from ``lookup``.
+
+    The distinct addresses are checkpointed, as hits and misses both start from them.
+    """
+    wanted = pinned(ips.select("ip").distinct())
     fresh = fresh_cache(cache.where(F.col("source") == source), now, ttl_hours)
     hits = fresh.join(wanted, "ip", "left_semi").select(
         "ip", "source", "cached_at", "data",

@@ -20,6 +20,7 @@ from ..operators import groups as G
 from ..operators import lookups as L
 from ..operators import networks as N
 from ..operators import stats as S
+from ..session import pinned
 from ..sinks import views as V
 
 OUTPUTS = ("stats", "table", "records", "json", "geojson", "groups", "group_labels", "members")
@@ -164,6 +165,8 @@ def _enriched(stats: DataFrame, o: Options) -> DataFrame:
         stats = N.with_geo(stats, o.geo_blocks, o.asn_blocks)
     if o.hostnames is not None:
         stats = L.with_hostname(stats, o.hostnames)
+    if o.lookups:
+        stats = pinned(stats)  # every lookup starts from its addresses
     for lookup in o.lookups:
         stats = stats.join(lookup(stats.select("ip")), "ip", "left")
     if o.threats is not None:

@@ -29,7 +29,7 @@ def stream_entries(
     value: str = "value",
 ) -> DataFrame:
     """Entries of a stream of lines; a stream has no line order, so none is given."""
-    hits = explode_ips(lines.withColumnRenamed(value, "value"), ipv6_mode)
+    hits = explode_ips(lines.select(F.col(value).alias("value")), ipv6_mode)
     if keep is not None:
         hits = hits.where(keep)
     status = login_status("value") if detect_login else F.lit(None).cast("string")
