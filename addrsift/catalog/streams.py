@@ -42,12 +42,12 @@ def stream_running_stats(spark, sf_dir):
     )
 
 
-@query(with_(ENTRIES, """SELECT epoch_ms(1000 * (ts // 86400) * 86400) AS window_start, ip, count(*) AS "count",
+@query(with_(ENTRIES, """SELECT ts // 86400 * 86400 AS window_start, ip, count(*) AS "count",
   min(ts) AS first_ts, max(ts) AS last_ts FROM entries WHERE ts > 0 GROUP BY ALL"""))
 def stream_daily_stats(spark, sf_dir):
     """Statistics per address and day at the end of the stream."""
     lines = streamed_log_lines(spark, sf_dir)
     stats = R.windowed_stats(R.stream_entries(lines, value="line"), "1 day", "40 days")
     return _run(spark, stats, "complete").select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "ip", "count", "first_ts", "last_ts"
+        F.unix_seconds("window_start").alias("window_start"), "ip", "count", "first_ts", "last_ts"
     )
