@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names.
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only where none is configured (single-machine runs, tests) a scratch folder
-    is made, so a cluster job never checkpoints to a machine-local folder.
+    Only where none is configured and driver and executors are one process on
+    one machine (tests) a scratch folder is made; a cluster without one is an
+    error, never a machine-local folder.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -19,11 +20,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="addrsift-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return spark.sparkContext.getCheckpointDir()
 
 
 def pinned(df: DataFrame) -> DataFrame:
