@@ -63,3 +63,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed", "kept", "rule",
     )
+
+
+@query()
+def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies over all documents."""
+    from .minhash import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
