@@ -71,3 +71,64 @@ def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_groups
 
     return near_groups(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the merge automaton, and their decoding."""
+    import public_tokenizers
+
+    from .bpe import Codec
+
+    codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
+    ids = _table(spark, sf_dir, "documents").select("doc_id", codec.encoded("text").alias("ids"))
+    return ids.withColumn("decoded", codec.decoded("ids")).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_ASIDE = "</s>[INST] ok [/INST]"
+
+
+@query(
+    rf"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{_ASIDE}' UNION ALL SELECT -7, 1, 'assistant', '{_ASIDE}'
+    ), spelt AS (
+      SELECT *,
+        length(regexp_replace(text, '([<\[])(\\*)(INST\]|/INST\]|s>|/s>)', '\1\\\2\3', 'g')) AS text_chars,
+        length(regexp_replace(role, '([<\[])(\\*)(INST\]|/INST\]|s>|/s>)', '\1\\\2\3', 'g')) AS role_chars,
+        coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), false) AS same
+      FROM turns
+    ), told AS (
+      SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(text_chars + CASE WHEN same THEN 3 ELSE 17 + role_chars END)::BIGINT AS formatted_chars
+      FROM spelt GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+    FROM told
+    """
+)
+def op2_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the formatted text."""
+    from .chat import format_conversations, read_back, under_mask
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    aside = spark.createDataFrame([(-7, 0, "user", _ASIDE), (-7, 1, "assistant", _ASIDE)], "conv_id bigint, turn bigint, role string, text string")
+    out = format_conversations(rows.unionByName(aside)).select(
+        "conv_id", "formatted", read_back("formatted").alias("turns"), under_mask("formatted", "mask").alias("loss")
+    )
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
