@@ -132,3 +132,58 @@ def op2_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+#: Rules of the url query: host, path, verdict.
+_URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def _shrink_sql(units: str, keys: str) -> str:
+    p = "least(greatest(prior, 1e-6), 1 - 1e-6)"
+    return f"""SELECT u.*, (prior * w + good) / (w + n) AS rate, n + w AS strength FROM {units} u, (
+      SELECT 1.0::DOUBLE / least(greatest(coalesce((sum((good - n * {p}) ** 2 / ({p} * (1 - {p}))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0), 0.001), 0.5) - 1 AS w
+      FROM {units})"""
+
+
+@query(
+    rf"""
+    WITH parts AS (
+      SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+    ), votes AS (
+      SELECT doc_id, count(*) AS n, sum((quality = 1 AND toxic = 0)::BIGINT) AS good FROM labels
+      WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+    ), hosts AS (
+      SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+        coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good
+      FROM parts LEFT JOIN votes ON doc_id = page_id GROUP BY ALL
+    ), s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT sum(good) / sum(n) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+    s1 AS ({_shrink_sql("s0", "suffix")}),
+    d0 AS (SELECT domain, hosts.suffix, sum(hosts.n) AS n, sum(hosts.good) AS good, any_value(rate) AS prior FROM hosts JOIN s1 USING (suffix) GROUP BY ALL),
+    d1 AS ({_shrink_sql("d0", "domain")}),
+    h0 AS (SELECT host, hosts.n, hosts.good, rate AS prior FROM hosts JOIN d1 USING (domain, suffix)),
+    h1 AS ({_shrink_sql("h0", "host")}),
+    rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, _URL_RULES))}),
+    fits AS (
+      SELECT DISTINCT host, path, first_value(rule_host || rule_path) OVER w AS rule, first_value(rule_verdict) OVER w AS ruled
+      FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      WINDOW w AS (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC)
+    )
+    SELECT page_id, host, path, rule,
+      coalesce(ruled, CASE WHEN rate + 1.645 * sqrt(rate * (1 - rate) / (strength + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
+    FROM parts JOIN h1 USING (host) LEFT JOIN fits USING (host, path)
+    """
+)
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages.  A page is good whose label of the same id says
+    quality 1 and toxic 0."""
+    from .hosts import judge_urls
+
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    rules = spark.createDataFrame(_URL_RULES, "host string, path string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages"), outcomes, rules).select("page_id", "host", "path", "rule", "verdict")
