@@ -187,3 +187,38 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
     rules = spark.createDataFrame(_URL_RULES, "host string, path string, verdict string")
     return judge_urls(_table(spark, sf_dir, "pages"), outcomes, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM f
+    """
+)
+def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, read back and assembled."""
+    from .common import scratch, staged
+    from .warc import assemble, captures_of, field_of, read_records, write_captures
+
+    path = scratch(spark, "warc")
+    write_captures(captures_of(_table(spark, sf_dir, "pages")), path)
+    records = read_records(spark, path).withColumn("fields", F.when(F.col("type") == "metadata", F.col("block"))).drop("block", "payload")
+    pages = staged(
+        assemble(records).select(
+            "uri", field_of(F.get("metadata", F.lit(0))["fields"], "page_id").cast("bigint").alias("page_id"),
+            F.col("head.type").alias("record_type"), F.col("head.refers_to").alias("first_uri"),
+            F.col("head.payload_bytes").alias("bytes"), F.col("head.payload_digest").alias("digest"),
+        ),
+        "warc-pages",
+    )
+    firsts = pages.filter("record_type = 'response'").select(
+        F.col("uri").alias("first_uri"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes"), F.col("digest").alias("first_digest")
+    ).dropDuplicates(["first_uri"])
+    return pages.join(firsts, "first_uri", "left").select(
+        "page_id", F.coalesce("first_bytes", "bytes").alias("payload_bytes"), F.coalesce("first_digest", "digest").alias("payload_digest"),
+        "record_type", "refers_to",
+    )
