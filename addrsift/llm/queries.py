@@ -222,3 +222,46 @@ def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.coalesce("first_bytes", "bytes").alias("payload_bytes"), F.coalesce("first_digest", "digest").alias("payload_digest"),
         "record_type", "refers_to",
     )
+
+
+def _licence_sql() -> str:
+    from . import licences as L
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    broken = "lower(coalesce(text, ''))"
+    for pattern, by in (
+        (r"([.!?;:])[\s\x01]+", "\\1\x01"), (r"\n[ \t\r]*\n", "\x01"), (rf"\n[ \t#*/;-]*{L.NOTICE}", "\x01\\1"),
+    ):
+        broken = f"regexp_replace({broken}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    clean = "s"
+    for pattern, by in L.STEPS:
+        clean = f"regexp_replace({clean}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    told = "told"
+    for licence, wanted in L.rules():
+        told = f"replace({told}, {quoted(''.join(f'<{i}>' for i in wanted))}, {quoted('{' + licence + '}')})"
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in L.sentence_ids().items())
+    return f"""
+    WITH cut AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, string_split({broken}, '\x01') AS parts FROM documents)),
+    found AS (SELECT doc_id, pos, id FROM (SELECT doc_id, pos, {clean} AS s FROM cut) LEFT JOIN (VALUES {known}) k(sentence, id) ON s = sentence),
+    seq AS (
+      SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY pos), '') AS sentence_ids,
+        string_agg(CASE WHEN id IS NULL THEN '_' ELSE '<' || id || '>' END, '' ORDER BY pos) AS told
+      FROM found GROUP BY doc_id
+    ), ruled AS (SELECT doc_id, sentence_ids, {told} AS told FROM seq)
+    SELECT doc_id, sentence_ids, array_to_string(regexp_extract_all(told, '\\{{([^}}]*)\\}}', 1), ',') AS licences,
+      len(regexp_extract_all(told, '<([^>]*)>', 1)) AS n_unmatched
+    FROM ruled
+    """
+
+
+@query(_licence_sql())
+def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of all documents."""
+    from .licences import scan
+
+    return scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"),
+        F.col("n_unmatched").cast("bigint").alias("n_unmatched"),
+    )
