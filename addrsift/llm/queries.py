@@ -265,3 +265,14 @@ def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"),
         F.col("n_unmatched").cast("bigint").alias("n_unmatched"),
     )
+
+
+@query()
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents, learned from those not held out."""
+    import public_tokenizers
+
+    from .lattice import is_held_out, load_pieces, score_texts
+
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return score_texts(_table(spark, sf_dir, "documents"), pieces, is_held_out("doc_id"))
