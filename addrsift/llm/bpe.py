@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import text_of
 
 #: Entries after which a worker's tables of words or arcs are started anew.
-_TABLE = 400_000
+_TABLE = 200_000
 #: Longer words are encoded each time.
 _LONG = 64
 
@@ -220,7 +220,7 @@ class Codec:
         def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             automaton = shared.value
             for array in texts:
-                rows = [np.array(automaton.text(x), np.int32) for x in array.to_pylist()]
+                rows = [np.array(automaton.text(x.as_py()), np.int32) for x in array]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
@@ -228,7 +228,7 @@ class Codec:
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
             automaton = shared.value
             for array in ids:
-                yield pa.array([automaton.decode(x or []) for x in array.to_pylist()], pa.string())
+                yield pa.array((automaton.decode(x.as_py() or []) for x in array), pa.string())
 
         self._encode, self._decode = encode, decode
 

@@ -172,19 +172,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _compared(plan: Near):
-    """(a, b, text_a, text_b) to (a, b) of those that are near."""
+    """(node, centre, text_a, text_b) to (node, centre, near)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, last = _WordIds(), (None, None)
             near = []
             for b, raw_a, raw_b in zip(
-                batch.column("b").to_pylist(), batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary()), strict=True
+                batch.column("centre").to_pylist(), batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary()), strict=True
             ):
                 if last[0] != b:
                     last = (b, shingles(raw_b.as_py(), plan.shingle, ids))
                 near.append(similarity(shingles(raw_a.as_py(), plan.shingle, ids), last[1]) >= plan.similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(["node", "centre"]).append_column("near", pa.array(near, pa.bool_()))
 
     return run
 
@@ -198,24 +198,38 @@ def fingerprint(text: str | Column) -> Column:
     return F.unhex(F.md5(F.trim(F.regexp_replace(_lowered(text), _RUN, " "))))
 
 
-def _pairs(members: DataFrame, stars: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
-    """At most one new pair (a, b) for each node: with the centre that it meets
-    in the most buckets.  A bucket's centre is another member each turn, and
-    only nodes of other components than the centre's are paired with it."""
-    known = members.join(stars.select(F.col("a").alias("node"), F.col("b").alias("comp")), "node", "left").select(
-        "key", "node", F.coalesce("comp", "node").alias("comp")
+def _state(history: DataFrame) -> DataFrame:
+    """node, comp, tested: the least node that a node is linked with so far,
+    directly or over one other, and the centres it was compared with."""
+    own = history.groupBy("node").agg(
+        F.collect_list("centre").alias("tested"), F.least("node", F.min(F.when(F.col("near"), F.col("centre")))).alias("comp")
     )
+    over = own.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+    return own.join(over, "comp", "left").select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "tested")
+
+
+def _pairs(members: DataFrame, history: DataFrame | None, turn: int) -> DataFrame:
+    """At most one new pair (node, centre) for each node: with the centre that
+    it meets in the most buckets, the least of several.  A bucket's centre is
+    another member each turn, and only nodes that aren't known to be linked
+    with it are compared with it."""
+    none = F.array().cast("array<bigint>")
+    if history is None:
+        known = members.select("key", "node", F.col("node").alias("comp"), none.alias("tested"))
+    else:
+        known = members.join(_state(history), "node", "left").select(
+            "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("tested", none).alias("tested")
+        )
     order = F.col("node") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn))
-    centres = known.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    centres = centres.filter("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
-    met = (
-        known.join(centres, "key").filter("comp <> centre_comp")
-        .groupBy(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"), "node").agg(F.count("*").alias("n"))
+    centres = known.groupBy("key").agg(
+        F.min(F.struct(order.alias("o"), "node", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    if tested is not None:
-        met = met.join(tested, ["a", "b"], "left_anti")
-    best = met.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("m"))
-    return best.select("m.a", "m.b").distinct()
+    centres = centres.filter("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
+    met = known.join(centres, "key").filter((F.col("comp") != F.col("centre_comp")) & ~F.array_contains("tested", F.col("centre")))
+    # a node meets at most one centre in each band
+    of_node = met.groupBy("node").agg(F.sort_array(F.collect_list("centre")).alias("all"))
+    counted = F.transform(F.array_distinct("all"), lambda c: F.struct(F.size(F.filter("all", lambda x: x == c)).alias("n"), (-c).alias("c")))
+    return of_node.select("node", (-F.array_max(counted)["c"]).alias("centre"))
 
 
 def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFrame:
@@ -232,29 +246,20 @@ def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFra
         .join(sought, "fp").groupBy("node").agg(F.any_value("text").alias("text")),
         "near-texts",
     )
-    stars = members.sparkSession.createDataFrame([], "a bigint, b bigint")
-    tested, turn, quiet = None, 0, 0
+    history, turn, quiet = None, 0, 0
     while quiet < plan.quiet:
-        pairs = staged(_pairs(members, stars, tested, turn), "near-pairs")
-        if pairs.isEmpty():
-            if turn:
-                quiet += 1
-                turn += 1
-                continue
-            break
-        links = staged(
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_compared(plan), "a bigint, b bigint"),
-            "near-links",
+        compared = staged(
+            _pairs(members, history, turn)
+            .join(texts.select("node", F.col("text").alias("text_a")), "node")
+            .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_b")), "centre")
+            .select("node", "centre", "text_a", "text_b")
+            .mapInArrow(_compared(plan), "node bigint, centre bigint, near boolean"),
+            "near-compared",
         )
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if links.isEmpty():
-            quiet += 1
-        else:
-            quiet = 0
-            stars = components(stars.unionByName(links))
+        quiet = quiet + 1 if compared.filter("near").isEmpty() else 0
+        history = compared if history is None else history.unionByName(compared)
         turn += 1
+    stars = components(history.filter("near").select(F.col("node").alias("a"), F.col("centre").alias("b")))
     return nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fp", F.coalesce("b", "node").alias("comp"))
 
 
