@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import text_of
 
-#: Entries after which a worker's tables of words or arcs are started anew.
-_TABLE = 200_000
+#: Entries after which a worker's table of words or arcs is started anew.
+_TABLE = 250_000
 #: Longer words are encoded each time.
 _LONG = 64
 
@@ -50,7 +50,13 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", special: dict[str, int] | None = None):
         self.vocab, self.suffix, self.special = vocab, suffix, dict(special or {})
         self.labels = {i: s for s, i in [*vocab.items(), *self.special.items()]}
-        self.longest = max((len(s) for s in vocab), default=0)
+        near, far = {}, {}
+        for label in vocab:
+            bare = label.removesuffix(suffix) if suffix else label
+            (near if len(bare) < 5 else far).setdefault(bare[: 3 if len(bare) < 5 else 5], set()).add(len(bare))
+        #: How many symbols a label may have that starts with three symbols (up to four), or with five; longest first.
+        self.near = {k: (*sorted(v, reverse=True), 2, 1) for k, v in near.items() if len(k) == 3}
+        self.far = {k: (*sorted(v, reverse=True), *self.near.get(k[:3], (2, 1))) for k, v in far.items()}
         size = max(self.labels, default=-1) + 1
         #: By token: the merge that made it, its left part, the state its arcs end in.
         self.made, self.left, self.end = [-1] * size, [-1] * size, [0] * size
@@ -105,9 +111,10 @@ class Automaton:
     def _reset(self) -> None:
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words", "older")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -118,15 +125,17 @@ class Automaton:
         path, tried with the longest arcs first.  Places that lead nowhere are
         remembered, so the work is linear in the word."""
         n, vocab, arcs, ends, suffix = len(symbols), self.vocab, self.arcs, self.end, self.suffix
-        width = len(ends)
+        width, near, far = len(ends), self.near, self.far
         if len(arcs) > _TABLE:
             arcs.clear()
         path: list[tuple[int, int, int, int]] = []
         dead: set[tuple[int, int]] = set()
-        at, state, to = 0, 0, min(n, self.longest)
+        at, state, k = 0, 0, 0
         while at < n:
-            while to > at:
-                token = vocab.get(symbols[at:to] + suffix if to == n else symbols[at:to])
+            sizes = far.get(symbols[at : at + 5]) or near.get(symbols[at : at + 3], (2, 1))
+            while k < len(sizes):
+                to = at + sizes[k]
+                token = vocab.get(symbols[at:to]) if to < n else vocab.get(symbols[at:to] + suffix) if to == n else None
                 if token is not None:
                     arc = state * width + token
                     there = arcs.get(arc)
@@ -134,26 +143,28 @@ class Automaton:
                         there = arcs[arc] = self._arc(state, token)
                     if there and (to, ends[token]) not in dead:
                         break
-                to -= 1
-            if to > at:
-                path.append((at, state, to, token))
-                at, state, to = to, ends[token], min(n, to + self.longest)
+                k += 1
+            if k < len(sizes):
+                path.append((at, state, k, token))
+                at, state, k = to, ends[token], 0
             else:
                 dead.add((at, state))
                 if not path:
                     raise ValueError(f"no tokens for {symbols[:100]!r}")
-                at, state, to, _ = path.pop()
-                to -= 1
-        return tuple(token for *_, token in path)
+                at, state, k, _ = path.pop()
+                k += 1
+        return tuple([step[3] for step in path])
 
     def word(self, word: str) -> tuple[int, ...]:
-        """The tokens of one pre-split word."""
+        """The tokens of one pre-split word.  Words seen lately are kept: when
+        the table is full it becomes the older one, from which words that come
+        again are taken over."""
         found = self.words.get(word)
         if found is None:
-            found = self.walk(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SYMBOLS))
+            found = self.older.get(word) or self.walk(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SYMBOLS))
             if len(word) <= _LONG:
                 if len(self.words) >= _TABLE:
-                    self.words.clear()
+                    self.older, self.words = self.words, {}
                 self.words[word] = found
         return found
 
@@ -175,7 +186,10 @@ class Automaton:
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one space between; unknown ids are skipped."""
-        return " ".join(self.labels[i] for i in ids if i in self.labels)
+        try:
+            return " ".join(map(self.labels.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.labels[i] for i in ids if i in self.labels)
 
 
 _SYMBOLS = dict(enumerate(byte_symbols()))
