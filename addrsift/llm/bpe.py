@@ -78,7 +78,7 @@ class Automaton:
 
     def _gadget(self, number: int, u: int, v: int, t: int) -> None:
         state = self.end[u]
-        if not self._arc(state, v):
+        if state < 0 or not self._arc(state, v):
             self.end[t] = -1  # the pair never stands side by side
             return
         after = self.end[v]

@@ -86,7 +86,7 @@ TEXT_RULES = [
 ]
 
 #: Every known sentence contains one of these, so other texts need no cutting.
-ANCHORS = ["licen[cs]", "permi", "copyright", "redistribut", "warrant", "rights reserved", "public domain", "under", "apache"]
+ANCHORS = ["licen[cs]", "permi", "copyright", "redistribut", "warrant", "rights", "domain", "under", "apache"]
 #: Where a line starts a notice, it starts a sentence.
 NOTICE = r"(licensed|released|distributed|published|available|this (work|file|software|project|program|code|document|text|source)|permission|redistribution|copyright|all rights|the software)\b"
 #: A mark that ends a sentence is followed by white space or the end.
