@@ -31,13 +31,17 @@ _BLOCK = 1_000_000
 @dataclass(frozen=True)
 class Near:
     """shingle: words of a shingle; similarity: of a link; bands x rows
-    registers; quiet: rounds without a new link after which the search ends."""
+    registers; offsets: the further bands that refine a mixed bucket; pairs:
+    compared for a node in one turn; quiet: turns without a new link after
+    which the search ends."""
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6
-    quiet: int = 2
+    offsets: tuple[int, ...] = (1, 3, 7, 12, 15)
+    pairs: int = 6
+    quiet: int = 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -172,7 +176,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _compared(plan: Near):
-    """(node, centre, text_a, text_b) to (node, centre, near)."""
+    """Adds whether text_a and text_b are near; takes the texts away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +188,7 @@ def _compared(plan: Near):
                 if last[0] != b:
                     last = (b, shingles(raw_b.as_py(), plan.shingle, ids))
                 near.append(similarity(shingles(raw_a.as_py(), plan.shingle, ids), last[1]) >= plan.similarity)
-            yield batch.select(["node", "centre"]).append_column("near", pa.array(near, pa.bool_()))
+            yield batch.drop_columns(["text_a", "text_b"]).append_column("near", pa.array(near, pa.bool_()))
 
     return run
 
@@ -198,38 +202,45 @@ def fingerprint(text: str | Column) -> Column:
     return F.unhex(F.md5(F.trim(F.regexp_replace(_lowered(text), _RUN, " "))))
 
 
-def _state(history: DataFrame) -> DataFrame:
-    """node, comp, tested: the least node that a node is linked with so far,
-    directly or over one other, and the centres it was compared with."""
-    own = history.groupBy("node").agg(
-        F.collect_list("centre").alias("tested"), F.least("node", F.min(F.when(F.col("near"), F.col("centre")))).alias("comp")
-    )
-    over = own.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-    return own.join(over, "comp", "left").select("node", F.least("comp", F.coalesce("over", "comp")).alias("comp"), "tested")
-
-
-def _pairs(members: DataFrame, history: DataFrame | None, turn: int) -> DataFrame:
-    """At most one new pair (node, centre) for each node: with the centre that
-    it meets in the most buckets, the least of several.  A bucket's centre is
-    another member each turn, and only nodes that aren't known to be linked
-    with it are compared with it."""
-    none = F.array().cast("array<bigint>")
-    if history is None:
-        known = members.select("key", "node", F.col("node").alias("comp"), none.alias("tested"))
-    else:
-        known = members.join(_state(history), "node", "left").select(
-            "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("tested", none).alias("tested")
-        )
-    order = F.col("node") if turn == 0 else F.xxhash64(F.col("node"), F.lit(turn))
+def _pairs(members: DataFrame, state: DataFrame, turn: int, most: int) -> DataFrame:
+    """At most ``most`` new pairs (node, centre) for each node in a turn, with
+    their components: the centres that it meets in the most buckets.  The
+    others have their turn later.
+
+    A bucket's centre is first the member that meets the most others in all its
+    buckets, which tends to be the text that the others were copied from; then
+    a random one, another in each bucket and turn.  Only members of other
+    components than the centre's are compared with it.
+    """
+    known = members.join(state, "node")
+    order = F.xxhash64("node", "key", F.lit(turn)) if turn else -F.col("meets")
     centres = known.groupBy("key").agg(
         F.min(F.struct(order.alias("o"), "node", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
     centres = centres.filter("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
     met = known.join(centres, "key").filter((F.col("comp") != F.col("centre_comp")) & ~F.array_contains("tested", F.col("centre")))
     # a node meets at most one centre in each band
-    of_node = met.groupBy("node").agg(F.sort_array(F.collect_list("centre")).alias("all"))
-    counted = F.transform(F.array_distinct("all"), lambda c: F.struct(F.size(F.filter("all", lambda x: x == c)).alias("n"), (-c).alias("c")))
-    return of_node.select("node", (-F.array_max(counted)["c"]).alias("centre"))
+    of_node = met.groupBy("node", "comp").agg(F.collect_list(F.struct("centre", "centre_comp")).alias("all"))
+    counted = F.transform(
+        F.array_distinct("all"), lambda c: F.struct(F.size(F.filter("all", lambda x: x == c)).alias("n"), (-c["centre"]).alias("c"), c.alias("of"))
+    )
+    best = F.slice(F.sort_array(counted, asc=False), 1, most)
+    return of_node.select("node", "comp", F.explode(best).alias("b")).select(
+        "node", "comp", F.col("b.of.centre").alias("centre"), F.col("b.of.centre_comp").alias("centre_comp")
+    )
+
+
+def _refined(members: DataFrame, state: DataFrame, rows: DataFrame, plan: Near) -> DataFrame:
+    """The buckets that still hold several components, and finer ones: of the
+    nodes that meet in a further band, too."""
+    known = members.join(state, "node")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    still = known.join(mixed, "key").select("key", "node")
+    keys = rows.select(F.col("row").alias("node"), "keys")
+    other = [F.get("keys", (F.array_position("keys", F.col("key")).cast("int") - 1 + o) % plan.bands) for o in plan.offsets]
+    finer = still.join(keys, "node").select(F.explode(F.transform(F.array(*other), lambda k: F.xxhash64("key", k))).alias("key"), "node")
+    shared = finer.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return still.unionByName(finer.join(shared, "key")).withColumn("meets", F.lit(0).cast("bigint"))
 
 
 def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFrame:
@@ -238,29 +249,41 @@ def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFra
         rows.groupBy("fp").agg(F.min("row").alias("node")), "near-nodes"
     )
     bands = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = staged(bands.join(shared, "key"), "near-members")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = staged(bands.join(shared, "key"), "near-met")
+    members = staged(met.join(met.groupBy("node").agg(F.sum("n").alias("meets")), "node").select("key", "node", "meets"), "near-members")
     sought = nodes.join(members.select("node").distinct(), "node", "left_semi")
     texts = staged(
         docs.select(fingerprint(text).alias("fp"), _lowered(text).alias("text"))
         .join(sought, "fp").groupBy("node").agg(F.any_value("text").alias("text")),
         "near-texts",
     )
-    history, turn, quiet = None, 0, 0
+    state = staged(members.groupBy("node").agg(F.min("node").alias("comp")).withColumn("tested", F.array().cast("array<bigint>")), "near-state")
+    turn, quiet = 0, 0
     while quiet < plan.quiet:
         compared = staged(
-            _pairs(members, history, turn)
+            _pairs(members, state, turn, plan.pairs if turn else 1)
             .join(texts.select("node", F.col("text").alias("text_a")), "node")
             .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_b")), "centre")
-            .select("node", "centre", "text_a", "text_b")
-            .mapInArrow(_compared(plan), "node bigint, centre bigint, near boolean"),
+            .select("node", "centre", "comp", "centre_comp", "text_a", "text_b")
+            .mapInArrow(_compared(plan), "node bigint, centre bigint, comp bigint, centre_comp bigint, near boolean"),
             "near-compared",
         )
-        quiet = quiet + 1 if compared.filter("near").isEmpty() else 0
-        history = compared if history is None else history.unionByName(compared)
+        links = compared.filter("near").select(F.col("comp").alias("a"), F.col("centre_comp").alias("b"))
+        quiet = quiet + 1 if links.isEmpty() else 0
+        if quiet < plan.quiet:
+            state = state.join(compared.groupBy("node").agg(F.collect_list("centre").alias("new")), "node", "left").withColumn(
+                "tested", F.coalesce(F.concat("tested", "new"), "tested")
+            )
+            if not quiet:
+                state = state.join(components(links).withColumnsRenamed({"a": "comp", "b": "under"}), "comp", "left").withColumn(
+                    "comp", F.coalesce("under", "comp")
+                )
+            state = staged(state.select("node", "comp", "tested"), "near-state")
+            if not turn:
+                members = staged(_refined(members, state, rows, plan), "near-refined")
         turn += 1
-    stars = components(history.filter("near").select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    return nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fp", F.coalesce("b", "node").alias("comp"))
+    return nodes.join(state.select("node", F.col("comp").alias("b")), "node", "left").select("fp", F.coalesce("b", "node").alias("comp"))
 
 
 def _signed_rows(docs: DataFrame, doc_id: str, text: str, plan: Near) -> DataFrame:
