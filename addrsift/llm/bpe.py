@@ -22,14 +22,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
 
 #: Entries after which a worker's table of words or arcs is started anew.
-_TABLE = 250_000
+_TABLE = 150_000
+#: Rows that are encoded before they are handed on.
+_ROWS = 500
 #: Longer words are encoded each time.
 _LONG = 64
 
@@ -216,38 +218,53 @@ def load(path: str) -> Automaton:
     return Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "", special)
 
 
+def _ids_array(rows: list[list[int]]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))))
+
+
 class Codec:
     """Encodes and decodes columns with one automaton.
 
     The file is read and compiled by the driver and sent to the executors
     once; its size is that of the vocabulary, whatever the texts.
-
-    ``encoded``: array<int> of a text; null and empty texts have no tokens.
-    ``decoded``: string of an array of ids; null and empty arrays give "".
-    Texts are encoded whole.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        shared = spark.sparkContext.broadcast(load(path))
+        self._shared = spark.sparkContext.broadcast(load(path))
+
+    def encoded(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+        """doc_id, ids (array<int>) of every whole text, and with ``decode`` the
+        text that they decode to, ``decoded``.
+
+        Null and empty texts have no tokens and decode to "".  Repeated rows
+        are encoded each; an empty table gives no rows.
+        """
+        shared = self._shared
 
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
-        def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
-            for array in texts:
-                rows = [np.array(automaton.text(x.as_py()), np.int32) for x in array]
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+            for whole in batches:
+                for at in range(0, len(whole), _ROWS):
+                    batch = whole.slice(at, _ROWS)
+                    ids = [automaton.text(x.as_py()) for x in batch.column("text")]
+                    columns = [batch.column("doc_id"), _ids_array(ids)]
+                    if decode:
+                        columns.append(pa.array([automaton.decode(x) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+        rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+        names = ["doc_id", "ids", *(["decoded"] if decode else [])]
+        return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode)
+
+    def decoded(self, ids: str | Column) -> Column:
+        """The text of an array of ids; null and empty arrays give ""."""
+        shared = self._shared
 
         @F.arrow_udf(T.StringType())
-        def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
             automaton = shared.value
-            for array in ids:
+            for array in arrays:
                 yield pa.array((automaton.decode(x.as_py() or []) for x in array), pa.string())
 
-        self._encode, self._decode = encode, decode
-
-    def encoded(self, text: str | Column) -> Column:
-        return self._encode(text_of(text))
-
-    def decoded(self, ids: str | Column) -> Column:
-        return self._decode(F.col(ids) if isinstance(ids, str) else ids)
+        return decode(F.col(ids) if isinstance(ids, str) else ids)

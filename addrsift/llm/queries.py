@@ -81,8 +81,7 @@ def op3_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import Codec
 
     codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
-    ids = _table(spark, sf_dir, "documents").select("doc_id", codec.encoded("text").alias("ids"))
-    return ids.withColumn("decoded", codec.decoded("ids")).select(
+    return codec.encoded(_table(spark, sf_dir, "documents"), decode=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
@@ -216,12 +215,13 @@ def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "warc-pages",
     )
     firsts = pages.filter("record_type = 'response'").select(
-        F.col("uri").alias("first_uri"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes"), F.col("digest").alias("first_digest")
+        F.col("uri").alias("first_uri"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest")
     ).dropDuplicates(["first_uri"])
-    return pages.join(firsts, "first_uri", "left").select(
-        "page_id", F.coalesce("first_bytes", "bytes").alias("payload_bytes"), F.coalesce("first_digest", "digest").alias("payload_digest"),
-        "record_type", "refers_to",
+    revisits = pages.filter("first_uri IS NOT NULL").select("page_id", "record_type", "first_uri").join(firsts, "first_uri", "left").drop("first_uri")
+    own = pages.filter("first_uri IS NULL").select(
+        "page_id", "record_type", F.lit(None).cast("bigint").alias("refers_to"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest")
     )
+    return revisits.unionByName(own).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def _licence_sql() -> str:

@@ -91,14 +91,17 @@ def test_codec_equals_the_library(spark):
     rng = random.Random(31)
     texts = ["", None, " \n", LONG, "x" * 5000, "a<|endoftext|>B <|startoftext|> <|", "ΑΣ İ ﬁ e\u0301 é", "don't we'll 12,345!!!", "日本語 текст 🙂🙂", "\x1c\x85\u200b\u3000|"]
     texts += ["".join(rng.choice("aàbcdé'st !.19Zß") for _ in range(rng.randrange(40))) for _ in range(300)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    frame = spark.createDataFrame([*enumerate(texts), (0, "")], "doc_id int, text string").selectExpr("*", "1 AS ids", "2 AS decoded")
     codec = bpe.Codec(spark, path)
-    rows = frame.withColumn("ids", codec.encoded("text")).withColumn("out", codec.decoded("ids")).collect()
+    rows = codec.encoded(frame, decode=True).withColumn("again", codec.decoded("ids")).collect()
+    assert len(rows) == len(texts) + 1
     for r in rows:
-        want = library.encode(r.text or "", add_special_tokens=False).ids
-        assert r.ids == want, r.text
-        assert r.out == library.decode(want, skip_special_tokens=False)
-    assert frame.limit(0).select(codec.decoded(codec.encoded("text"))).count() == 0
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == want, texts[r.doc_id]
+        assert r.decoded == r.again == library.decode(want, skip_special_tokens=False)
+    assert codec.encoded(frame.limit(0)).count() == 0
+    empty = spark.createDataFrame([(None,), ([],), ([3, 10**6],)], "ids array<int>").select(codec.decoded("ids").alias("t"))
+    assert [r.t for r in empty.collect()] == ["", "", library.decode([3])]
 
 
 PAGES = [
