@@ -31,16 +31,14 @@ _BLOCK = 1_000_000
 @dataclass(frozen=True)
 class Near:
     """shingle: words of a shingle; similarity: of a link; bands x rows
-    registers; offsets: the further bands that refine a mixed bucket; pairs:
-    compared for a node in one turn; quiet: turns without a new link after
-    which the search ends."""
+    registers; pairs: compared for a node in one turn; quiet: turns without a
+    new link after which the search ends."""
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6
-    offsets: tuple[int, ...] = (1, 3, 7, 12, 15)
-    pairs: int = 6
+    pairs: int = 4
     quiet: int = 1
 
 
@@ -231,16 +229,22 @@ def _pairs(members: DataFrame, state: DataFrame, turn: int, most: int) -> DataFr
 
 
 def _refined(members: DataFrame, state: DataFrame, rows: DataFrame, plan: Near) -> DataFrame:
-    """The buckets that still hold several components, and finer ones: of the
-    nodes that meet in a further band, too."""
+    """Finer buckets for the nodes of those that still hold several components:
+    nodes that meet in two bands, any two.  A passage that many texts share
+    fills a band now and then, but hardly two at once; near texts share many
+    pairs of bands."""
     known = members.join(state, "node")
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    still = known.join(mixed, "key").select("key", "node")
-    keys = rows.select(F.col("row").alias("node"), "keys")
-    other = [F.get("keys", (F.array_position("keys", F.col("key")).cast("int") - 1 + o) % plan.bands) for o in plan.offsets]
-    finer = still.join(keys, "node").select(F.explode(F.transform(F.array(*other), lambda k: F.xxhash64("key", k))).alias("key"), "node")
-    shared = finer.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return still.unionByName(finer.join(shared, "key")).withColumn("meets", F.lit(0).cast("bigint"))
+    open_nodes = known.join(mixed, "key").select("node").distinct()
+    keys = rows.select(F.col("row").alias("node"), "keys").join(open_nodes, "node")
+    last = plan.bands - 1
+    both = F.transform(
+        F.sequence(F.lit(0), F.lit(last - 1)),
+        lambda i: F.transform(F.sequence(i + 1, F.lit(last)), lambda j: F.xxhash64(F.get("keys", i), F.get("keys", j))),
+    )
+    finer = keys.select(F.explode(F.flatten(both)).alias("key"), "node").join(state.select("node", "comp"), "node")
+    shared = finer.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return finer.join(shared, "key").select("key", "node", F.lit(0).cast("bigint").alias("meets"))
 
 
 def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFrame:
