@@ -47,7 +47,7 @@ class Learning:
 
     rounds: int = 2
     pseudo: float = 0.1
-    block_bytes: int = 8 << 20
+    block_bytes: int = 16 << 20
 
 
 def _hash(points: list[int]) -> int:
