@@ -56,6 +56,7 @@ def _inside(ip: str, net: str) -> str:
     )
 
 
+# The names of the threat lists, as columns of results.
 _LISTS = ["CINSBadRep", "PeerDrop", "NordVPN_v4", "NordVPN_v6", "Mullvad_v4", "Mullvad_v6", "PhishTank"]
 _FLAG_COLUMNS = ", ".join(
     f"CASE WHEN bool_or(list_name = '{n}' AND hit) THEN 'Yes' ELSE 'No' END AS {n}" for n in _LISTS
@@ -76,7 +77,8 @@ _GEO = [check_sql("geo_blocks"), f"""located AS (SELECT s.*, g.cc, g.country, g.
     QUALIFY row_number() OVER (PARTITION BY ip ORDER BY CAST(split_part(network, '/', 2) AS INT) DESC) = 1) g
   ON s.ip = g.ip)"""]
 _ASN = [check_sql("asn_blocks"), f"""placed AS (SELECT l.*, 'AS' || a.asn AS asn, a.org FROM located l
-  LEFT JOIN (SELECT ip, asn, org FROM (SELECT ip FROM stats), asn_blocks WHERE {_inside('ip', 'network')}) a
+  LEFT JOIN (SELECT ip, asn, org FROM (SELECT ip FROM stats), asn_blocks WHERE {_inside('ip', 'network')}
+    QUALIFY row_number() OVER (PARTITION BY ip ORDER BY CAST(split_part(network, '/', 2) AS INT) DESC, 'AS' || asn, org NULLS FIRST) = 1) a
   ON l.ip = a.ip)"""]
 PLACED = [*STATS, *_GEO, *_ASN]
 

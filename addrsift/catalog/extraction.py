@@ -155,7 +155,7 @@ _IN10 = "starts_with(ip, '10.')"
 
 
 def _filtered(spark, sf_dir, **flags):
-    entries = E.extract_entries(log_lines(spark, sf_dir), keep=E.address_filter(**flags))
+    entries = E.extract_entries(log_lines(spark, sf_dir), keep=E.address_test(**flags))
     return entries.select(F.col("row_id").alias("event_id"), "pos", "ip")
 
 

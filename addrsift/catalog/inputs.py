@@ -120,9 +120,10 @@ FROM (
   WHERE plen <> 8 OR n_nationkey = 0) g"""),
 
     "asn_blocks": (["supplier"], """
-SELECT '8.' || (2 * s_suppkey) || '.0.0/16' AS network, CAST(64500 + s_suppkey AS BIGINT) AS asn,
-  CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE s_name END AS org
-FROM {supplier} WHERE 2 * s_suppkey < 256"""),
+SELECT '8.' || (2 * (s_suppkey % 128)) || CASE WHEN s_suppkey < 128 THEN '.0.0/16'
+    ELSE '.' || (CAST(floor(s_suppkey / 128) AS INT) % 32) || '.0/24' END AS network,
+  CAST(64500 + s_suppkey AS BIGINT) AS asn, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE s_name END AS org
+FROM {supplier}"""),
 
     # threat list rows of the seven lists: exact addresses and networks of both families
     "threats": (["supplier"], """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -53,14 +56,20 @@ def ip_counts_documents(spark, sf_dir):
     return hits.groupBy("ip").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query(with_(STATS, 'SELECT ip, "count", CAST(row_number() OVER (ORDER BY "count" DESC, ip) AS BIGINT) AS rank FROM stats ORDER BY "count" DESC, ip LIMIT 50'))
+@query(with_(STATS, """SELECT ip, "count", CAST(row_number() OVER (ORDER BY "count" DESC, ip) - 1 AS BIGINT) AS place FROM stats"""))
 def stats_by_count(spark, sf_dir):
-    """The 50 largest statistics rows in display order."""
-    from pyspark.sql import Window
-
-    top = S.by_count(S.ip_stats(entries(spark, sf_dir))).limit(50).select("ip", "count")
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "ip")).cast("bigint")
-    return top.select("ip", "count", rank.alias("rank"))
+    """All statistics in display order, written and read back with their places."""
+    from ..session import checkpoint_dir
+
+    ordered = S.by_count(S.ip_stats(entries(spark, sf_dir))).select("ip", "count")
+    path = f"{checkpoint_dir(spark)}/by-count-{uuid.uuid4().hex}"
+    ordered.write.json(path)
+    # part files are in order, and so are the rows of each
+    rows = spark.read.schema(ordered.schema).json(path).select("*", F.monotonically_increasing_id().alias("id"), "_metadata.file_name")
+    sizes = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file_name", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, "file_name").select("ip", "count", (F.col("id") - F.col("first") + F.col("before")).alias("place"))
 
 
 @query(with_(ENTRIES, """SELECT ip, event_id, CAST(pos AS INTEGER) AS pos, date_string, ts FROM entries

@@ -11,7 +11,7 @@ from . import patterns as P
 from .addresses import _col
 
 _BLANK = " \t\r\n"
-_QUOTED = r'"((?:[^"]|"")*)(?:"|$)'
+_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)(?:"|$)'
 
 
 def trim(text: Column | str) -> Column:
@@ -22,7 +22,8 @@ def trim(text: Column | str) -> Column:
 def _raw_fields(line: Column, delimiter: str) -> Column:
     """Fields as written: a delimiter inside quotes does not split."""
     d = re.escape(delimiter)
-    field = rf'{d}((?:[^"{d}]|"[^"]*(?:"|$))*)'
+    # possessive and unrolled: no recursion, so a field may be of any length
+    field = rf'{d}([^"{d}]*+(?:"[^"]*+"?+[^"{d}]*+)*+)'
     quoted = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(field), F.lit(1))
     return F.when(line.contains('"'), quoted).otherwise(F.split(line, d, -1))
 

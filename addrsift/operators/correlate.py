@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import field_at, field_map, registered_domain, split_fields
 from ..session import pinned
-from .joins import BROADCAST_ROWS, lookup_join
+from ..sources.lines import split_first, split_table
 
-# 20 lines lie within this many bytes of a file: later splits are not sorted.
-SAMPLE_BYTES = 64 << 20
 _COUNTS = {d: f"_c{i}" for i, d in enumerate(P.DELIMITERS)}
 
 
 def sample_lines(lines: DataFrame, n: int = P.SAMPLE_LINES) -> DataFrame:
-    """The first ``n`` lines of every file with their rank."""
+    """The first ``n`` lines of every file with their rank.
+
+    One pass counts the lines of every file split; then only lines near the start
+    of a file are ranked.  Lines of a column have ids with gaps, so all of them are.
+    """
+    starts = pinned(split_table(lines).where(F.col("first_line") <= n))
+    gaps = F.col("last_id") - F.col("first_id") + 1 != F.col("n_rows")
+    near = lines.join(starts, ["file_path", "block_start"]).where(gaps | (F.col("row_id") - F.col("first_id") < n))
     first = Window.partitionBy("file_path").orderBy("row_id")
-    return (
-        lines.where(F.col("block_start") < SAMPLE_BYTES)
-        .select("file_path", "row_id", "value", F.row_number().over(first).alias("rank"))
-        .where(F.col("rank") <= n)
+    return near.select("file_path", "row_id", "value", "last_id", F.row_number().over(first).alias("rank")).where(
+        F.col("rank") <= n
     )
 
 
@@ -47,7 +50,7 @@ def delimiter_scores(sample: DataFrame) -> DataFrame:
     per_file = counted.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(filled).alias("n"),
-        F.min(F.struct("rank", "row_id", "value")).alias("_line"),
+        F.min(F.struct("rank", "row_id", "value", "last_id")).alias("_line"),
         *[F.sum(F.when(filled, F.col(c))).alias(f"s{c}") for c in _COUNTS.values()],
         *[F.sum(F.when(filled, F.col(c) * F.col(c))).alias(f"q{c}") for c in _COUNTS.values()],
     )
@@ -109,32 +112,31 @@ def csv_layouts(lines: DataFrame, header: bool | None = None) -> DataFrame:
             "has_header",
             F.when(F.col("has_header"), field_map(F.col("_fields"))).otherwise(empty).alias("fields"),
             F.when(F.col("has_header"), F.col("_b._line.row_id")).alias("header_row"),
+            F.when(F.col("has_header"), F.col("_b._line.last_id")).alias("split_end"),
         )
     )
 
 
-def with_layout(
-    lines: DataFrame, layouts: DataFrame, field: str | None = None,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def with_layout(lines: DataFrame, layouts: DataFrame, field: str | None = None) -> DataFrame:
     """Lines without header lines, plus ``delimiter`` and ``field_index`` of ``field``.
 
-    Files without a layout keep all lines and get nulls.
+    Files without a layout keep all lines and get nulls.  The header is known by
+    its place in the first split of its file; should Spark cut the file otherwise
+    than when the layout was taken, that is an error, never a header among the data.
     """
     name = "" if field is None else field.strip(" \t\r\n").lower()
+    if "split_end" not in layouts.columns:
+        layouts = layouts.withColumn("split_end", F.lit(None).cast("bigint"))
     table = pinned(
         layouts.select(
-            "file_path", "delimiter", "header_row",
+            "file_path", "delimiter", "header_row", "split_end",
             F.try_element_at("fields", F.lit(name)).alias("field_index"),
         )
     )
-    joined = lookup_join(
-        lines, table, ["file_path"], "left",
-        spread=F.col("row_id"), max_broadcast_rows=max_broadcast_rows,
-    )
-    return joined.where(
-        F.col("header_row").isNull() | (F.col("row_id") != F.col("header_row"))
-    ).drop("header_row")
+    joined = lines.join(table, "file_path", "left")
+    place = split_first(F.col("row_id"), F.col("header_row"), F.col("split_end"))
+    first = (F.col("block_start") == 0) & F.col("header_row").isNotNull()
+    return joined.where(F.when(first, place != 0).otherwise(F.lit(True))).drop("header_row", "split_end")
 
 
 def user_value() -> Column:

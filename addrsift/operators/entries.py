@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from ..functions import addresses as A
 from ..functions.lines import extract_date, login_status, search_flag
 
 
+#: Widths of range buckets: from a day to longer than any time stamp.
+_WIDTHS = 28
+
+
 def explode_ips(lines: DataFrame, ipv6_mode: str = "reference", value: str = "value") -> DataFrame:
     """Add ``pos`` and ``ip``: one row per address of a line, duplicates kept.
 
@@ -26,25 +32,70 @@ def with_date(df: DataFrame, value: str = "value", assume_year: int | None = Non
     )
 
 
-def address_filter(
+def address_test(
     no_private: bool = False, no_reserved: bool = False, no_ipv4: bool = False,
     no_ipv6: bool = False,
-) -> Column | None:
-    """The address filters that are switched on, as one predicate over ``ip``."""
-    ip = F.col("ip")
+) -> Callable[[Column], Column] | None:
+    """The address filters that are switched on, as one test of an address."""
     tests = [
-        (no_ipv4, ~A.is_ipv4(ip)),
-        (no_ipv6, ~A.is_ipv6(ip)),
-        (no_private, ~A.is_private(ip)),
-        (no_reserved, ~A.is_reserved(ip)),
+        (no_ipv4, A.is_ipv4), (no_ipv6, A.is_ipv6), (no_private, A.is_private), (no_reserved, A.is_reserved),
     ]
-    keep = None
-    for on, test in tests:
-        if on:
-            keep = test if keep is None else keep & test
+    on = [test for wanted, test in tests if wanted]
+    if not on:
+        return None
+
+    def keep(ip: Column) -> Column:
+        out = ~on[0](ip)
+        for test in on[1:]:
+            out = out & ~test(ip)
+        return out
+
     return keep
 
 
+def address_filter(**options: bool) -> Column | None:
+    """The same filters as a predicate over the column ``ip``."""
+    keep = address_test(**options)
+    return None if keep is None else keep(F.col("ip"))
+
+
+def entry_rows(
+    attributes: dict[str, Column],
+    keep: Callable[[Column], Column] | None = None,
+    ipv6_mode: str = "reference",
+    value: str = "value",
+    inside: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Generator of ``pos``, ``ip`` and the ``attributes`` of a line.
+
+    The addresses of a line are taken once and filtered first; only where some are
+    left are the attributes computed, once for the line however many addresses it
+    has.  ``inside`` may drop the line by its attributes.
+    """
+    hits = F.transform(A.extract_ips(value, ipv6_mode), lambda ip, i: F.struct(i.alias("pos"), ip.alias("ip")))
+    if keep is not None:
+        hits = F.filter(hits, lambda h: keep(h["ip"]))
+    of_line = F.array(F.struct(*[c.alias(n) for n, c in attributes.items()]))
+    if inside is not None:
+        of_line = F.filter(of_line, inside)
+
+    def rows(found: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                of_line,
+                lambda a: F.transform(
+                    found,
+                    lambda h: F.struct(
+                        h["pos"].alias("pos"), h["ip"].alias("ip"), *[a[n].alias(n) for n in attributes]
+                    ),
+                ),
+            )
+        )
+
+    some = F.filter(F.array(hits), lambda found: F.size(found) > 0)
+    return F.inline(F.flatten(F.transform(some, rows)))
+
+
 def extract_entries(
     lines: DataFrame,
     detect_login: bool = False,
@@ -53,54 +104,52 @@ def extract_entries(
     ipv6_mode: str = "reference",
     assume_year: int | None = None,
     correlation: Column | None = None,
-    keep: Column | None = None,
+    keep: Callable[[Column], Column] | None = None,
     time_range: tuple[int | None, int | None, bool] | None = None,
 ) -> DataFrame:
     """Entries of lines.
 
-    ``keep`` is a predicate over ``ip`` that runs before any line attribute is
-    computed.  ``correlation``, an expression over the line columns, adds a column
-    of that name in which empty text is null.  ``time_range`` (start, end, include
-    missing) drops entries outside while the time stamp is taken, which saves
-    taking it once to filter and once to keep.
+    ``keep`` tests an address before any line attribute is computed.
+    ``correlation``, an expression over the line columns, adds a column of that name
+    in which empty text is null.  ``time_range`` (start, end, include missing) drops
+    entries outside while the time stamp is taken, which saves taking it once to
+    filter and once to keep.
     """
-    hits = explode_ips(lines, ipv6_mode)
-    if keep is not None:
-        hits = hits.where(keep)
-    if time_range is None:
-        dated = with_date(hits, assume_year=assume_year)
-    else:
-        start, end, missing = time_range
-        inside = F.filter(
-            F.array(extract_date("value", assume_year)), lambda d: _inside(d["ts"], start, end, missing)
-        )
-        dated = hits.select("*", F.inline(inside))
-    status = login_status("value") if detect_login else F.lit(None).cast("string")
-    numbered = ["line_number"] if "line_number" in lines.columns else []
-    extra = []
+    attributes = {
+        "_date": extract_date("value", assume_year),
+        "login_status": login_status("value") if detect_login else F.lit(None).cast("string"),
+        "matches_search": search_flag("value", search, search_regex),
+    }
     if correlation is not None:
-        extra.append(F.nullif(correlation, F.lit("")).alias("correlation"))
-    return dated.select(
+        attributes["correlation"] = F.nullif(correlation, F.lit(""))
+    inside = None
+    if time_range is not None:
+        inside = lambda a: _inside(a["_date"]["ts"], *time_range)
+    numbered = ["line_number"] if "line_number" in lines.columns else []
+    extra = ["correlation"] if correlation is not None else []
+    found = lines.select("file_path", *numbered, "row_id", entry_rows(attributes, keep, ipv6_mode, inside=inside))
+    return found.select(
         "ip",
-        "date_string",
-        "ts",
+        "_date.date_string",
+        "_date.ts",
         F.col("file_path").alias("filename"),
         *numbered,
         "row_id",
         "pos",
-        status.alias("login_status"),
-        search_flag("value", search, search_regex).alias("matches_search"),
+        "login_status",
+        "matches_search",
         *extra,
     )
 
 
 def _inside(ts: Column, start, end, include_missing: bool) -> Column:
-    inside = F.lit(True)
+    """Plain comparisons, which a scan of stored entries can use."""
+    inside = ts != 0
     if start is not None:
         inside = inside & (ts >= start)
     if end is not None:
         inside = inside & (ts <= end)
-    return F.when(ts == 0, F.lit(include_missing)).otherwise(inside)
+    return inside | (ts == 0) if include_missing else inside
 
 
 def in_time_range(
@@ -109,12 +158,8 @@ def in_time_range(
     end: int | Column | None = None,
     include_missing: bool = False,
 ) -> Column:
-    """Inclusive range with optional ends; ``ts`` 0 means no time stamp.
-
-    The time stamp is bound once, so a filter that the optimizer moves below the
-    extraction repeats it once, not for every comparison.
-    """
-    return F.exists(F.array(ts), lambda t: _inside(t, start, end, include_missing))
+    """Inclusive range with optional ends; ``ts`` 0 means no time stamp."""
+    return _inside(F.col(ts), start, end, include_missing)
 
 
 def filter_time_range(
@@ -157,33 +202,42 @@ def last_entries(entries: DataFrame, n: int) -> DataFrame:
 
 
 def match_ranges(
-    entries: DataFrame, ranges: DataFrame, include_missing: bool = False,
-    max_ranges: int = 10_000,
+    entries: DataFrame, ranges: DataFrame, include_missing: bool = False, bucket_seconds: int = 86_400,
 ) -> DataFrame:
     """Entries joined to every named range that holds them.
 
-    ``ranges(name, start_ts, end_ts)`` has null for an open end.  The rules are
-    gathered into one array (their number is checked against ``max_ranges``),
-    which each entry filters in place, so entries are never shuffled or paired
-    with ranges that do not hold them.
+    ``ranges(name, start_ts, end_ts)`` has null for an open end.  A range is cut
+    into buckets of whole powers of two times ``bucket_seconds``, as few as cover
+    it, and an entry meets the one bucket of each width that holds it; ends are
+    then compared exactly.  So the work is an equi-join, whatever the number of
+    ranges and however long they are.
     """
-    n = ranges.limit(max_ranges + 1).count()
-    if n > max_ranges:
-        raise ValueError(f"more than {max_ranges} ranges")
-    rules = ranges.agg(
-        F.collect_list(F.struct("name", "start_ts", "end_ts")).alias("_rules")
-    ).withColumn("_one", F.lit(1))
-    ts = F.col("ts")
-
-    def holds(rule: Column) -> Column:
-        inside = F.coalesce(ts >= rule["start_ts"], F.lit(True)) & F.coalesce(
-            ts <= rule["end_ts"], F.lit(True)
-        )
-        return F.when(ts == 0, F.lit(include_missing)).otherwise(inside)
-
-    return (
-        entries.withColumn("_one", F.lit(1))
-        .join(F.broadcast(rules), "_one")
-        .select(*entries.columns, F.explode(F.filter("_rules", holds)).alias("_rule"))
-        .select(*entries.columns, F.col("_rule.name").alias("range_name"))
+    widths = [bucket_seconds << i for i in range(_WIDTHS)]
+    low, high = -(1 << 40), 1 << 40
+    ends = ranges.select(
+        "name", "start_ts", "end_ts", F.coalesce("start_ts", F.lit(low)).alias("_lo"), F.coalesce("end_ts", F.lit(high)).alias("_hi")
+    ).where("_lo <= _hi")
+    span = F.col("_hi") - F.col("_lo")
+    level = F.lit(_WIDTHS - 1)
+    for i in reversed(range(_WIDTHS - 1)):
+        level = F.when(span <= widths[i], i).otherwise(level)
+    sized = ends.withColumn("_level", level).withColumn(
+        "_width", F.element_at(F.array(*[F.lit(w).cast("bigint") for w in widths]), F.col("_level") + 1)
     )
+    first, last = F.floor(F.col("_lo") / F.col("_width")), F.floor(F.col("_hi") / F.col("_width"))
+    cut = sized.select("name", "start_ts", "end_ts", "_level", F.explode(F.sequence(first, last)).alias("_bucket"))
+    used = [r["_level"] for r in cut.select("_level").distinct().collect()]  # a row for each width at most
+    names = entries.columns
+    if not used:
+        return entries.where(F.lit(False)).withColumn("range_name", F.lit(None).cast("string"))
+    met = entries.select(
+        "*", F.inline(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(F.col("ts") / widths[i]).alias("_bucket")) for i in sorted(used)]))
+    ).where("ts <> 0")
+    held = met.join(cut, ["_level", "_bucket"]).where(
+        (F.col("start_ts").isNull() | (F.col("ts") >= F.col("start_ts"))) & (F.col("end_ts").isNull() | (F.col("ts") <= F.col("end_ts")))
+    ).select(*names, F.col("name").alias("range_name"))
+    if not include_missing:
+        return held
+    every = ranges.select(F.lit(0).alias("_ts"), F.col("name").alias("range_name"))
+    undated = entries.where("ts = 0").join(every, F.col("ts") == F.col("_ts")).select(*names, "range_name")
+    return held.unionByName(undated)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import is_eu_country, is_gdpr_country
 from ..session import pinned
+from .joins import salted_join
 
 # group kind -> key column, extra column taken from the smallest address
 _KINDS = {"asn": ("asn", "org"), "country": ("cc", "country"), "org": ("org", None)}
@@ -74,17 +75,16 @@ def group_members(stats: DataFrame, kind: str, order: bool = True) -> DataFrame:
 def members_with_totals(stats: DataFrame, kind: str) -> DataFrame:
     """Members in long form with the totals of their group.
 
-    The statistics are checkpointed, so that totals and members come from one pass
-    over the logs.  The totals have one row per group; where they outgrow Spark's
-    broadcast limit the adaptive join splits an oversized group.
+    The statistics are written once, so that totals and members come from one pass
+    over the logs.  Most addresses may share the group of those without a place, so
+    members of a group are spread over copies of its totals.
     """
     stats = pinned(stats)
     totals = stats.groupBy(group_key(kind).alias("group_key")).agg(
         F.count(F.lit(1)).alias("unique_ips"), F.sum("count").alias("total_events")
     )
-    return group_members(stats, kind, order=False).join(totals, "group_key").orderBy(
-        F.desc("total_events"), "group_key", "ip"
-    )
+    members = group_members(stats, kind, order=False)
+    return salted_join(members, totals, ["group_key"], F.col("ip")).orderBy(F.desc("total_events"), "group_key", "ip")
 
 
 def nested_groups(stats: DataFrame, kind: str) -> DataFrame:

@@ -5,38 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
 SALTS = 16
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """Join of a left side with known hot keys to a right side with one row per key.
 
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    spread: Column | None = None,
-    small: bool | None = None,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join a large left side to a right side with one row per key.
-
-    The right side is broadcast only if its row count is checked to be within
-    ``max_broadcast_rows`` (``small`` skips the check where the caller already
-    knows).  Beyond that both sides are shuffled; ``spread`` then splits every
-    left key over ``SALTS`` sub-keys against copies of the right row, so one
-    hot key cannot land in a single task.
+    ``spread`` splits every left key over ``SALTS`` sub-keys against copies of the
+    right row, so one hot key cannot land in a single task.  Where no key is known
+    to be hot a plain join does: Spark broadcasts by bytes and splits skewed keys.
     """
-    if small is None:
-        small = fits(right, max_broadcast_rows)
-    if small:
-        return left.join(F.broadcast(right), on, how)
-    if spread is None:
-        return left.join(right, on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

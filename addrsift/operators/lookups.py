@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pinned
-from .joins import BROADCAST_ROWS, lookup_join
 
 CACHE_SCHEMA = "ip string, source string, cached_at bigint, data map<string,string>"
 
@@ -26,22 +25,15 @@ def with_hostname(stats: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def enrich_entries(
-    entries: DataFrame,
-    lookup: Callable[[DataFrame], DataFrame],
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def enrich_entries(entries: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Look every distinct address up once and attach the result to all its entries.
 
     ``lookup`` maps a table of distinct ``ip`` to one row per ``ip``.  Its result is
-    checkpointed, so counting it does not repeat it.  Entries of a frequent address
-    are spread when the result is too large to broadcast.
+    written once; Spark broadcasts it if its bytes allow and else splits the entries
+    of a frequent address.
     """
     found = pinned(lookup(entries.select("ip").distinct()))
-    return lookup_join(
-        entries, found, ["ip"], "left",
-        spread=F.struct("row_id", "pos"), max_broadcast_rows=max_broadcast_rows,
-    )
+    return entries.join(found, "ip", "left")
 
 
 def not_enriched(stats: DataFrame, enriched: DataFrame, marker: str) -> DataFrame:
@@ -57,7 +49,7 @@ def fresh_cache(cache: DataFrame, now: int | Column, ttl_hours: int) -> DataFram
     return (
         cache.where(age <= ttl_hours)
         .groupBy("ip", "source")
-        .agg(F.max("cached_at").alias("cached_at"), F.max_by("data", "cached_at").alias("data"))
+        .agg(F.max("cached_at").alias("cached_at"), F.max_by("data", F.struct("cached_at", F.to_json("data"))).alias("data"))
     )
 
 
@@ -73,7 +65,7 @@ def merge_cache(fresh: DataFrame, fetched: DataFrame) -> DataFrame:
         usable.select("ip", "source", "cached_at", "data")
     )
     return both.groupBy("ip", "source").agg(
-        F.max("cached_at").alias("cached_at"), F.max_by("data", "cached_at").alias("data")
+        F.max("cached_at").alias("cached_at"), F.max_by("data", F.struct("cached_at", F.to_json("data"))).alias("data")
     )
 
 

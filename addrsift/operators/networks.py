@@ -1,11 +1,11 @@
 """Joins of addresses to networks: membership and longest prefix.
 
-A prefix match is an equi-join once the prefix length is known.  A row is repeated
-for each prefix length the network table really has (at most 33 for IPv4 and 129
-for IPv6), its address cut to it and looked up by (family, plen, hi, lo).  Rows
-without a hit are dropped on the spot, except one per address that keeps it in the
-result.  Rows that already lie together by ``ip`` stay where they are, so a
-broadcast lookup adds no shuffle and reads its input once.
+A prefix match is an equi-join once the prefix length is known.  Each distinct
+address is repeated for each prefix length the network tables really have (at most
+33 for IPv4 and 129 for IPv6), cut to it and looked up by (family, plen, hi, lo).
+Only hits go on; they are reduced per address and joined back to the rows, so a row
+stays whatever its address is: null, repeated, or in no network.  The same plan
+serves tables of any size.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.networks import address_key, network_key, prefix_key
 from ..session import pinned
-from .joins import BROADCAST_ROWS, lookup_join
 
 _KEY = ["_family", "_plen", "_hi", "_lo"]
-_NONE = -1  # prefix length of the row that stands for "no network"
 
 
 def keyed_networks(networks: DataFrame, column: str = "network") -> DataFrame:
@@ -30,78 +28,28 @@ def keyed_networks(networks: DataFrame, column: str = "network") -> DataFrame:
     return networks.select("*", key).select("*", *parts).drop("_k")
 
 
-def _profile(keyed: DataFrame) -> tuple[dict[int, list[int]], int]:
-    """Prefix lengths by family and row count: one aggregate of at most 162 rows."""
-    found = keyed.groupBy("_family", "_plen").agg(F.count(F.lit(1)).alias("n")).collect()
-    lengths = {f: sorted(r["_plen"] for r in found if r["_family"] == f) for f in (4, 6)}
-    return lengths, sum(r["n"] for r in found)
-
+def _hits(ips: DataFrame, table: DataFrame) -> DataFrame:
+    """Every (ip, network) pair of distinct addresses and a keyed table.
 
-def _hits(rows: DataFrame, table: DataFrame, lengths: dict[int, list[int]], small: bool) -> DataFrame:
-    """Rows with every matching network, plus each row once with no network."""
+    The table's prefix lengths are found by one aggregate of at most 162 rows.
+    Spark broadcasts the table if its bytes allow; else addresses of a network that
+    holds very many of them are split by the adaptive join.
+    """
+    found = table.select("_family", "_plen").distinct().collect()
+    lengths = {f: sorted(r["_plen"] for r in found if r["_family"] == f) for f in (4, 6)}
 
     def array(values: list[int]) -> Column:
-        return F.array(*[F.lit(v) for v in [*values, _NONE]])
+        return F.array(*map(F.lit, values)) if values else F.array().cast("array<int>")
 
     family = F.col("_a.family")
-    plens = (
-        F.when(family == 4, array(lengths[4]))
-        .when(family == 6, array(lengths[6]))
-        .otherwise(array([]))
-    )
+    plens = F.when(family == 4, array(lengths[4])).when(family == 6, array(lengths[6])).otherwise(array([]))
     candidates = (
-        rows.select("*", address_key("ip").alias("_a"))
-        .select("*", F.explode(plens).alias("_len"))
-        .select("*", prefix_key("_a", "_len").alias("_c"))
-        .select(
-            *rows.columns, F.col("_c.family").alias("_family"), F.col("_len").alias("_plen"),
-            F.col("_c.hi").alias("_hi"), F.col("_c.lo").alias("_lo"),
-        )
+        ips.select("ip", address_key("ip").alias("_a"))
+        .select("ip", "_a", F.explode(plens).alias("_len"))
+        .select("ip", F.col("_len").alias("_plen"), prefix_key("_a", "_len").alias("_c"))
+        .select("ip", F.col("_c.family").alias("_family"), "_plen", F.col("_c.hi").alias("_hi"), F.col("_c.lo").alias("_lo"))
     )
-    found = lookup_join(
-        candidates, table.withColumn("_hit", F.lit(True)), _KEY, "left",
-        spread=F.col("ip"), small=small,
-    )
-    return found.where(F.col("_hit") | (F.col("_plen") == _NONE))
-
-
-def _merged(
-    rows: DataFrame, keyed: DataFrame, value: Column, results: list[Column], max_broadcast_rows: int
-) -> DataFrame:
-    """Rows (one per ``ip``) with the aggregated results of their networks.
-
-    ``value`` is what several rows of one network come to.
-
-    A table within the broadcast bound lets whole rows flow through the lookup.
-    Beyond it only addresses are shuffled and the results joined back to the rows,
-    which are pinned first so that they are not computed twice.
-    """
-    lengths, n = _profile(keyed)
-    table = keyed.groupBy(*_KEY).agg(value)
-    if n <= max_broadcast_rows:
-        rest = [c for c in rows.columns if c != "ip"]
-        carried = [F.first(F.struct(*rest)).alias("_row")] if rest else []
-        grouped = _hits(rows, table, lengths, small=True).groupBy("ip").agg(*carried, *results)
-        kept = [F.col("ip") if c == "ip" else F.col(f"_row.{c}").alias(c) for c in rows.columns]
-        return grouped.select(*kept, *[c for c in grouped.columns if c not in ("ip", "_row")])
-    rows = pinned(rows)
-    grouped = _hits(rows.select("ip"), table, lengths, small=False).groupBy("ip").agg(*results)
-    return rows.join(grouped, "ip")
-
-
-def longest_prefix(
-    rows: DataFrame, blocks: DataFrame, values: list[str], network: str = "network",
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Add the ``values`` of the most specific block that holds ``ip``; nulls if none.
-
-    ``rows`` has one row per ``ip``.  Of equal blocks the one with the smallest
-    values counts.
-    """
-    smallest = F.min(F.struct(*values)).alias("_v")
-    best = F.max_by("_v", F.when(F.col("_hit"), F.col("_plen"))).alias("_v")
-    out = _merged(rows, keyed_networks(blocks, network), smallest, [best], max_broadcast_rows)
-    return out.select(*rows.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
+    return candidates.join(table, _KEY)
 
 
 GEO_COLUMNS = {
@@ -110,77 +58,102 @@ GEO_COLUMNS = {
 }
 
 
-def with_geo(
-    stats: DataFrame,
-    geo_blocks: DataFrame | None,
+def _tagged(tables: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[Column]]:
+    """Keyed networks of several tables in one, and what an address gets of each.
+
+    ``tables`` maps a tag to (blocks, value columns): the values of the longest
+    prefix win.  Threat lists come under the tag ``lists`` and are gathered.
+    """
+    parts: list[tuple[str, DataFrame]] = []
+    results: list[Column] = []
+    for tag, (blocks, values) in tables.items():
+        own = F.col("_list") if tag == "lists" else F.struct(*values)
+        keyed = keyed_networks(blocks).select(*_KEY, own.alias(tag))
+        parts.append((tag, keyed))
+        if tag == "lists":
+            results.append(F.flatten(F.collect_list(tag)).alias(tag))
+        else:
+            results.append(F.max_by(tag, F.when(F.col(tag).isNotNull(), F.col("_plen"))).alias(tag))
+    union = parts[0][1]
+    for _, keyed in parts[1:]:
+        union = union.unionByName(keyed, allowMissingColumns=True)
+    merged = [(F.collect_set(t) if t == "lists" else F.min(t)).alias(t) for t, _ in parts]
+    return union.groupBy(*_KEY).agg(*merged), results
+
+
+def with_networks(
+    rows: DataFrame,
+    geo_blocks: DataFrame | None = None,
     asn_blocks: DataFrame | None = None,
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    threats: DataFrame | None = None,
 ) -> DataFrame:
-    """Add cc, country, city, latitude, longitude, asn and org.
-
-    ``geo_blocks`` may carry asn and org as well; where ``asn_blocks`` knows the
-    address its values take their place.  A numeric asn gets the prefix ``AS``.
+    """Add what places, networks and threat lists say about ``ip`` in one lookup.
+
+    Adds cc, country, city, latitude, longitude, asn and org if there are blocks,
+    and ``lists``, the sorted names of the lists that hold the address, if there
+    are threats.  ``geo_blocks`` may carry asn and org as well; where
+    ``asn_blocks`` knows the address its values take their place.  A numeric asn
+    gets the prefix ``AS``.  Threat entries without a prefix are compared as text.
+    The rows, mostly one per address, are written once, as they are used twice.
     """
-    out = stats
-    found: dict[str, list[str]] = {name: [] for name in GEO_COLUMNS}
-    for prefix, blocks in (("_asn_", asn_blocks), ("_geo_", geo_blocks)):
+    rows = pinned(rows)
+    tables: dict[str, tuple[DataFrame, list[str]]] = {}
+    found: dict[str, list[Column]] = {name: [] for name in GEO_COLUMNS}
+    for tag, blocks in (("_asn", asn_blocks), ("_geo", geo_blocks)):
         if blocks is None:
             continue
         known = [c for c in GEO_COLUMNS if c in blocks.columns]
         if "asn" in known and blocks.schema["asn"].dataType.typeName() != "string":
             blocks = blocks.withColumn("asn", F.concat(F.lit("AS"), F.col("asn").cast("string")))
-        renamed = blocks.select("network", *[F.col(c).alias(prefix + c) for c in known])
-        out = longest_prefix(
-            out, renamed, [prefix + c for c in known], max_broadcast_rows=max_broadcast_rows
-        )
+        tables[tag] = (blocks.select("network", *known), known)
         for c in known:
-            found[c].append(prefix + c)
-    return out.select(
-        *stats.columns,
-        *[
-            F.coalesce(*found[c], F.lit(None)).cast(t).alias(c)
-            for c, t in GEO_COLUMNS.items()
-        ],
-    )
-
-
-def with_threat_lists(
-    stats: DataFrame, threats: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Add ``lists``: the sorted names of the lists that hold ``ip``.
-
-    Entries without a prefix are compared as text, the others as networks.
-    """
-    names = F.collect_set("list_name").alias("_lists")
-    is_net = F.col("network").contains("/")
-    exact = threats.where(~is_net).groupBy(F.col("network").alias("ip")).agg(
-        F.collect_set("list_name").alias("_exact")
-    )
-    nets = keyed_networks(threats.where(is_net))
-    out = lookup_join(stats, exact, ["ip"], max_broadcast_rows=max_broadcast_rows)
-    out = _merged(
-        out, nets, names, [F.flatten(F.collect_list("_lists")).alias("_nets")], max_broadcast_rows
-    )
-    none = F.array().cast("array<string>")
-    return out.select(
-        *stats.columns,
-        F.array_sort(F.array_union(F.coalesce("_exact", none), F.coalesce("_nets", none))).alias(
-            "lists"
-        ),
-    )
+            found[c].append(F.col(f"{tag}.{c}"))
+    out = rows
+    exact = None
+    if threats is not None:
+        is_net = F.col("network").contains("/")
+        tables["lists"] = (threats.where(is_net).select("network", F.col("list_name").alias("_list")), [])
+        exact = threats.where(~is_net).groupBy(F.col("network").alias("ip")).agg(F.collect_set("list_name").alias("_exact"))
+    if tables:
+        keyed, results = _tagged(tables)
+        table = pinned(keyed)
+        ips = rows.select("ip").where(F.col("ip").isNotNull()).distinct()
+        out = rows.join(_hits(ips, table).groupBy("ip").agg(*results), "ip", "left")
+    columns = list(rows.columns)
+    added = []
+    if geo_blocks is not None or asn_blocks is not None:
+        added += [F.coalesce(*found[c], F.lit(None)).cast(t).alias(c) for c, t in GEO_COLUMNS.items()]
+    if exact is not None:
+        none = F.array().cast("array<string>")
+        out = out.join(exact, "ip", "left")
+        added.append(F.array_sort(F.array_union(F.coalesce("_exact", none), F.coalesce("lists", none))).alias("lists"))
+    return out.select(*columns, *added)
+
+
+def with_geo(stats: DataFrame, geo_blocks: DataFrame | None, asn_blocks: DataFrame | None = None) -> DataFrame:
+    """Add cc, country, city, latitude, longitude, asn and org; see :func:`with_networks`."""
+    if geo_blocks is None and asn_blocks is None:
+        return stats.select("*", *[F.lit(None).cast(t).alias(c) for c, t in GEO_COLUMNS.items()])
+    return with_networks(stats, geo_blocks, asn_blocks)
+
+
+def with_threat_lists(stats: DataFrame, threats: DataFrame) -> DataFrame:
+    """Add ``lists``: the sorted names of the lists that hold ``ip``."""
+    return with_networks(stats, threats=threats)
+
+
+def wanted_threats(threats: DataFrame, lists: list[str] | None = None) -> DataFrame:
+    return threats.where(F.col("list_name").isin(P.THREAT_LISTS if lists is None else lists))
+
+
+def threat_flags(lists: list[str] | None = None) -> list[Column]:
+    """One Yes/No column per list, from the column ``lists``."""
+    return [
+        F.when(F.array_contains("lists", n), "Yes").otherwise("No").alias(n)
+        for n in (P.THREAT_LISTS if lists is None else lists)
+    ]
 
 
-def with_threat_flags(
-    stats: DataFrame,
-    threats: DataFrame,
-    lists: list[str] | None = None,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def with_threat_flags(stats: DataFrame, threats: DataFrame, lists: list[str] | None = None) -> DataFrame:
     """Add one Yes/No column per list."""
-    lists = P.THREAT_LISTS if lists is None else lists
-    wanted = threats.where(F.col("list_name").isin(lists))
-    listed = with_threat_lists(stats, wanted, max_broadcast_rows)
-    flags = [
-        F.when(F.array_contains("lists", n), "Yes").otherwise("No").alias(n) for n in lists
-    ]
-    return listed.select(*stats.columns, *flags)
+    return with_threat_lists(stats, wanted_threats(threats, lists)).select(*stats.columns, *threat_flags(lists))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import BROADCAST_ROWS
 
 STATS_COLUMNS = [
     "ip", "first_seen", "last_seen", "count", "first_ts", "last_ts",
@@ -85,10 +84,7 @@ def top_ips(entries: DataFrame, n: int) -> DataFrame:
 
 def entries_of_top_ips(entries: DataFrame, n: int) -> DataFrame:
     """Entries whose address is among the ``n`` most frequent."""
-    top = top_ips(entries, n).select("ip")
-    if n <= BROADCAST_ROWS:
-        top = F.broadcast(top)
-    return entries.join(top, "ip", "left_semi")
+    return entries.join(top_ips(entries, n).select("ip"), "ip", "left_semi")
 
 
 def top_stats(entries: DataFrame, n: int, keep: Column | None = None) -> DataFrame:

@@ -133,7 +133,7 @@ def _entries(lines: DataFrame, o: Options) -> DataFrame:
         ipv6_mode=o.ipv6_mode,
         assume_year=o.assume_year,
         correlation=correlation,
-        keep=E.address_filter(o.no_private, o.no_reserved, o.no_ipv4, o.no_ipv6),
+        keep=E.address_test(o.no_private, o.no_reserved, o.no_ipv4, o.no_ipv6),
         # limits look at entries of all times, so the range can only come early without them
         time_range=None if o.top_limit or o.limit else o.time_range,
     )
@@ -161,16 +161,17 @@ def _attacks(stats: DataFrame, o: Options) -> DataFrame:
 
 
 def _enriched(stats: DataFrame, o: Options) -> DataFrame:
-    if o.geo_blocks is not None or o.asn_blocks is not None:
-        stats = N.with_geo(stats, o.geo_blocks, o.asn_blocks)
+    threats = None if o.threats is None else N.wanted_threats(o.threats, o.threat_lists)
+    if not (o.geo_blocks is None and o.asn_blocks is None and threats is None):
+        stats = N.with_networks(stats, o.geo_blocks, o.asn_blocks, threats)
     if o.hostnames is not None:
         stats = L.with_hostname(stats, o.hostnames)
     if o.lookups:
         stats = pinned(stats)  # every lookup starts from its addresses
     for lookup in o.lookups:
         stats = stats.join(lookup(stats.select("ip")), "ip", "left")
-    if o.threats is not None:
-        stats = N.with_threat_flags(stats, o.threats, o.threat_lists)
+    if threats is not None:
+        stats = stats.select(*[c for c in stats.columns if c != "lists"], *N.threat_flags(o.threat_lists))
     if o.outside_eu:
         stats = G.outside_eu(stats)
     if o.outside_gdpr:

@@ -8,17 +8,14 @@ beyond being stable for one read.
 
 from __future__ import annotations
 
-import lzma
 import os
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import BROADCAST_ROWS, lookup_join
 from ..session import pinned
 
 LINE_COLUMNS = ["value", "file_path", "block_start", "row_id"]
@@ -58,43 +55,25 @@ def read_lines(
 ) -> DataFrame:
     """Lines of files, directories and globs in one scan.
 
-    gzip and bzip2 are decoded by extension, xz by :func:`_read_xz`.  Missing
-    paths are reported and skipped, corrupt files skipped, unless
-    ``skip_failing`` is off.  One gzip or xz file is one task; ``partitions``
-    redistributes the lines after the scan where a few such files hold most of
-    the data.
+    gzip and bzip2 are decoded by extension; Spark has no codec for xz.  Missing
+    paths are reported and skipped, corrupt files skipped from where they break
+    (Spark logs it on the executor), unless ``skip_failing`` is off.  One gzip file
+    is one task; ``partitions`` redistributes the lines after the scan where a few
+    such files hold most of the data.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     paths = [os.path.expanduser(p) if p.startswith("~") else p for p in paths]
-    plain = [p for p in paths if codec_of(p) != "xz"]
-    xz = [p for p in paths if codec_of(p) == "xz" or _may_hold_many(p)]
-
-    parts = []
-    if plain:
-        text = _load(spark, plain, skip_failing, _text_reader)
-        if text is not None:
-            parts.append(text)
-    if xz:
-        binary = _load(spark, xz, skip_failing, _xz_reader, quiet=plain)
-        if binary is not None:
-            parts.append(binary)
-    if not parts:
+    lines = _load(spark, paths, skip_failing, _text_reader)
+    if lines is None:
         return spark.createDataFrame(
             [], "value string, file_path string, block_start bigint, row_id bigint"
         )
-    lines = parts[0]
-    for other in parts[1:]:
-        lines = lines.unionByName(other)
     lines = lines.select(
         "value", "file_path", "block_start", F.monotonically_increasing_id().alias("row_id")
     )
     return lines.repartition(partitions) if partitions else lines
 
 
-def _may_hold_many(path: str) -> bool:
-    return any(c in path for c in "*?[{") or os.path.splitext(path)[1] == ""
-
-
 def _text_reader(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFrame:
     raw = (
         spark.read.option("lineSep", "\n")
@@ -102,8 +81,6 @@ def _text_reader(spark: SparkSession, paths: list[str], skip_failing: bool) -> D
         .option("ignoreMissingFiles", skip_failing)
         .text(paths)
     )
-    if any(_may_hold_many(p) for p in paths):
-        raw = raw.where("NOT endswith(lower(_metadata.file_path), '.xz')")
     # compressed files lose one CR per line, plain ones keep it
     return raw.selectExpr(
         r"CASE WHEN endswith(value, '\r') AND lower(_metadata.file_path) RLIKE r'\.(gz|bz2)$'"
@@ -113,70 +90,7 @@ def _text_reader(spark: SparkSession, paths: list[str], skip_failing: bool) -> D
     )
 
 
-def _xz_reader(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFrame:
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                path = batch.column("path")[row].as_py()
-                content = batch.column("content")[row].as_buffer()
-                for lines in _xz_lines(memoryview(content), path, skip_failing):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(lines, pa.string()),
-                            pa.array([path] * len(lines), pa.string()),
-                            pa.array([0] * len(lines), pa.int64()),
-                        ],
-                        names=["value", "file_path", "block_start"],
-                    )
-
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.[xX][zZ]")
-        .option("ignoreCorruptFiles", skip_failing)
-        .option("ignoreMissingFiles", skip_failing)
-        .load(paths)
-        .select("path", "content")
-    )
-    return files.mapInArrow(decode, "value string, file_path string, block_start bigint")
-
-
-def _text(line: bytes) -> str:
-    return (line[:-1] if line.endswith(b"\r") else line).decode("utf-8", "replace")
-
-
-def _xz_lines(
-    content: memoryview, path: str, skip_failing: bool, step: int = 1 << 20
-) -> Iterator[list[str]]:
-    """Lists of decoded lines, a bounded amount at a time; all streams of the file."""
-    decoder = lzma.LZMADecompressor()
-    rest = b""
-    data = content
-    try:
-        while True:
-            if decoder.eof:
-                tail = bytes(decoder.unused_data).lstrip(b"\0") + bytes(data)
-                if not tail:
-                    break
-                decoder, data = lzma.LZMADecompressor(), memoryview(tail)
-            if decoder.needs_input:
-                chunk, data = data[:step], data[step:]
-                if not len(chunk):
-                    break
-            else:
-                chunk = b""
-            rest += decoder.decompress(chunk, max_length=step)
-            *whole, rest = rest.split(b"\n")
-            if whole:
-                yield [_text(line) for line in whole]
-    except lzma.LZMAError as problem:
-        if not skip_failing:
-            raise
-        warnings.warn(f"{path}: {problem}", stacklevel=1)
-    if rest:
-        yield [_text(rest)]
-
-
-def _load(spark, paths, skip_failing, reader, quiet=()):
+def _load(spark, paths, skip_failing, reader):
     """One read of all paths; if a path is missing, leave it out with a warning."""
     try:
         return reader(spark, paths, skip_failing)
@@ -191,36 +105,45 @@ def _load(spark, paths, skip_failing, reader, quiet=()):
         except AnalysisException as problem:
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-            if path not in quiet:
-                warnings.warn(f"skipped, no such file: {path}", stacklevel=3)
+            warnings.warn(f"skipped, no such file: {path}", stacklevel=3)
     return reader(spark, present, skip_failing) if present else None
 
 
-def number_lines(lines: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add ``line_number``, 1-based per file.
-
-    One pass counts the lines of every file split; the running sums of that small
-    table give each split its first number, and a line adds its distance from the
-    first row of its split.  No sort of lines, no window over a file.
-    """
+def split_table(lines: DataFrame) -> DataFrame:
+    """One row per file split: first_id, last_id, n_rows, and first_line, the 1-based
+    number of its first line in the file."""
     splits = lines.groupBy("file_path", "block_start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_id")
+        F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id")
     )
     before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = pinned(
-        splits.select(
-            "file_path",
-            "block_start",
-            (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("first_id")).alias("shift"),
-        )
-    )
+    return splits.withColumn("first_line", F.coalesce(F.sum("n_rows").over(before), F.lit(0)) + 1)
+
+
+def split_first(row_id: Column, first_id: Column, last_id: Column) -> Column:
+    """Distance of a line from the first of its split, as an earlier pass saw it.
+
+    Row ids hang on how Spark cuts files into tasks.  A line outside the rows that
+    the earlier pass saw means that the cut has changed in between: an error.
+    """
+    at = row_id - first_id
+    wrong = first_id.isNull() | (at < 0) | F.coalesce(row_id > last_id, F.lit(False))
+    return F.when(wrong, F.raise_error(F.lit("files were cut otherwise than in the pass before")).cast("bigint")).otherwise(at)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``line_number``, 1-based per file.
+
+    One pass counts the lines of every file split; the running sums of that small
+    table give each split its first number, and a line adds its distance from the
+    first row of its split.  No sort of lines, no window over a file.  If Spark cuts
+    the files otherwise in the second pass that is an error, and no line is lost.
+    """
+    table = pinned(split_table(lines))
+    place = split_first(F.col("row_id"), F.col("first_id"), F.col("last_id"))
     return (
-        lookup_join(
-            lines, offsets, ["file_path", "block_start"], "inner",
-            spread=F.col("row_id"), max_broadcast_rows=max_broadcast_rows,
-        )
-        .withColumn("line_number", F.col("row_id") + F.col("shift"))
-        .drop("shift")
+        lines.join(table, ["file_path", "block_start"], "left")
+        .withColumn("line_number", place + F.col("first_line"))
+        .select(*lines.columns, "line_number")
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lines import login_status, search_flag
-from ..operators.entries import explode_ips, with_date
+from ..functions.lines import extract_date, login_status, search_flag
+from ..operators.entries import entry_rows
 from ..operators.stats import with_attack_flags
 
 
@@ -25,19 +27,17 @@ def stream_entries(
     search_regex: str | None = None,
     ipv6_mode: str = "reference",
     assume_year: int | None = None,
-    keep: Column | None = None,
+    keep: Callable[[Column], Column] | None = None,
     value: str = "value",
 ) -> DataFrame:
     """Entries of a stream of lines; a stream has no line order, so none is given."""
-    hits = explode_ips(lines.select(F.col(value).alias("value")), ipv6_mode)
-    if keep is not None:
-        hits = hits.where(keep)
-    status = login_status("value") if detect_login else F.lit(None).cast("string")
-    return with_date(hits, assume_year=assume_year).select(
-        "ip", "date_string", "ts",
-        status.alias("login_status"),
-        search_flag("value", search, search_regex).alias("matches_search"),
-    )
+    attributes = {
+        "_date": extract_date("value", assume_year),
+        "login_status": login_status("value") if detect_login else F.lit(None).cast("string"),
+        "matches_search": search_flag("value", search, search_regex),
+    }
+    found = lines.select(F.col(value).alias("value")).select(entry_rows(attributes, keep, ipv6_mode))
+    return found.select("ip", "_date.date_string", "_date.ts", "login_status", "matches_search")
 
 
 def _aggregates() -> list[Column]:
