@@ -109,10 +109,9 @@ def top_stats_in_range(spark, sf_dir):
     return S.top_stats(entries(spark, sf_dir), 20, E.in_time_range("ts", START, END)).select(*CORE)
 
 
-@query(with_(ENTRIES, "SELECT event_id, CAST(pos AS INTEGER) AS pos, ip FROM entries ORDER BY event_id DESC, pos DESC LIMIT 100"))
+@query(with_(ENTRIES, "SELECT event_id, CAST(pos AS INTEGER) AS pos, ip, ts FROM entries ORDER BY event_id DESC, pos DESC LIMIT 100"))
 def last_n_entries(spark, sf_dir):
-    last = E.last_entries(entries(spark, sf_dir), 100)
-    return last.select(F.col("row_id").alias("event_id"), "pos", "ip")
+    return entries(spark, sf_dir, last=100).select(F.col("row_id").alias("event_id"), "pos", "ip", "ts")
 
 
 # -- attack flags ------------------------------------------------------------------------

@@ -106,13 +106,14 @@ def extract_entries(
     correlation: Column | None = None,
     keep: Callable[[Column], Column] | None = None,
     time_range: tuple[int | None, int | None, bool] | None = None,
+    last: int | None = None,
 ) -> DataFrame:
     """Entries of lines.
 
     ``keep`` tests an address before any line attribute is computed.
     ``correlation``, an expression over the line columns, adds a column of that name
-    in which empty text is null.  ``time_range`` (start, end, include missing) drops
-    entries outside while the time stamp is taken, which saves taking it once to
+    in which empty text is null.  ``time_range`` (start, end, include missing)
+    drops entries outside while the time stamp is taken, which saves taking it once to
     filter and once to keep.
     """
     attributes = {
@@ -127,7 +128,14 @@ def extract_entries(
         inside = lambda a: _inside(a["_date"]["ts"], *time_range)
     numbered = ["line_number"] if "line_number" in lines.columns else []
     extra = ["correlation"] if correlation is not None else []
-    found = lines.select("file_path", *numbered, "row_id", entry_rows(attributes, keep, ipv6_mode, inside=inside))
+    if last is None:
+        found = lines.select("file_path", *numbered, "row_id", entry_rows(attributes, keep, ipv6_mode, inside=inside))
+    else:
+        hits = explode_ips(lines, ipv6_mode)
+        hits = last_entries(hits if keep is None else hits.where(keep(F.col("ip"))), last)
+        found = hits.select("*", *[c.alias(n) for n, c in attributes.items()])
+        if time_range is not None:
+            found = found.where(_inside(F.col("_date.ts"), *time_range))
     return found.select(
         "ip",
         "_date.date_string",

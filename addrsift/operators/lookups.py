@@ -132,7 +132,9 @@ def lookup_cached(
 ) -> DataFrame:
     """Results for all addresses: fresh cache rows first, the rest from ``lookup``.
 
-    The distinct addresses are checkpointed, as hits and misses both start from them.
+    The distinct addresses are written first, as hits and misses both start from them,
+    and so is what was fetched: the service is called once per address, however often
+    the result is used.
     """
     wanted = pinned(ips.select("ip").distinct())
     fresh = fresh_cache(cache.where(F.col("source") == source), now, ttl_hours)
@@ -140,7 +142,7 @@ def lookup_cached(
         "ip", "source", "cached_at", "data",
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache"),
     )
-    fetched = fetch(
-        cache_misses(wanted, fresh, source), source, lookup, now, concurrency, pause_seconds
+    fetched = pinned(
+        fetch(cache_misses(wanted, fresh, source), source, lookup, now, concurrency, pause_seconds)
     )
     return hits.unionByName(fetched.withColumn("from_cache", F.lit(False)))

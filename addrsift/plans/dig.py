@@ -42,6 +42,8 @@ class Options:
     correlate_custom: str | None = None
     extract_domain: bool = False
     header: bool | None = None
+    layouts: DataFrame | None = None  # ready-made ones save the pass that takes them
+    custom_needs_layout: bool = False
     # filters
     no_private: bool = False
     no_reserved: bool = False
@@ -123,10 +125,13 @@ def _entries(lines: DataFrame, o: Options) -> DataFrame:
     if o.correlating:
         lines, correlation = C.correlate(
             lines, user=o.correlate_user, host=o.correlate_host, custom=o.correlate_custom,
-            domain=o.extract_domain, header=o.header,
+            domain=o.extract_domain, header=o.header, layouts=o.layouts,
+            custom_needs_layout=o.custom_needs_layout,
         )
+    latest = {"last": o.limit} if o.limit and not o.top_limit else {}
     return E.extract_entries(
         lines,
+        **latest,
         detect_login=o.detect_login,
         search=o.search,
         search_regex=o.search_regex,
@@ -148,8 +153,8 @@ def _statistics(entries: DataFrame, o: Options) -> DataFrame:
         return S.top_stats(entries, o.top_limit, keep)
     if o.top_limit:
         entries = S.entries_of_top_ips(entries, o.top_limit)
-    if o.limit:
-        entries = E.last_entries(entries, o.limit)
+        if o.limit:
+            entries = E.last_entries(entries, o.limit)
     return S.ip_stats(entries if keep is None else entries.where(keep))
 
 
