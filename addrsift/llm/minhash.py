@@ -38,7 +38,7 @@ class Near:
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6
-    pairs: int = 4
+    pairs: int = 16
     quiet: int = 1
 
 
