@@ -8,8 +8,11 @@ leaves goes to the lattice of pieces.  So
 
     P(word) = max(c - d, 0) / N + d V / N * sum over segmentations of prod p(piece)
 
-is a distribution over all words, seen or not, and the probability of a text
-is the product over its words and its end.  The weights of the pieces start
+is a distribution over all words, seen or not.  Texts may come in kinds, such
+as languages, each with counts of its own that are discounted in the same way
+towards P; the probability of a text is then the sum over the kinds of their
+share times the product over its words and its end.  A text's own kind isn't
+used in scoring it.  The weights of the pieces start
 from the ranks in the vocabulary and are fitted to the distinct training words
 by expectation maximisation over the same lattices.
 
@@ -43,11 +46,13 @@ _LONG = 64
 @dataclass(frozen=True)
 class Learning:
     """rounds of expectation maximisation; pseudo: count added to every piece;
-    block_bytes: text of a block of documents (a longer text is one block)."""
+    block_bytes: text of a block of documents (a longer text is one block);
+    kinds: the most frequent kinds of text with counts of their own."""
 
     rounds: int = 2
     pseudo: float = 0.1
     block_bytes: int = 16 << 20
+    kinds: int = 6
 
 
 def _hash(points: list[int]) -> int:
@@ -244,33 +249,36 @@ def spell(words: list[bytes], pieces: Pieces, logp: np.ndarray, expected: np.nda
     return out
 
 
-def _blocks(block_bytes: int, kind: pa.DataType):
-    """(doc_id, held_out, text) to one row per block of texts."""
-    names = ["words", "counts", "ids", "held", "n_words", "sizes", "at", "times"]
+def _blocks(block_bytes: int, id_type: pa.DataType, kinds: int):
+    """(doc_id, held_out, kind, text) to one row per block of texts."""
+    names = ["words", *(f"c{k}" for k in range(kinds)), "ids", "held", "n_words", "sizes", "at", "times", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        ids, held, lengths, at, times, size = [], [], [], [], [], 0
+        ids, held, of, lengths, at, times, size = [], [], [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in at], np.int64)
             flat = np.concatenate([np.zeros(0, np.int32), *at])
             often = np.concatenate([np.zeros(0, np.int32), *times])
-            trains = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(flat[trains], often[trains], minlength=len(known)).astype(np.int64)
+            trains = np.where(held, -1, of)
+            per_word = np.repeat(trains, sizes)
+            counts = [np.bincount(flat[per_word == k], often[per_word == k], minlength=len(known)).astype(np.int64) for k in range(kinds)]
             columns = [
-                pa.array(known, pa.binary()), pa.array(counts), pa.array(ids, kind), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()),
+                pa.array(known, pa.binary()), *map(pa.array, counts), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()),
                 pa.array(sizes), pa.array(flat, pa.int32()), pa.array(often, pa.int32()),
+                pa.array([int((trains == k).sum()) for k in range(kinds)], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            for i, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
+            for i, out, kind, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "held_out", "kind")), texts, strict=True):
                 raw = text.as_py().lower()  # bytes: A-Z only
                 found = Counter(raw.split())
                 ids.append(i)
                 held.append(out)
+                of.append(kind)
                 lengths.append(sum(found.values()))
                 at.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
@@ -278,7 +286,7 @@ def _blocks(block_bytes: int, kind: pa.DataType):
                 if size >= block_bytes:
                     yield block()
                     known = {}
-                    ids, held, lengths, at, times, size = [], [], [], [], [], 0
+                    ids, held, of, lengths, at, times, size = [], [], [], [], [], [], 0
         if ids:
             yield block()
 
@@ -342,30 +350,50 @@ class Totals:
     def base(self, count):
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
-    def score(self, count, spelling):
+    def score(self, count, below):
+        """Log10 of the discounted share of the tokens, the rest to ``below``,
+        the natural log of the distribution it is shrunk to."""
         seen = np.maximum(count - self.discount, 0.0) / max(self.tokens, 1)
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(seen), math.log(self.left) + spelling) / math.log(10.0)
+            return np.logaddexp(np.log(seen), math.log(self.left) + below) / math.log(10.0)
 
 
-def _scored(totals: Totals):
+def text_scores(totals: Totals, kinds: list[Totals], counts: np.ndarray, spelling: np.ndarray, per_text) -> np.ndarray:
+    """Log10 probabilities of texts.  counts: one row for each kind, one column
+    for each word; per_text sums the values of words over each text."""
+    overall = totals.score(counts.sum(axis=0), spelling)
+    seen = [(k, t) for k, t in enumerate(kinds) if t.ends]
+    if len(seen) < 2:
+        return per_text(overall) + math.log10(totals.end)
+    parts = []
+    for k, t in seen:
+        share = math.log10(t.ends / totals.ends)
+        parts.append(per_text(t.score(counts[k], overall * math.log(10.0))) + math.log10(t.end) + share)
+    top = np.max(parts, axis=0)
+    return top + np.log10(np.sum(10.0 ** (np.array(parts) - top), axis=0))
+
+
+def _scored(totals: Totals, kinds: list[Totals]):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         at = words.column("pos").to_numpy()
-        count, spelling = np.zeros(len(at)), np.zeros(len(at))
-        count[at], spelling[at] = words.column("c").to_numpy(), words.column("spelling").to_numpy()
-        base, score, known = totals.base(count), totals.score(count, spelling), (count > 0).astype(np.int64)
+        counts, spelling = np.zeros((len(kinds), len(at))), np.zeros(len(at))
+        for k in range(len(kinds)):
+            counts[k, at] = words.column(f"c{k}").to_numpy()
+        spelling[at] = words.column("spelling").to_numpy()
+        count = counts.sum(axis=0)
         row = {n: docs.column(n).combine_chunks().flatten() for n in ("ids", "held", "n_words", "sizes", "at", "times")}
         flat, often = row["at"].to_numpy(), row["times"].to_numpy()
-        owner = np.repeat(np.arange(len(row["sizes"])), row["sizes"].to_numpy())
         n = len(row["sizes"])
+        owner = np.repeat(np.arange(n), row["sizes"].to_numpy())
 
-        def per_doc(values: np.ndarray) -> np.ndarray:
+        def per_text(values: np.ndarray) -> np.ndarray:
             return np.bincount(owner, values[flat] * often, minlength=n)
 
         return pa.table({
             "doc_id": row["ids"], "held_out": row["held"], "n_tokens": pa.array(row["n_words"].to_numpy() + 1),
-            "n_known": pa.array(np.rint(per_doc(known)).astype(np.int64) + int(totals.ends > 0)), "train_tokens": pa.array(np.full(n, totals.tokens)),
-            "base_score": pa.array(per_doc(base) + totals.base(totals.ends)), "score": pa.array(per_doc(score) + math.log10(totals.end)),
+            "n_known": pa.array(np.rint(per_text((count > 0).astype(float))).astype(np.int64) + int(totals.ends > 0)),
+            "train_tokens": pa.array(np.full(n, totals.tokens)), "base_score": pa.array(per_text(totals.base(count)) + totals.base(totals.ends)),
+            "score": pa.array(text_scores(totals, kinds, counts, spelling, per_text)),
         })
 
     return run
@@ -377,52 +405,77 @@ def is_held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(of.cast("string")) % 5 == 1, F.lit(False))
 
 
-def score_texts(docs: DataFrame, pieces: Pieces, held_out: Column, doc_id: str = "doc_id", text: str = "text", plan: Learning = Learning()) -> DataFrame:
+def _kinds(rows: DataFrame, most: int) -> list[str]:
+    """The most frequent kinds of the training texts, at most so many."""
+    counted = rows.filter("NOT held_out AND kind IS NOT NULL").groupBy("kind").count()
+    return [r.kind for r in counted.orderBy(F.desc("count"), "kind").limit(most).collect()]
+
+
+def _totals(words: DataFrame, count: str, ends: int) -> Totals:
+    c = F.expr(count)
+    found = words.agg(
+        F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.count_if(c > 0).alias("v"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2")
+    ).first()
+    discount = min(max(found.n1 / (found.n1 + 2 * found.n2) if found.n1 else 0.5, 0.05), 0.95)
+    return Totals(int(found.n) + ends, int(found.v) + (1 if ends else 0), ends, discount)
+
+
+def score_texts(
+    docs: DataFrame, pieces: Pieces, held_out: Column, doc_id: str = "doc_id", text: str = "text", kind: Column | None = None, plan: Learning = Learning()
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 of the probability of the whole text).
 
     Tokens are the words, A-Z lowered, and one end.  Texts that aren't held out
-    are learned from.  A null or empty text is its end alone; repeated rows
-    count, and are scored, as often as they come; without training texts a word
-    has the probability of its spelling and an end one half.  An empty table
-    gives no rows.
+    are learned from; ``kind`` may name the kind of each (null and rare ones
+    are one kind).  A null or empty text is its end alone; repeated rows count,
+    and are scored, as often as they come; without training texts a word has
+    the probability of its spelling and an end one half.  An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_of(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType
+    named = F.lit(None).cast("string") if kind is None else kind.cast("string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), named.alias("kind"), text_of(text).alias("text"))
+    names = [] if kind is None else _kinds(rows, plan.kinds)
+    index = F.lit(len(names))
+    for i, name in enumerate(names):
+        index = F.when(F.col("kind") == name, i).otherwise(index)
+    of_kind = [f"c{k}" for k in range(len(names) + 1)]
+    id_type = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = (
-        f"words array<binary>, counts array<bigint>, ids array<{kind.simpleString()}>, held array<boolean>, n_words array<bigint>, "
-        "sizes array<bigint>, at array<int>, times array<int>"
+        "words array<binary>, " + "".join(f"{c} array<bigint>, " for c in of_kind) + f"ids array<{id_type.simpleString()}>, held array<boolean>, "
+        "n_words array<bigint>, sizes array<bigint>, at array<int>, times array<int>, ends array<bigint>"
     )
     blocks = staged(
-        rows.mapInArrow(_blocks(plan.block_bytes, to_arrow_type(kind)), schema).withColumn("block", F.monotonically_increasing_id()), "lattice-blocks"
+        rows.withColumn("kind", index).mapInArrow(_blocks(plan.block_bytes, to_arrow_type(id_type), len(of_kind)), schema)
+        .withColumn("block", F.monotonically_increasing_id()),
+        "lattice-blocks",
     )
-    met = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select(
-        "block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("c")
+    met = blocks.select("block", F.posexplode(F.arrays_zip("words", *of_kind)).alias("pos", "w")).select(
+        "block", "pos", F.col("w.words").alias("word"), *[F.col(f"w.{c}").alias(c) for c in of_kind]
     )
-    words = staged(met.groupBy("word").agg(F.sum("c").alias("c")), "lattice-words")
-    found = words.filter("c > 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).first()
-    ends = blocks.select(F.aggregate("held", F.lit(0).cast("bigint"), lambda n, h: n + F.when(h, 0).otherwise(1)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    discount = min(max(found.n1 / (found.n1 + 2 * found.n2) if found.n1 else 0.5, 0.05), 0.95)
-    totals = Totals(int(found.n) + ends, int(found.v) + (1 if ends else 0), ends, discount)
+    words = staged(met.groupBy("word").agg(*[F.sum(c).alias(c) for c in of_kind]), "lattice-words")
+    every = " + ".join(of_kind)
+    ends = blocks.agg(*[F.coalesce(F.sum(F.get("ends", F.lit(k))), F.lit(0)).alias(c) for k, c in enumerate(of_kind)]).first()
+    totals = _totals(words, every, sum(ends))
+    kinds = [_totals(words, c, ends[c]) for c in of_kind]
 
     shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
     logp = pieces.scores
-    for _ in range(plan.rounds if found.v else 0):
+    for _ in range(plan.rounds if totals.kinds > 1 else 0):
         counts = (
-            words.filter("c > 0").select("word").mapInArrow(_expect(shared, logp), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        )  # a row for each piece at most
+            words.filter(f"{every} > 0").select("word").mapInArrow(_expect(shared, logp), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        ).collect()  # a row for each piece at most
         weights = np.full(len(logp), plan.pseudo)
         for r in counts:
             weights[r.piece] += r.n
         logp = pieces.normalised(weights)
-    spelt = staged(words.mapInArrow(_spelt(shared, logp), "word binary, c bigint, spelling double"), "lattice-spelt")
-    told = met.select("block", "pos", "word").join(spelt, "word").select(F.col("block").alias("of"), "pos", "c", "spelling")
+    longs = "".join(f"{c} bigint, " for c in of_kind)
+    spelt = staged(words.mapInArrow(_spelt(shared, logp), f"word binary, {longs}spelling double"), "lattice-spelt")
+    told = met.select("block", "pos", "word").join(spelt, "word").select(F.col("block").alias("of"), "pos", *of_kind, "spelling")
     return blocks.select("block", "ids", "held", "n_words", "sizes", "at", "times").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(
-        _scored(totals),
-        f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        _scored(totals, kinds),
+        f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )

@@ -275,4 +275,4 @@ def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice import is_held_out, load_pieces, score_texts
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return score_texts(_table(spark, sf_dir, "documents"), pieces, is_held_out("doc_id"))
+    return score_texts(_table(spark, sf_dir, "documents"), pieces, is_held_out("doc_id"), kind=F.col("lang"))

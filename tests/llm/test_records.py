@@ -269,7 +269,9 @@ def test_scores(spark):
     rows += [(200, None), (201, ""), (201, ""), (None, "ab abc"), (202, "ab " * 50_000), (203, "x" * 70_000)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS block", "2 AS words", "3 AS held_out")
     pieces = small_pieces()
-    out = lattice.score_texts(frame, pieces, lattice.is_held_out("doc_id"), plan=lattice.Learning(block_bytes=2000)).collect()
+    kind = F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b").when(F.col("doc_id") == 5, "c")
+    plan = lattice.Learning(block_bytes=2000, kinds=2)
+    out = lattice.score_texts(frame, pieces, lattice.is_held_out("doc_id"), kind=kind, plan=plan).collect()
     assert len(out) == len(rows)
     def held(i):
         return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -302,5 +304,12 @@ def test_word_probabilities_sum_to_less_than_one():
     counts = {b"ab": 9, b"b": 5, b"abc": 1}
     words = ["".join(w).encode() for n in range(1, 8) for w in itertools.product("abc", repeat=n)]
     spelt = lattice.spell(words, pieces, pieces.scores)
-    p = 10.0 ** totals.score(np.array([counts.get(w, 0) for w in words]), spelt)
+    seen = np.array([counts.get(w, 0) for w in words])
+    p = 10.0 ** totals.score(seen, spelt)
     assert 0.6 < p.sum() < 1 - totals.end + 1e-9
+    # the same of a mixture of kinds, over texts of one word and their end
+    parts = np.array([np.where(seen > 1, seen - 2, 0), np.where(seen > 1, 2, seen)])
+    kinds = [lattice.Totals(13, 3, 3, 0.5), lattice.Totals(7, 4, 2, 0.5)]
+    q = 10.0 ** lattice.text_scores(totals, kinds, parts.astype(float), spelt, lambda values: values)
+    ends = [t.end for t in kinds]
+    assert 0.5 * min(ends) < q.sum() / (1 - min(ends)) < max(ends)
