@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .inputs import check_sql
 
+# Patterns, months, failure words, country lists and unit names as results need them.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 H = "[0-9a-fA-F]{1,4}"
 V4 = rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"
@@ -12,6 +13,10 @@ V6 = (
     rf"|\b::(?:{H}:){{0,5}}{H}\b|\b{H}::(?:{H}:){{0,5}}{H}\b"
     rf"|\b::ffff:(?:{OCTET}\.){{3}}{OCTET}\b"
 )
+EU = (
+    "'AT','BE','BG','HR','CY','CZ','DK','EE','FI','FR','DE','GR','HU','IE','IT','LV','LT','LU','MT','NL','PL','PT','RO','SK','SI','ES','SE'"
+)
+GDPR = EU + ",'IS','LI','NO','GB','CH'"
 # position 3 * month - 2 of the month's name
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -92,6 +97,7 @@ def exploded(source: str, text: str, keep: str, name: str = "hits") -> str:
     )
 
 
+# Words of a failed login.
 FAILED = (
     "regexp_matches(lower(line), 'failed|failure|fail|wrong password|wrong username|invalid password"
     "|invalid username|invalid user|authentication failure|authentication failed|auth failed"

@@ -15,7 +15,7 @@ from ..plans.dig import dig
 from ..sinks import views as V
 from ..sources import lists as T
 from .base import query
-from .checks import ENTRIES, HITS, LINES, stats_of, v4_number, v6_hex, with_
+from .checks import ENTRIES, EU, GDPR, HITS, LINES, stats_of, v4_number, v6_hex, with_
 from .extraction import END, START
 from .inputs import NOW, check_sql, frame, log_lines, table
 from .statistics import STATS, entries
@@ -118,15 +118,14 @@ def enrich_entries_geo(spark, sf_dir):
     return placed.select(F.col("row_id").alias("event_id"), "pos", "ip", "cc", "city")
 
 
-_EU = "'AT','BE','BG','HR','CY','CZ','DK','EE','FI','FR','DE','GR','HU','IE','IT','LV','LT','LU','MT','NL','PL','PT','RO','SK','SI','ES','SE'"
 
 
-@query(with_(STATS, _GEO, f'SELECT ip, "count", cc FROM located WHERE cc IS NULL OR cc NOT IN ({_EU})'))
+@query(with_(STATS, _GEO, f'SELECT ip, "count", cc FROM located WHERE cc IS NULL OR cc NOT IN ({EU})'))
 def filter_outside_eu(spark, sf_dir):
     return G.outside_eu(_placed(spark, sf_dir)).select("ip", "count", "cc")
 
 
-@query(with_(STATS, _GEO, f"""SELECT ip, "count", cc FROM located WHERE cc IS NULL OR cc NOT IN ({_EU},'IS','LI','NO','GB','CH')"""))
+@query(with_(STATS, _GEO, f"""SELECT ip, "count", cc FROM located WHERE cc IS NULL OR cc NOT IN ({GDPR})"""))
 def filter_outside_gdpr(spark, sf_dir):
     return G.outside_gdpr(_placed(spark, sf_dir)).select("ip", "count", "cc")
 
@@ -459,7 +458,7 @@ _KEPT = [*ENTRIES, f"""kept AS (SELECT * FROM entries WHERE NOT starts_with(ip,
   first_ts > 0 AND login_failed_count >= 5 AND last_ts - first_ts <= 86400 AS is_bruteforce
 FROM placed p JOIN (SELECT ip, {_FLAG_COLUMNS} FROM (SELECT ip, list_name, {_inside('ip', 'network')} AS hit
   FROM (SELECT ip FROM stats), threats) GROUP BY ip) t ON p.ip = t.ip
-WHERE cc IS NULL OR cc NOT IN ({_EU})"""))
+WHERE cc IS NULL OR cc NOT IN ({EU})"""))
 def dig_end_to_end(spark, sf_dir):
     """All steps: filters, time range, statistics, flags, places, threat lists, region filter."""
     return dig(

@@ -10,8 +10,8 @@ from ..functions import text as X
 from ..functions import times as T
 from ..operators import entries as E
 from .base import query
-from .checks import ENTRIES, FAILED, HITS, LINES, V4, V6, dated, exploded, with_
-from .inputs import NOW, check_sql, frame, log_lines, table
+from .checks import ENTRIES, EU, FAILED, GDPR, HITS, LINES, V4, V6, dated, exploded, with_
+from .inputs import CODE_OF_NATION, NOW, check_sql, frame, log_lines, table
 
 START, END = 1704844800, 1705708800  # 2024-01-10 and 2024-01-20, 00:00:00 UTC
 
@@ -128,14 +128,10 @@ def ip_family(spark, sf_dir):
     return pool.select("event_id", A.is_ipv4("ip").alias("v4"), A.is_ipv6("ip").alias("v6"))
 
 
-@query("""SELECT n_nationkey, lower(cc) AS cc,
-  cc IN ('AT','BE','BG','HR','CY','CZ','DK','EE','FI','FR','DE','GR','HU','IE','IT','LV','LT','LU','MT','NL','PL','PT','RO','SK','SI','ES','SE') AS eu,
-  cc IN ('AT','BE','BG','HR','CY','CZ','DK','EE','FI','FR','DE','GR','HU','IE','IT','LV','LT','LU','MT','NL','PL','PT','RO','SK','SI','ES','SE','IS','LI','NO','GB','CH') AS gdpr
-FROM (SELECT n_nationkey, substr('DEFRUSGBCHNOISLIATBRJPNLSEPLESITCAAUINCNZADKFIIEPT', 2 * n_nationkey + 1, 2) AS cc FROM nation)""")
+@query(f"""SELECT n_nationkey, lower(cc) AS cc, cc IN ({EU}) AS eu, cc IN ({GDPR}) AS gdpr
+FROM (SELECT n_nationkey, {CODE_OF_NATION} AS cc FROM nation)""")
 def country_regions(spark, sf_dir):
-    codes = F.lower(F.substr(
-        F.lit("DEFRUSGBCHNOISLIATBRJPNLSEPLESITCAAUINCNZADKFIIEPT"), 2 * F.col("n_nationkey") + 1, F.lit(2)
-    ))
+    codes = F.lower(F.expr(CODE_OF_NATION))
     rows = table(spark, sf_dir, "nation").select("n_nationkey", codes.alias("cc"))
     return rows.select(
         "n_nationkey", "cc", A.is_eu_country("cc").alias("eu"), A.is_gdpr_country("cc").alias("gdpr")
@@ -236,6 +232,7 @@ def range_rules_join(spark, sf_dir):
 
 # -- time arguments -----------------------------------------------------------------
 
+# Names of time units.
 _UNIT = """CASE WHEN u IN ('s','sec','second','seconds') THEN 1 WHEN u IN ('m','min','minute','minutes') THEN 60
   WHEN u IN ('h','hr','hour','hours') THEN 3600 WHEN u IN ('d','day','days') THEN 86400
   WHEN u IN ('w','week','weeks') THEN 604800 WHEN u IN ('mo','month','months') THEN 2592000

@@ -23,6 +23,13 @@ FORMATS = {
     "cert": ("MMM d HH:mm:ss yyyy", "%b %-d %H:%M:%S %Y"),
 }
 
+# Country codes of the 25 nations, by key.
+CODES = [
+    "DE", "FR", "US", "GB", "CH", "NO", "IS", "LI", "AT", "BR", "JP", "NL", "SE",
+    "PL", "ES", "IT", "CA", "AU", "IN", "CN", "ZA", "DK", "FI", "IE", "PT",
+]
+CODE_OF_NATION = "CASE n_nationkey " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " END"
+
 _IP_OF_EVENT = """CASE user_id % 4
     WHEN 0 THEN '10.' || (user_id % 20) || '.' || day(ts) || '.7'
     WHEN 1 THEN '203.0.113.' || (user_id % 20 + day(ts))
@@ -115,7 +122,7 @@ FROM (
       WHEN 24 THEN '8.' || n_nationkey || '.1.0/24' WHEN 17 THEN '10.' || n_nationkey || '.0.0/17'
       ELSE '2001:db8:0:0:0:0:' || n_nationkey || ':0/112' END AS network,
     CASE WHEN n_nationkey = 3 THEN NULL WHEN plen = 8 THEN 'US' WHEN plen = 24 THEN 'CH'
-      ELSE substr('DEFRUSGBCHNOISLIATBRJPNLSEPLESITCAAUINCNZADKFIIEPT', 2 * n_nationkey + 1, 2) END AS cc
+      ELSE """ + CODE_OF_NATION + """ END AS cc
   FROM (SELECT n_nationkey, {each:8, 16, 24, 17, 112} AS plen FROM {nation}) p
   WHERE plen <> 8 OR n_nationkey = 0) g"""),
 
