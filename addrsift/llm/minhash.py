@@ -31,17 +31,15 @@ _BLOCK = 1_000_000
 @dataclass(frozen=True)
 class Near:
     """shingle: words of a shingle; similarity: of a link; bands x rows
-    registers; apart: distances of the bands that refine mixed buckets; pairs:
-    compared for a node in one turn; quiet: turns without a new link after
-    which the search ends."""
+    registers; block, block_bytes: about as many members of a bucket, and bytes
+    of their texts, are compared with as many others in one piece."""
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6
-    apart: tuple[int, ...] = (1, 3, 7, 12)
-    pairs: int = 16
-    quiet: int = 1
+    block: int = 256
+    block_bytes: int = 4_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -202,50 +200,162 @@ def fingerprint(text: str | Column) -> Column:
     return F.unhex(F.md5(F.trim(F.regexp_replace(_lowered(text), _RUN, " "))))
 
 
-def _pairs(members: DataFrame, state: DataFrame, turn: int, most: int) -> DataFrame:
-    """At most ``most`` new pairs (node, centre) for each node in a turn, with
-    their components: the centres that it meets in the most buckets.  The
-    others have their turn later.
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """One pair (node, centre) for each node: the centre that it meets in the
+    most buckets.  A bucket's centre is the member that meets the most others in
+    all its buckets, which tends to be the text that the others were copied from.
+    """
+    centres = members.groupBy("key").agg(F.min(F.struct((-F.col("meets")).alias("o"), "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    met = members.join(centres, "key").filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    return met.groupBy("node").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("b")).select("node", (-F.col("b.c")).alias("centre"))
+
 
-    A bucket's centre is first the member that meets the most others in all its
-    buckets, which tends to be the text that the others were copied from; then
-    a random one, another in each bucket and turn.  Only members of other
-    components than the centre's are compared with it.
+def _crossings(members: DataFrame, comps: DataFrame, plan: Near) -> DataFrame:
+    """(key, kind, p, q, side, node, comp): the members of the buckets that hold
+    several components, dealt to groups such that any two of a bucket that are of
+    different components are together in one.
+
+    Members of the bucket's largest component are blocks of their own, which
+    meet the blocks of the others only (kind m); those meet each other too (kind
+    o).  Buckets of the same members count once.
     """
-    known = members.join(state, "node")
-    order = F.xxhash64("node", "key", F.lit(turn)) if turn else -F.col("meets")
-    centres = known.groupBy("key").agg(
-        F.min(F.struct(order.alias("o"), "node", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    centres = centres.filter("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
-    met = known.join(centres, "key").filter((F.col("comp") != F.col("centre_comp")) & ~F.array_contains("tested", F.col("centre")))
-    # a node meets at most one centre in each band
-    of_node = met.groupBy("node", "comp").agg(F.collect_list(F.struct("centre", "centre_comp")).alias("all"))
-    counted = F.transform(
-        F.array_distinct("all"), lambda c: F.struct(F.size(F.filter("all", lambda x: x == c)).alias("n"), (-c["centre"]).alias("c"), c.alias("of"))
+    known = members.join(comps, "node").select("key", "node", "comp", "size")
+    of_comp = known.groupBy("key", "comp").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")
     )
-    best = F.slice(F.sort_array(counted, asc=False), 1, most)
-    return of_node.select("node", "comp", F.explode(best).alias("b")).select(
-        "node", "comp", F.col("b.of.centre").alias("centre"), F.col("b.of.centre_comp").alias("centre_comp")
+    buckets = of_comp.groupBy("key").agg(
+        F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"),
+        F.max(F.struct("n", "comp", "bytes")).alias("most"),
+    ).filter("comps > 1")
+    buckets = buckets.groupBy("n", "h", "g").agg(F.min(F.struct("key", "bytes", "most")).alias("b")).select("n", "b.*")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / plan.block), F.ceil(size / plan.block_bytes)).cast("int")
+
+    cut = buckets.select(
+        "key", F.col("most.comp").alias("major"), (blocks(F.col("n"), F.col("bytes")) == 1).alias("whole"),
+        blocks(F.col("most.n"), F.col("most.bytes")).alias("ms"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("os"),
     )
 
+    def group(kind: str, p: Column, q: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+
+    at = F.pmod(F.xxhash64("node", "key"), F.when(F.col("comp") == F.col("major"), F.col("ms")).otherwise(F.col("os"))).cast("int")
+    to_m, to_o = F.sequence(F.lit(0), F.col("ms") - 1), F.sequence(F.lit(0), F.col("os") - 1)
+    groups = (
+        F.when(F.col("whole"), F.array(group("o", F.lit(0), F.lit(0), F.lit(0))))
+        .when(F.col("comp") == F.col("major"), F.transform(to_o, lambda o: group("m", o, F.col("at"), F.lit(1))))
+        .otherwise(F.concat(
+            F.transform(to_o, lambda o: group("o", F.least(o, "at"), F.greatest(o, "at"), F.col("at") > o)),
+            F.transform(to_m, lambda m: group("m", F.col("at"), m, F.lit(0))),
+        ))
+    )
+    dealt = known.join(cut, "key").withColumn("at", at).select("key", "node", "comp", F.explode(groups).alias("to"))
+    return dealt.select("key", "to.*", "node", "comp")
+
+
+def upper_bounds(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of a and each of b a number that their similarity does not exceed,
+    and equals where no shingle repeats: the sum of the larger weights of common
+    shingles over that of all."""
+    sizes = [len(h) for h, _ in a] + [len(h) for h, _ in b]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    weights = np.concatenate([w for _, w in [*a, *b]]).astype(np.float64)
+    total = np.bincount(owner, weights, len(sizes))
+    _, column, held = np.unique(np.concatenate([h for h, _ in [*a, *b]]), return_inverse=True, return_counts=True)
+    often = held > 1  # others are common to no two
+    new = np.cumsum(often) - 1
+    stays = often[column]
+    column, owner, weights = new[column[stays]], owner[stays], weights[stays]
+    order = np.argsort(column, kind="stable")
+    column, owner, weights = column[order], owner[order], weights[order]
+    least, larger = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    kind = np.float32 if total.max(initial=0) < 2**23 else np.float64  # sums are exact
+    last = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, last, 4096):
+        here = slice(*np.searchsorted(column, [start, start + 4096]))
+        table = np.zeros((len(sizes), min(4096, last - start)), kind)
+        table[owner[here], column[here] - start] = weights[here]
+        has = (table > 0).astype(kind)
+        heavy = np.flatnonzero(table.max(axis=0) > 1)
+        light = has.copy()
+        light[:, heavy] = 0
+        n = len(a)
+        both = light[:n] @ light[n:].T
+        for c in heavy:
+            both += np.minimum.outer(table[:n, c], table[n:, c])
+        least += both
+        larger += table[:n] @ has[n:].T + has[:n] @ table[n:].T - both
+    return larger / (total[: len(a), None] + total[None, len(a) :] - least)
+
+
+def _links_of(nodes: list[tuple[int, int, bytes]], plan: Near) -> list[tuple[int, int]]:
+    """Links between the components of the members (side, component, text) of
+    one group, as many as connect what is near."""
+    ids = _WordIds()
+    left = [(c, shingles(t, plan.shingle, ids)) for s, c, t in nodes if not s]
+    right = [(c, shingles(t, plan.shingle, ids)) for s, c, t in nodes if s]
+    other = right or left
+    if not left:
+        return []
+    comp_a, comp_b = np.array([c for c, _ in left]), np.array([c for c, _ in other])
+    untested = comp_a[:, None] != comp_b[None, :]
+    if not right:
+        untested &= np.tri(len(left), dtype=bool).T
+    if untested.sum() > 3:
+        bound = upper_bounds([x for _, x in left], [x for _, x in other])
+        untested &= bound >= plan.similarity - 1e-6
+        at = np.argwhere(untested)
+        at = at[np.argsort(-bound[untested], kind="stable")]
+    else:
+        at = np.argwhere(untested)
+    under: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in under:
+            if under[c] in under:
+                under[c] = under[under[c]]
+            c = under[c]
+        return c
+
+    links = []
+    for i, j in at.tolist():
+        (a, x), (b, y) = left[i], other[j]
+        if (ra := root(a)) != (rb := root(b)) and similarity(x, y) >= plan.similarity:
+            under[ra] = rb
+            links.append((a, b))
+    return links
+
+
+def _crossed(plan: Near):
+    """Links (a, b) of components from sorted groups of (key, kind, p, q)."""
 
-def _refined(members: DataFrame, state: DataFrame, rows: DataFrame, plan: Near) -> DataFrame:
-    """Finer buckets for the nodes of those that still hold several components:
-    nodes that meet in two bands, ``plan.apart`` from each other.  A passage that
-    many texts share fills a band now and then, but hardly two at once; texts of
-    a similarity of 0.8 meet in nine of the 128 pairs."""
-    known = members.join(state, "node")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_nodes = known.join(mixed, "key").select("node").distinct()
-    keys = rows.select(F.col("row").alias("node"), "keys").join(open_nodes, "node")
-    both = F.transform(
-        F.sequence(F.lit(0), F.lit(plan.bands - 1)),
-        lambda i: F.array(*[F.xxhash64(F.get("keys", i), F.get("keys", (i + o) % plan.bands)) for o in plan.apart]),
-    )
-    finer = keys.select(F.explode(F.flatten(both)).alias("key"), "node").join(state.select("node", "comp"), "node")
-    shared = finer.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return finer.join(shared, "key").select("key", "node", F.lit(0).cast("bigint").alias("meets"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        now, members = None, []
+        for batch in batches:
+            links = []
+            texts = batch.column("text").cast(pa.binary())
+            columns = (batch.column(n).to_pylist() for n in ("key", "kind", "p", "q", "side", "comp"))
+            for i, (*group, side, comp) in enumerate(zip(*columns, strict=True)):
+                if group != now:
+                    links += _links_of(members, plan)
+                    now, members = group, []
+                members.append((side, comp, texts[i].as_py()))
+            if links:
+                yield told(links)
+        if links := _links_of(members, plan):
+            yield told(links)
+
+    return run
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of nodes after links between them."""
+    least = components(links).withColumnsRenamed({"a": "comp", "b": "under"})
+    return comps.join(least, "comp", "left").withColumn("comp", F.coalesce("under", "comp")).drop("under")
 
 
 def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFrame:
@@ -263,32 +373,23 @@ def _classes(docs: DataFrame, text: str, rows: DataFrame, plan: Near) -> DataFra
         .join(sought, "fp").groupBy("node").agg(F.any_value("text").alias("text")),
         "near-texts",
     )
-    state = staged(members.groupBy("node").agg(F.min("node").alias("comp")).withColumn("tested", F.array().cast("array<bigint>")), "near-state")
-    turn, quiet = 0, 0
-    while quiet < plan.quiet:
-        compared = staged(
-            _pairs(members, state, turn, plan.pairs if turn else 1)
-            .join(texts.select("node", F.col("text").alias("text_a")), "node")
-            .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_b")), "centre")
-            .select("node", "centre", "comp", "centre_comp", "text_a", "text_b")
-            .mapInArrow(_compared(plan), "node bigint, centre bigint, comp bigint, centre_comp bigint, near boolean"),
-            "near-compared",
-        )
-        links = compared.filter("near").select(F.col("comp").alias("a"), F.col("centre_comp").alias("b"))
-        quiet = quiet + 1 if links.isEmpty() else 0
-        if quiet < plan.quiet:
-            state = state.join(compared.groupBy("node").agg(F.collect_list("centre").alias("new")), "node", "left").withColumn(
-                "tested", F.coalesce(F.concat("tested", "new"), "tested")
-            )
-            if not quiet:
-                state = state.join(components(links).withColumnsRenamed({"a": "comp", "b": "under"}), "comp", "left").withColumn(
-                    "comp", F.coalesce("under", "comp")
-                )
-            state = staged(state.select("node", "comp", "tested"), "near-state")
-            if not turn:
-                members = staged(_refined(members, state, rows, plan), "near-refined")
-        turn += 1
-    return nodes.join(state.select("node", F.col("comp").alias("b")), "node", "left").select("fp", F.coalesce("b", "node").alias("comp"))
+    comps = texts.select("node", F.col("node").alias("comp"), F.octet_length("text").alias("size"))
+    compared = staged(
+        _first_pairs(members)
+        .join(texts.select("node", F.col("text").alias("text_a")), "node")
+        .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_b")), "centre")
+        .select("node", "centre", "text_a", "text_b")
+        .mapInArrow(_compared(plan), "node bigint, centre bigint, near boolean"),
+        "near-compared",
+    )
+    comps = staged(_joined(comps, compared.filter("near").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "near-comps")
+    dealt = _crossings(members, comps, plan).join(texts, "node").select("key", "kind", "p", "q", "side", "comp", "text")
+    links = staged(
+        dealt.repartition("key", "kind", "p", "q").sortWithinPartitions("key", "kind", "p", "q").mapInArrow(_crossed(plan), "a bigint, b bigint"),
+        "near-links",
+    )
+    comps = staged(_joined(comps, links), "near-comps")
+    return nodes.join(comps.select("node", F.col("comp").alias("b")), "node", "left").select("fp", F.coalesce("b", "node").alias("comp"))
 
 
 def _signed_rows(docs: DataFrame, doc_id: str, text: str, plan: Near) -> DataFrame:
@@ -310,9 +411,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pla
     Equal sequences of lower-case words are one text; so are all texts without
     words, null ones among them.  A text of fewer words than a shingle is one
     shingle.  Ties and repeated rows are members of their class, one kept.  An
-    empty table gives no rows.  Candidates are texts that meet in a band; every
-    bucket is searched, from changing centres, until ``plan.quiet`` rounds find
-    no new link.
+    empty table gives no rows.  Candidates are texts that meet in a band; any two
+    of a bucket are compared unless links already join them.
     """
     rows = _signed_rows(docs, doc_id, text, plan)
     slim = rows.select("row", "fp", _order(F.col("doc_id"), F.col("row")).alias("first"))

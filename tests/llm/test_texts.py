@@ -254,3 +254,45 @@ def test_components(spark):
     got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def crowd(rng, n, passage, own, pairs, same):
+    """n texts with a common passage and own words, then copies of the first
+    ``pairs`` that keep ``same`` of their own words."""
+    common = [f"p{i}" for i in range(passage)]
+    words = [[f"q{rng.randrange(10**9)}" for _ in range(own)] for _ in range(n)]
+    words += [w[:same] + [f"z{rng.randrange(10**9)}" for _ in range(own - same)] for w in words[:pairs]]
+    return [(i, " ".join(common + w)) for i, w in enumerate(words)]
+
+
+def plain_classes(rows, least):
+    """Sizes of the classes of plain Jaccard similarity of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    under = {i: i for i, _ in rows}
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= least * (len(sets[i]) + len(sets[j]) - common):
+            a, b = under[i], under[j]
+            under = {x: min(a, b) if y in (a, b) else y for x, y in under.items()}
+    return under
+
+
+def test_few_pairs_in_a_crowd_are_found(docs):
+    rows = crowd(random.Random(29), 500, 250, 36, 4, 15)  # 0.75 to each other, the pairs 0.83
+    want = plain_classes(rows, 0.8)
+    assert sum(i != c for i, c in want.items()) == 4
+    for plan in (minhash.Near(), minhash.Near(block=40)):
+        assert {r.doc_id: r.class_id for r in minhash.near_groups(docs(rows), plan=plan).collect()} == want
+
+
+def test_upper_bounds():
+    rng = np.random.default_rng(31)
+    sets = [
+        (np.unique(rng.integers(0, 60, n)).astype(np.uint64), np.ones(0)) for n in rng.integers(5, 60, 40)
+    ]
+    for most in (2, 5):  # weights below it
+        weighed = [(h, rng.integers(1, most, len(h))) for h, _ in sets]
+        bounds = minhash.upper_bounds(weighed[:15], weighed[15:])
+        exact = np.array([[minhash.similarity(x, y) for y in weighed[15:]] for x in weighed[:15]])
+        assert (bounds >= exact - 1e-9).all() and bounds.shape == exact.shape
+        assert most > 2 or np.allclose(bounds, exact)
