@@ -62,6 +62,20 @@ SENTENCES = {
     "GnuHope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "GnuCopy": "you should have received a copy of the gnu general public license along with this program",
     "MplForm": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    # as the cutting leaves them of the usual wording and line ends
+    "ApacheCopyAt": "you may obtain a copy of the license at",
+    "ApacheUrl": "http://www.apache.org/licenses/license-2.0",
+    "ApacheUnless": "unless required by applicable law or agreed to in writing software",
+    "ApacheBasis": "under license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "IscGranted": "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above",
+    "IscNotice": "copyright notice and this permission notice appear in all copies",
+    "GnuFree": "this program is free software",
+    "GnuTerms3": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "GnuTerms2": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "GnuUseful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "GnuImplied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "GnuSee": "see the gnu general public license for more details",
+    "MplFormV": "this source code form is subject to the terms of the mozilla public license v",  # only 2.0 says source code form
     "Reserved": "all rights reserved",
     "PublicDomain": "this work is in the public domain",
     "Unencumbered": "this is free and unencumbered software released into the public domain",
@@ -79,6 +93,16 @@ TEXT_RULES = [
     ("GPL-3.0-or-later", ["GnuFree3"]),
     ("GPL-2.0-or-later", ["GnuFree2", "GnuHope", "GnuCopy"]),
     ("GPL-2.0-or-later", ["GnuFree2"]),
+    ("GPL-3.0-or-later", ["GnuFree", "GnuTerms3", "GnuUseful", "GnuImplied", "GnuSee", "GnuCopy"]),
+    ("GPL-3.0-or-later", ["GnuFree", "GnuTerms3"]),
+    ("GPL-2.0-or-later", ["GnuFree", "GnuTerms2", "GnuUseful", "GnuImplied", "GnuSee", "GnuCopy"]),
+    ("GPL-2.0-or-later", ["GnuFree", "GnuTerms2"]),
+    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl", "ApacheUnless", "ApacheBasis", "ApacheSee"]),
+    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
+    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopy", "ApacheUnless", "ApacheBasis", "ApacheSee"]),
+    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl"]),
+    ("ISC", ["IscGranted", "IscNotice"]),
+    ("MPL-2.0", ["MplFormV"]),
     ("MPL-2.0", ["MplForm"]),
     ("Unlicense", ["Unencumbered"]),
     ("Public-Domain", ["PublicDomain"]),
@@ -86,7 +110,7 @@ TEXT_RULES = [
 ]
 
 #: Every known sentence contains one of these, so other texts need no cutting.
-ANCHORS = ["licen[cs]", "permi", "copyright", "redistribut", "warrant", "rights", "domain", "under", "apache"]
+ANCHORS = ["licen[cs]", "permi", "copyright", "redistribut", "warrant", "rights", "domain", "under", "apache", "agreed to in writing", "free software"]
 #: Where a line starts a notice, it starts a sentence.
 NOTICE = r"(licensed|released|distributed|published|available|this (work|file|software|project|program|code|document|text|source)|permission|redistribution|copyright|all rights|the software)\b"
 #: A mark that ends a sentence is followed by white space or the end.
@@ -103,7 +127,7 @@ def sentence_ids() -> dict[str, str]:
     """Normalised sentence to identifier; notices are built from the names."""
     found = {s: i for i, s in SENTENCES.items()}
     for licence, names in NAMES.items():
-        found |= {f"under {name}": f"Under:{licence}" for name in names}
+        found |= {f"under {name}{short}": f"Under:{licence}" for name in names for short in ("", " the license")}
     for kind, version in product(CC_KINDS, CC_VERSIONS):
         for name in (f"cc {kind} {version}", f"cc {kind} {version} license", f"creative commons {kind} {version} license"):
             found[f"under {name}"] = f"Under:CC-{kind.upper()}-{version}"

@@ -181,6 +181,53 @@ def test_licence_sequences(spark):
     assert licences.scan(frame).count() == 11 and licences.scan(frame.limit(0)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GNU = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licences_as_they_are_printed(spark):
+    texts = {
+        1: APACHE, 2: "".join(f"# {x}\n" if x else "#\n" for x in APACHE.splitlines()).replace("#\n", "\n"), 3: GNU,
+        4: GNU.replace("software:", "software;").replace("version 3", "version 2"), 5: ISC, 6: MPL,
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (list(r.licences), r.n_unmatched) for r in licences.scan(frame).collect()}
+    assert got == {
+        1: (["Apache-2.0"], 0), 2: (["Apache-2.0"], 0), 3: (["GPL-3.0-or-later"], 0), 4: (["GPL-2.0-or-later"], 0), 5: (["ISC"], 0), 6: (["MPL-2.0"], 0),
+    }
+
+
 def test_known_sentences_are_normal_and_anchored(spark):
     known = list(licences.sentence_ids())
     assert all(re.search("|".join(licences.ANCHORS), s) for s in known)
