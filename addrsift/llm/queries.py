@@ -276,3 +276,54 @@ def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return score_texts(_table(spark, sf_dir, "documents"), pieces, is_held_out("doc_id"), kind=F.col("lang"))
+
+
+def _manifest_sql(levels: int = 8) -> str:
+    """Level by level up to 8 ** levels rows of a group; crc32 over the ten digits bit by bit."""
+    def enc(c: str) -> str:
+        v = f"CAST({c} AS VARCHAR)"
+        return f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(enc, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def level(nodes: str, k: int) -> str:
+        """The nodes over a level; a group with a single node keeps it."""
+        return f"""SELECT g, no // 8 AS no, any_value(n) > 1 AS hashed, [{'{'}'no': 0, 'd': ''{'}'}] || list({'{'}'no': no, 'd': d{'}'} ORDER BY no) AS run,
+          CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY no)) ELSE any_value(d) END AS d
+        FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {nodes}) GROUP BY g, no // 8"""
+
+    def climb(rows: str, runs: str) -> str:
+        side = "array_to_string(list_transform(list_filter(run[2:], lambda x: x.no {} w.no), lambda x: x.d), '')"
+        left, right = side.format("<"), side.format(">")
+        return f"""SELECT w.* EXCLUDE (no, f, proof), w.no // 8 AS no, CASE WHEN hashed THEN sha256({left} || f || {right}) ELSE f END AS f,
+          CASE WHEN hashed THEN proof || {left} || {right} ELSE proof END AS proof
+        FROM {rows} w JOIN {runs} r ON r.g = w.g AND r.no = w.no // 8"""
+
+    crc = """list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, b: list_reduce(
+      [xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295)"""
+    capitals = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""l AS (
+      SELECT doc_id, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS no, {leaf("text")} AS d,
+        CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(capitals)} ELSE {leaf("text")} END AS f FROM documents
+    ), n0 AS (SELECT g, no, d FROM l), w0 AS (SELECT doc_id, g, no, d AS leaf, f, '' AS proof FROM l)"""]
+    for k in range(levels):
+        steps.append(f"n{k + 1} AS ({level(f'n{k}', k)}), w{k + 1} AS ({climb(f'w{k}', f'n{k + 1}')})")
+    steps.append(f"s AS (SELECT g AS name, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS no FROM n{levels})")
+    steps.append(f"m0 AS (SELECT '' AS g, no, subroot AS d FROM s), x0 AS (SELECT doc_id, leaf, subroot, '' AS g, s.no, f, proof FROM w{levels} w JOIN s ON s.name = w.g)")
+    for k in range(3):
+        steps.append(f"m{k + 1} AS ({level(f'm{k}', k)}), x{k + 1} AS ({climb(f'x{k}', f'm{k + 1}')})")
+    return f"""WITH {", ".join(steps)}
+    SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM x3, (SELECT d FROM m3)"""
+
+
+@query(_manifest_sql())
+def op13_rank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, a third of them altered."""
+    from .manifest import manifest
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return manifest(
+        _table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": F.when(hit, lowered).otherwise(F.col("text"))}
+    ).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
