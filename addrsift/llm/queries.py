@@ -327,3 +327,11 @@ def op13_rank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(
         _table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": F.when(hit, lowered).otherwise(F.col("text"))}
     ).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query()
+def op12_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from .fingerprints import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
