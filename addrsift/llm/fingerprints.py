@@ -140,8 +140,8 @@ def _in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         bounds = rows.agg(F.percentile_approx("id", [k / wanted for k in range(1, wanted)], max(10_000, 10 * wanted)).alias("b")).first()["b"]
     low, high = (_count_below(bounds, F.col("id"), equal) for equal in (False, True))
     rows = rows.withColumn("bucket", low + F.pmod(F.xxhash64("text"), F.greatest(high - low, F.lit(1))).cast("int"))
-    least = rows.groupBy("bucket").agg(F.min("id").alias("id"))
-    firsts = rows.join(least, ["bucket", "id"]).groupBy("bucket").agg(F.min(F.struct("id", "text", "doc_id")).alias("r"))
+    least = rows.groupBy("bucket").agg(F.min("id").alias("id"))  # MOST_BUCKETS rows at most
+    firsts = rows.join(F.broadcast(least), ["bucket", "id"]).groupBy("bucket").agg(F.min(F.struct("id", "text", "doc_id")).alias("r"))
     everywhere = Window.partitionBy()  # over a row per bucket
     before = F.coalesce(F.lag("bucket").over(everywhere.orderBy("bucket")), F.max("bucket").over(everywhere))
     guests = staged(firsts.select(before.alias("bucket"), "r.id", "r.doc_id", "r.text", F.lit(True).alias("guest")), "guests")
