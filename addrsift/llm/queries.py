@@ -205,7 +205,8 @@ def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch(spark, "warc")
     write_captures(captures_of(_table(spark, sf_dir, "pages")), path)
-    records = read_records(spark, path).withColumn("fields", F.when(F.col("type") == "metadata", F.col("block"))).drop("block", "payload")
+    # unpacked and hashed once; assembling reads the slim records several times
+    records = staged(read_records(spark, path).withColumn("fields", F.when(F.col("type") == "metadata", F.col("block"))).drop("block", "payload"), "warc-records")
     pages = staged(
         assemble(records).select(
             "uri", field_of(F.get("metadata", F.lit(0))["fields"], "page_id").cast("bigint").alias("page_id"),
