@@ -8,13 +8,8 @@ leaves goes to the lattice of pieces.  So
 
     P(word) = max(c - d, 0) / N + d V / N * sum over segmentations of prod p(piece)
 
-is a distribution over all words, seen or not.  Texts may come in kinds, such
-as languages, each with counts of its own that are discounted in the same way
-towards P; the probability of a text is then the sum over the kinds of their
-share times the product over its words and its end.  A text's own kind isn't
-used in scoring it.  The weights of the pieces start
-from the ranks in the vocabulary and are fitted to the distinct training words
-by expectation maximisation over the same lattices.
+is a distribution over all words, seen or not; a text's probability is the
+product over its words and its end.
 
 Texts are first cut into blocks of bounded size, each with its own numbering of
 distinct words.  Only (block, word) pairs meet the counts, so a word of every
@@ -45,14 +40,11 @@ _LONG = 64
 
 @dataclass(frozen=True)
 class Learning:
-    """rounds of expectation maximisation; pseudo: count added to every piece;
-    block_bytes: text of a block of documents (a longer text is one block);
-    kinds: the most frequent kinds of text with counts of their own."""
+    """block_bytes: text of a block of documents (a longer text is one block);
+    blocks_a_task: blocks that are scored together."""
 
-    rounds: int = 2
-    pseudo: float = 0.1
     block_bytes: int = 16 << 20
-    kinds: int = 6
+    blocks_a_task: int = 2
 
 
 def _hash(points: list[int]) -> int:
@@ -140,7 +132,7 @@ def points_of(word: bytes) -> list[int]:
     return [_START, *(_OTHER if c == "▁" else ord(c) for c in word.decode("utf-8", "replace"))]
 
 
-def _lattice(points: np.ndarray, pieces: Pieces, logp: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+def _lattice(points: np.ndarray, pieces: Pieces) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """(start, end) to (rows, piece numbers) of the arcs of words of one length;
     -2 - k stands for the k-th character without a piece."""
     n, size = points.shape
@@ -168,117 +160,79 @@ def _weights(found: np.ndarray, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(points: np.ndarray, pieces: Pieces, logp: np.ndarray, expected: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+def forward(points: np.ndarray, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """Log marginal probabilities of words of one length, one per row: the
-    forward recursion.  With ``expected``, the expected counts of the pieces
-    (``weight`` for each word) are added to it by the backward recursion."""
+    forward recursion over all segmentations."""
     n, size = points.shape
-    arcs = _lattice(points, pieces, logp)
-    costs = {k: _weights(found, pieces, logp) for k, (_, found) in arcs.items()}
+    arcs = _lattice(points, pieces)
     alpha = np.full((size + 1, n), -np.inf)
     alpha[0] = 0.0
     for i, j in sorted(arcs, key=lambda k: (k[1], k[0])):
-        rows = arcs[i, j][0]
-        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + costs[i, j])
-    total = alpha[size] + logp[pieces.end]
-    if expected is not None:
-        weight = np.ones(n) if weight is None else weight
-        beta = np.full((size + 1, n), -np.inf)
-        beta[size] = logp[pieces.end]
-        for i, j in sorted(arcs, key=lambda k: (-k[0], k[1])):
-            rows, found = arcs[i, j]
-            beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + costs[i, j])
-        for (i, j), (rows, found) in arcs.items():
-            share = np.exp(alpha[i, rows] + costs[i, j] + beta[j, rows] - total[rows]) * weight[rows]
-            known = found >= 0
-            expected += np.bincount(found[known], share[known], minlength=len(expected))
-            for x in np.unique(found[~known]):
-                for b in pieces.spelt(int(-2 - x)):
-                    expected[b] += share[found == x].sum()
-        expected[pieces.end] += weight.sum()
-    return total
-
-
-def forward_long(points: list[int], pieces: Pieces, logp: np.ndarray, expected: np.ndarray | None = None) -> float:
+        rows, found = arcs[i, j]
+        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + _weights(found, pieces, logp))
+    return alpha[size] + logp[pieces.end]
+
+
+def forward_long(points: list[int], pieces: Pieces, logp: np.ndarray) -> float:
     """As ``forward``, for one word, in time linear in its length."""
-    text = "".join(chr(p) if p != _OTHER else "￿" for p in points)
-    size = len(points)
-    arcs: list[list[tuple[int, list[int], float]]] = [[] for _ in range(size + 1)]
-    for i in range(size):
-        for j in range(i + 1, min(size, i + pieces.longest) + 1):
+    text = "".join(chr(p) if p != _OTHER else "\uffff" for p in points)
+    alpha = [0.0]
+    for j in range(1, len(points) + 1):
+        ways = []
+        for i in range(max(0, j - pieces.longest), j):
             at = pieces.index.get(text[i:j])
             if at is not None:
-                arcs[j].append((i, [at], logp[at]))
-            elif j == i + 1:
-                spelt = pieces.spelt(points[i])
-                arcs[j].append((i, spelt, float(logp[spelt].sum())))
-
-    def summed(values: list[float]) -> float:
-        top = max(values)
-        return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
-
-    alpha = [0.0] * (size + 1)
-    for j in range(1, size + 1):
-        alpha[j] = summed([alpha[i] + w for i, _, w in arcs[j]])
-    end = float(logp[pieces.end])
-    if expected is not None:
-        ahead: list[list[float]] = [[] for _ in range(size + 1)]
-        ahead[size] = [end]
-        for j in range(size, 0, -1):
-            beta = summed(ahead[j]) if ahead[j] else -math.inf
-            for i, ids, w in arcs[j]:
-                ahead[i].append(beta + w)
-                for k in ids:
-                    expected[k] += math.exp(alpha[i] + w + beta - alpha[size] - end)
-        expected[pieces.end] += 1.0
-    return alpha[size] + end
-
-
-def spell(words: list[bytes], pieces: Pieces, logp: np.ndarray, expected: np.ndarray | None = None) -> np.ndarray:
+                ways.append(alpha[i] + float(logp[at]))
+            elif i == j - 1:
+                ways.append(alpha[i] + float(logp[pieces.spelt(points[i])].sum()))
+        top = max(ways)
+        alpha.append(top if top == -math.inf else top + math.log(sum(math.exp(w - top) for w in ways)))
+    return alpha[-1] + float(logp[pieces.end])
+
+
+def spell(words: list[bytes], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """Log marginal probabilities of words, in order."""
     out = np.empty(len(words))
     by_size: dict[int, list[int]] = defaultdict(list)
     spelt = [points_of(w) for w in words]
     for i, p in enumerate(spelt):
         if len(p) > _LONG:
-            out[i] = forward_long(p, pieces, logp, expected)
+            out[i] = forward_long(p, pieces, logp)
         else:
             by_size[len(p)].append(i)
     for rows in by_size.values():
-        out[rows] = forward(np.array([spelt[i] for i in rows], np.int64), pieces, logp, expected)
+        out[rows] = forward(np.array([spelt[i] for i in rows], np.int64), pieces, logp)
     return out
 
 
-def _blocks(block_bytes: int, id_type: pa.DataType, kinds: int):
-    """(doc_id, held_out, kind, text) to one row per block of texts."""
-    names = ["words", *(f"c{k}" for k in range(kinds)), "ids", "held", "n_words", "sizes", "at", "times", "ends"]
+def _blocks(block_bytes: int, id_type: pa.DataType):
+    """(doc_id, held_out, text) to one row per block of texts."""
+    names = ["words", "counts", "ids", "held", "n_words", "sizes", "at", "times", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        ids, held, of, lengths, at, times, size = [], [], [], [], [], [], 0
+        ids, held, lengths, at, times, size = [], [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in at], np.int64)
             flat = np.concatenate([np.zeros(0, np.int32), *at])
             often = np.concatenate([np.zeros(0, np.int32), *times])
-            trains = np.where(held, -1, of)
-            per_word = np.repeat(trains, sizes)
-            counts = [np.bincount(flat[per_word == k], often[per_word == k], minlength=len(known)).astype(np.int64) for k in range(kinds)]
+            trains = ~np.array(held, bool)
+            seen = np.repeat(trains, sizes)
             columns = [
-                pa.array(known, pa.binary()), *map(pa.array, counts), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()),
-                pa.array(sizes), pa.array(flat, pa.int32()), pa.array(often, pa.int32()),
-                pa.array([int((trains == k).sum()) for k in range(kinds)], pa.int64()),
+                pa.array(known, pa.binary()), pa.array(np.bincount(flat[seen], often[seen], minlength=len(known)).astype(np.int64)),
+                pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()),
+                pa.array(sizes), pa.array(flat, pa.int32()), pa.array(often, pa.int32()), pa.array([int(trains.sum())], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            for i, out, kind, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "held_out", "kind")), texts, strict=True):
+            for i, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
                 raw = text.as_py().lower()  # bytes: A-Z only
                 found = Counter(raw.split())
                 ids.append(i)
                 held.append(out)
-                of.append(kind)
                 lengths.append(sum(found.values()))
                 at.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
@@ -286,44 +240,17 @@ def _blocks(block_bytes: int, id_type: pa.DataType, kinds: int):
                 if size >= block_bytes:
                     yield block()
                     known = {}
-                    ids, held, of, lengths, at, times, size = [], [], [], [], [], [], 0
+                    ids, held, lengths, at, times, size = [], [], [], [], [], 0
         if ids:
             yield block()
 
     return run
 
 
-def _summed(batch_words: int, work):
-    """Gathers words of batches to larger lists for ``work``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-        words: list[bytes] = []
-        for batch in batches:
-            words += batch.column("word").to_pylist()
-            if len(words) >= batch_words:
-                yield words
-                words = []
-        if words:
-            yield words
-
-    return lambda batches: work(run(batches))
-
-
-def _expect(shared, logp: np.ndarray):
-    def work(lists: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        expected = np.zeros(len(logp))
-        for words in lists:
-            spell(words, pieces, logp, expected)
-        at = np.flatnonzero(expected)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(at, pa.int32()), "n": pa.array(expected[at])})
-
-    return _summed(40_000, work)
-
-
-def _spelt(shared, logp: np.ndarray):
+def _spelt(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = spell(batch.column("word").to_pylist(), shared.value, logp)
+            total = spell(batch.column("word").to_pylist(), shared.value, shared.value.scores)
             yield batch.append_column("spelling", pa.array(total))
 
     return run
@@ -350,37 +277,19 @@ class Totals:
     def base(self, count):
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
-    def score(self, count, below):
-        """Log10 of the discounted share of the tokens, the rest to ``below``,
-        the natural log of the distribution it is shrunk to."""
+    def score(self, count, spelling):
+        """Log10 of the discounted share of the tokens and, for the rest, of the
+        spelling (natural log): a word's own arc and its lattice of pieces."""
         seen = np.maximum(count - self.discount, 0.0) / max(self.tokens, 1)
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(seen), math.log(self.left) + below) / math.log(10.0)
+            return np.logaddexp(np.log(seen), math.log(self.left) + spelling) / math.log(10.0)
 
 
-def text_scores(totals: Totals, kinds: list[Totals], counts: np.ndarray, spelling: np.ndarray, per_text) -> np.ndarray:
-    """Log10 probabilities of texts.  counts: one row for each kind, one column
-    for each word; per_text sums the values of words over each text."""
-    overall = totals.score(counts.sum(axis=0), spelling)
-    seen = [(k, t) for k, t in enumerate(kinds) if t.ends]
-    if len(seen) < 2:
-        return per_text(overall) + math.log10(totals.end)
-    parts = []
-    for k, t in seen:
-        share = math.log10(t.ends / totals.ends)
-        parts.append(per_text(t.score(counts[k], overall * math.log(10.0))) + math.log10(t.end) + share)
-    top = np.max(parts, axis=0)
-    return top + np.log10(np.sum(10.0 ** (np.array(parts) - top), axis=0))
-
-
-def _scored(totals: Totals, kinds: list[Totals]):
+def _scored(totals: Totals):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         at = words.column("pos").to_numpy()
-        counts, spelling = np.zeros((len(kinds), len(at))), np.zeros(len(at))
-        for k in range(len(kinds)):
-            counts[k, at] = words.column(f"c{k}").to_numpy()
-        spelling[at] = words.column("spelling").to_numpy()
-        count = counts.sum(axis=0)
+        count, spelling = np.zeros(len(at)), np.zeros(len(at))
+        count[at], spelling[at] = words.column("n").to_numpy(), words.column("spelling").to_numpy()
         row = {n: docs.column(n).combine_chunks().flatten() for n in ("ids", "held", "n_words", "sizes", "at", "times")}
         flat, often = row["at"].to_numpy(), row["times"].to_numpy()
         n = len(row["sizes"])
@@ -393,7 +302,7 @@ def _scored(totals: Totals, kinds: list[Totals]):
             "doc_id": row["ids"], "held_out": row["held"], "n_tokens": pa.array(row["n_words"].to_numpy() + 1),
             "n_known": pa.array(np.rint(per_text((count > 0).astype(float))).astype(np.int64) + int(totals.ends > 0)),
             "train_tokens": pa.array(np.full(n, totals.tokens)), "base_score": pa.array(per_text(totals.base(count)) + totals.base(totals.ends)),
-            "score": pa.array(text_scores(totals, kinds, counts, spelling, per_text)),
+            "score": pa.array(per_text(totals.score(count, spelling)) + math.log10(totals.end)),
         })
 
     return run
@@ -405,77 +314,46 @@ def is_held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(of.cast("string")) % 5 == 1, F.lit(False))
 
 
-def _kinds(rows: DataFrame, most: int) -> list[str]:
-    """The most frequent kinds of the training texts, at most so many."""
-    counted = rows.filter("NOT held_out AND kind IS NOT NULL").groupBy("kind").count()
-    return [r.kind for r in counted.orderBy(F.desc("count"), "kind").limit(most).collect()]
-
-
-def _totals(words: DataFrame, count: str, ends: int) -> Totals:
-    c = F.expr(count)
+def _totals(words: DataFrame, ends: int) -> Totals:
     found = words.agg(
-        F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.count_if(c > 0).alias("v"), F.count_if(c == 1).alias("n1"), F.count_if(c == 2).alias("n2")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if("n > 0").alias("v"), F.count_if("n = 1").alias("n1"), F.count_if("n = 2").alias("n2")
     ).first()
     discount = min(max(found.n1 / (found.n1 + 2 * found.n2) if found.n1 else 0.5, 0.05), 0.95)
     return Totals(int(found.n) + ends, int(found.v) + (1 if ends else 0), ends, discount)
 
 
-def score_texts(
-    docs: DataFrame, pieces: Pieces, held_out: Column, doc_id: str = "doc_id", text: str = "text", kind: Column | None = None, plan: Learning = Learning()
-) -> DataFrame:
+def score_texts(docs: DataFrame, pieces: Pieces, held_out: Column, doc_id: str = "doc_id", text: str = "text", plan: Learning = Learning()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 of the probability of the whole text).
 
     Tokens are the words, A-Z lowered, and one end.  Texts that aren't held out
-    are learned from; ``kind`` may name the kind of each (null and rare ones
-    are one kind).  A null or empty text is its end alone; repeated rows count,
-    and are scored, as often as they come; without training texts a word has
-    the probability of its spelling and an end one half.  An empty table gives
-    no rows.
+    are learned from.  A null or empty text is its end alone; a very long one is
+    a block of its own; repeated rows count, and are scored, as often as they
+    come; without training texts a word has the probability of its spelling and
+    an end one half.  An empty table gives no rows, other columns take no part.
     """
-    spark = docs.sparkSession
-    named = F.lit(None).cast("string") if kind is None else kind.cast("string")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), named.alias("kind"), text_of(text).alias("text"))
-    names = [] if kind is None else _kinds(rows, plan.kinds)
-    index = F.lit(len(names))
-    for i, name in enumerate(names):
-        index = F.when(F.col("kind") == name, i).otherwise(index)
-    of_kind = [f"c{k}" for k in range(len(names) + 1)]
-    id_type = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_of(text).alias("text"))
+    id_type = rows.schema["doc_id"].dataType
     schema = (
-        "words array<binary>, " + "".join(f"{c} array<bigint>, " for c in of_kind) + f"ids array<{id_type.simpleString()}>, held array<boolean>, "
+        f"words array<binary>, counts array<bigint>, ids array<{id_type.simpleString()}>, held array<boolean>, "
         "n_words array<bigint>, sizes array<bigint>, at array<int>, times array<int>, ends array<bigint>"
     )
     blocks = staged(
-        rows.withColumn("kind", index).mapInArrow(_blocks(plan.block_bytes, to_arrow_type(id_type), len(of_kind)), schema)
-        .withColumn("block", F.monotonically_increasing_id()),
-        "lattice-blocks",
+        rows.mapInArrow(_blocks(plan.block_bytes, to_arrow_type(id_type)), schema).withColumn("block", F.monotonically_increasing_id()), "lattice-blocks"
     )
-    met = blocks.select("block", F.posexplode(F.arrays_zip("words", *of_kind)).alias("pos", "w")).select(
-        "block", "pos", F.col("w.words").alias("word"), *[F.col(f"w.{c}").alias(c) for c in of_kind]
-    )
-    words = staged(met.groupBy("word").agg(*[F.sum(c).alias(c) for c in of_kind]), "lattice-words")
-    every = " + ".join(of_kind)
-    ends = blocks.agg(*[F.coalesce(F.sum(F.get("ends", F.lit(k))), F.lit(0)).alias(c) for k, c in enumerate(of_kind)]).first()
-    totals = _totals(words, every, sum(ends))
-    kinds = [_totals(words, c, ends[c]) for c in of_kind]
-
+    met = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    counted = met.groupBy("word").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
-    logp = pieces.scores
-    for _ in range(plan.rounds if totals.kinds > 1 else 0):
-        counts = (
-            words.filter(f"{every} > 0").select("word").mapInArrow(_expect(shared, logp), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        ).collect()  # a row for each piece at most
-        weights = np.full(len(logp), plan.pseudo)
-        for r in counts:
-            weights[r.piece] += r.n
-        logp = pieces.normalised(weights)
-    longs = "".join(f"{c} bigint, " for c in of_kind)
-    spelt = staged(words.mapInArrow(_spelt(shared, logp), f"word binary, {longs}spelling double"), "lattice-spelt")
-    told = met.select("block", "pos", "word").join(spelt, "word").select(F.col("block").alias("of"), "pos", *of_kind, "spelling")
-    return blocks.select("block", "ids", "held", "n_words", "sizes", "at", "times").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(
-        _scored(totals, kinds),
+    words = staged(counted.mapInArrow(_spelt(shared), "word binary, n bigint, spelling double"), "lattice-words")
+    told = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.get("ends", F.lit(0))), F.lit(0)).alias("ends")).first()
+    totals = _totals(words, told.ends)
+    tasks = max(1, -(-told.blocks // plan.blocks_a_task))
+    found = met.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("of"), "pos", "n", "spelling").repartition(tasks, "of")
+    texts = blocks.select("block", "ids", "held", "n_words", "sizes", "at", "times").repartition(tasks, "block")
+    return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
+        _scored(totals),
         f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
