@@ -248,7 +248,7 @@ def mine(rows: DataFrame, anchor: Column, label: Column, embedding: Column, vec_
     rows = vectors(rows, anchor, vec_id, label, embedding)
     told = rows.agg(F.min(F.array_min("v")).alias("least"), F.max(F.array_max("v")).alias("greatest"), F.max(F.size("v")).alias("size"), F.count_if("anchor").alias("anchors")).first()
     least, greatest, size = min(0, told.least or 0), max(0, told.greatest or 0), told["size"] or 0
-    if size * max(-least, greatest) ** 2 * max(1, plan.most, plan.least) >= 1 << 63:
+    if size * max(-least, greatest) ** 2 * max(100, plan.most, plan.least) >= 100 << 63:
         raise ValueError(f"inner products of components from {least} to {greatest} don't fit 64 bits")
     packed = Packed(least, greatest, size)
     blocks = max(1, -(-told.anchors // plan.anchors))
