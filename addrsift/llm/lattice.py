@@ -316,7 +316,7 @@ def is_held_out(doc_id: str | Column) -> Column:
 
 def _totals(words: DataFrame, ends: int) -> Totals:
     found = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if("n > 0").alias("v"), F.count_if("n = 1").alias("n1"), F.count_if("n = 2").alias("n2")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.count_if(c).alias(a) for a, c in (("v", F.col("n") > 0), ("n1", F.col("n") == 1), ("n2", F.col("n") == 2))]
     ).first()
     discount = min(max(found.n1 / (found.n1 + 2 * found.n2) if found.n1 else 0.5, 0.05), 0.95)
     return Totals(int(found.n) + ends, int(found.v) + (1 if ends else 0), ends, discount)
