@@ -2,7 +2,7 @@
 
 
 def _load():
-    from . import base, extraction, statistics, enrichment, streams  # noqa: F401
+    from . import base, extraction, statistics, enrichment, files, streams  # noqa: F401
 
     return base
 

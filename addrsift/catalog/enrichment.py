@@ -99,6 +99,26 @@ def geo_lpm(spark, sf_dir):
     return geo.select("ip", "count", "cc", "country", "city", "latitude", "longitude")
 
 
+@query(with_(check_sql("address_pool"), """ips AS (SELECT DISTINCT unnest([ip4, ip6]) AS ip FROM address_pool)""",
+    f"""nets AS (SELECT 'n' || event_id AS cc, net, CAST(split_part(net, '/', 2) AS BIGINT) AS plen, split_part(net, '/', 1) AS base
+  FROM (SELECT event_id, unnest([net4, net6]) AS net FROM address_pool WHERE event_id % 7 = 0))""",
+    f"""keyed AS (SELECT cc, plen, CASE WHEN contains(net, ':') THEN left({v6_hex("replace(base, '::', ':0:0:0')")}, plen // 4)
+  ELSE CAST({v4_number('base')} // (1 << (32 - plen)) AS VARCHAR) END AS key, contains(net, ':') AS six FROM nets)""",
+    f"""asked AS (SELECT ip, plen, CASE WHEN contains(ip, ':') THEN left({v6_hex('ip')}, plen // 4)
+  ELSE CAST({v4_number('ip')} // (1 << (32 - plen)) AS VARCHAR) END AS key, contains(ip, ':') AS six
+  FROM ips, (SELECT DISTINCT plen, contains(net, ':') AS of6 FROM nets) WHERE of6 = contains(ip, ':'))""",
+    """best AS (SELECT ip, min(cc) AS cc, plen FROM asked JOIN keyed USING (plen, key, six) GROUP BY ip, plen
+  QUALIFY row_number() OVER (PARTITION BY ip ORDER BY plen DESC) = 1)""",
+    "SELECT ip, cc FROM ips LEFT JOIN best USING (ip)"))
+def lpm_many_lengths(spark, sf_dir):
+    """Longest prefix among networks of nearly every length, found by halving."""
+    pool = frame(spark, sf_dir, "address_pool")
+    ips = pool.select(F.explode(F.array("ip4", "ip6")).alias("ip")).distinct()
+    named = F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("cc")
+    blocks = pool.where("event_id % 7 = 0").select(named, F.explode(F.array("net4", "net6")).alias("network"))
+    return N.with_networks(ips, blocks, halve=True).select("ip", "cc")
+
+
 @query(with_(PLACED, "SELECT ip, cc, coalesce(asn, 'AS0') AS asn, coalesce(org, country) AS org FROM placed"))
 def asn_override(spark, sf_dir):
     """ASN and organisation of the second table take the place of those of the first."""

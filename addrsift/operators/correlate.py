@@ -1,7 +1,7 @@
 """Relating addresses to a field of delimited logs or to a pattern.
 
-The layout of every file is sniffed from its first lines; the resulting table has
-one row per file and is joined to the lines.
+The layout of every file is sniffed from its first lines, which are read alone; the
+resulting table has one row per file and is joined to the lines.
 """
 
 from __future__ import annotations
@@ -14,24 +14,16 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import field_at, field_map, registered_domain, split_fields
 from ..session import pinned
-from ..sources.lines import split_first, split_table
+from ..sources.lines import PATHS, file_heads, split_first, split_table
 
+#: Every text that holds an address matches this.
+_LIKE_ADDRESS = r"[0-9]\.[0-9]|:[0-9a-fA-F]*:"
 _COUNTS = {d: f"_c{i}" for i, d in enumerate(P.DELIMITERS)}
 
 
 def sample_lines(lines: DataFrame, n: int = P.SAMPLE_LINES) -> DataFrame:
-    """The first ``n`` lines of every file with their rank.
-
-    One pass counts the lines of every file split; then only lines near the start
-    of a file are ranked.  Lines of a column have ids with gaps, so all of them are.
-    """
-    starts = pinned(split_table(lines).where(F.col("first_line") <= n))
-    gaps = F.col("last_id") - F.col("first_id") + 1 != F.col("n_rows")
-    near = lines.join(starts, ["file_path", "block_start"]).where(gaps | (F.col("row_id") - F.col("first_id") < n))
-    first = Window.partitionBy("file_path").orderBy("row_id")
-    return near.select("file_path", "row_id", "value", "last_id", F.row_number().over(first).alias("rank")).where(
-        F.col("rank") <= n
-    )
+    """The first ``n`` lines of every file with their rank; see :func:`file_heads`."""
+    return file_heads(lines, n)
 
 
 def delimiter_scores(sample: DataFrame) -> DataFrame:
@@ -88,6 +80,11 @@ def csv_layouts(lines: DataFrame, header: bool | None = None) -> DataFrame:
     The best score wins, the earlier delimiter on ties.  The first line is a header
     if at least half of its fields (rounded down) start with a letter, unless
     ``header`` says so or not.
+
+    A header is known again by its text (``header_line``), in the first split of
+    its file.  If that text holds an address, lines that repeat it count, so such
+    files are scanned once more to know the header by its place (``header_row``),
+    as it always is for lines of a column.
     """
     best = delimiter_scores(sample_lines(lines)).groupBy("file_path").agg(
         F.max_by(
@@ -101,7 +98,7 @@ def csv_layouts(lines: DataFrame, header: bool | None = None) -> DataFrame:
         F.lit(header) if header is not None else named >= F.floor(F.size("_fields") / 2)
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    return (
+    layouts = (
         best.where(F.col("_b.consistency") >= 0.8)
         .withColumn("_fields", fields)
         .withColumn("has_header", has_header)
@@ -113,30 +110,47 @@ def csv_layouts(lines: DataFrame, header: bool | None = None) -> DataFrame:
             F.when(F.col("has_header"), field_map(F.col("_fields"))).otherwise(empty).alias("fields"),
             F.when(F.col("has_header"), F.col("_b._line.row_id")).alias("header_row"),
             F.when(F.col("has_header"), F.col("_b._line.last_id")).alias("split_end"),
+            F.when(F.col("has_header"), F.col("_b._line.value")).alias("header_line"),
         )
     )
+    if PATHS not in lines.schema["file_path"].metadata:
+        return layouts
+    layouts = pinned(layouts)
+    doubtful = layouts.where(F.col("header_line").rlike(_LIKE_ADDRESS))
+    if doubtful.isEmpty():
+        return layouts
+    first = lines.where("block_start = 0").join(doubtful.select("file_path"), "file_path")
+    places = split_table(first).select("file_path", F.col("first_id").alias("_row"), F.col("last_id").alias("_end"))
+    return (
+        layouts.join(places, "file_path", "left")
+        .withColumns({"header_row": F.coalesce("header_row", "_row"), "split_end": F.coalesce("split_end", "_end")})
+        .select(layouts.columns)
+    )
 
 
 def with_layout(lines: DataFrame, layouts: DataFrame, field: str | None = None) -> DataFrame:
     """Lines without header lines, plus ``delimiter`` and ``field_index`` of ``field``.
 
-    Files without a layout keep all lines and get nulls.  The header is known by
-    its place in the first split of its file; should Spark cut the file otherwise
+    Files without a layout keep all lines and get nulls.  A header that is known by
+    its place (``header_row``) is looked for there; should Spark cut the file otherwise
     than when the layout was taken, that is an error, never a header among the data.
+    Others are known by their text (``header_line``).
     """
     name = "" if field is None else field.strip(" \t\r\n").lower()
-    if "split_end" not in layouts.columns:
-        layouts = layouts.withColumn("split_end", F.lit(None).cast("bigint"))
+    for column, kind in (("header_row", "bigint"), ("split_end", "bigint"), ("header_line", "string")):
+        if column not in layouts.columns:
+            layouts = layouts.withColumn(column, F.lit(None).cast(kind))
     table = pinned(
         layouts.select(
-            "file_path", "delimiter", "header_row", "split_end",
+            "file_path", "delimiter", "header_row", "split_end", "header_line",
             F.try_element_at("fields", F.lit(name)).alias("field_index"),
         )
     )
     joined = lines.join(table, "file_path", "left")
     place = split_first(F.col("row_id"), F.col("header_row"), F.col("split_end"))
-    first = (F.col("block_start") == 0) & F.col("header_row").isNotNull()
-    return joined.where(F.when(first, place != 0).otherwise(F.lit(True))).drop("header_row", "split_end")
+    data = F.when(F.col("header_row").isNotNull(), place != 0).when(F.col("header_line").isNotNull(), F.col("value") != F.col("header_line"))
+    first = (F.col("block_start") == 0) & (F.col("header_row").isNotNull() | F.col("header_line").isNotNull())
+    return joined.where(F.when(first, data).otherwise(F.lit(True))).drop("header_row", "split_end", "header_line")
 
 
 def user_value() -> Column:

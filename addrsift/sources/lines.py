@@ -9,16 +9,21 @@ beyond being stable for one read.
 from __future__ import annotations
 
 import os
+import uuid
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import pinned
+from ..session import checkpoint_dir, pinned
 
 LINE_COLUMNS = ["value", "file_path", "block_start", "row_id"]
+#: Under this key the column file_path says which paths its lines were read from.
+PATHS = "text_paths"
 CODECS = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz"}
 
 
@@ -57,19 +62,19 @@ def read_lines(
 
     gzip and bzip2 are decoded by extension; Spark has no codec for xz.  Missing
     paths are reported and skipped, corrupt files skipped from where they break
-    (Spark logs it on the executor), unless ``skip_failing`` is off.  One gzip file
+    (:func:`file_account` tells which), unless ``skip_failing`` is off.  One gzip file
     is one task; ``partitions`` redistributes the lines after the scan where a few
     such files hold most of the data.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    paths = [os.path.expanduser(p) if p.startswith("~") else p for p in paths]
-    lines = _load(spark, paths, skip_failing, _text_reader)
+    lines, present = load_present(spark, expanded(paths), skip_failing, _text_reader)
     if lines is None:
         return spark.createDataFrame(
             [], "value string, file_path string, block_start bigint, row_id bigint"
         )
+    read_from = {PATHS: present, "skip_failing": skip_failing}
     lines = lines.select(
-        "value", "file_path", "block_start", F.monotonically_increasing_id().alias("row_id")
+        "value", F.col("file_path").alias("file_path", metadata=read_from), "block_start",
+        F.monotonically_increasing_id().alias("row_id"),
     )
     return lines.repartition(partitions) if partitions else lines
 
@@ -90,10 +95,16 @@ def _text_reader(spark: SparkSession, paths: list[str], skip_failing: bool) -> D
     )
 
 
-def _load(spark, paths, skip_failing, reader):
-    """One read of all paths; if a path is missing, leave it out with a warning."""
+def expanded(paths: str | Iterable[str]) -> list[str]:
+    """The paths, ``~`` at their start replaced."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return [os.path.expanduser(p) if p.startswith("~") else p for p in paths]
+
+
+def load_present(spark, paths, skip_failing, reader):
+    """One read of all paths, and the paths; if one is missing, leave it out with a warning."""
     try:
-        return reader(spark, paths, skip_failing)
+        return reader(spark, paths, skip_failing), paths
     except AnalysisException as problem:
         if not skip_failing or "PATH_NOT_FOUND" not in str(problem):
             raise
@@ -106,7 +117,75 @@ def _load(spark, paths, skip_failing, reader):
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
             warnings.warn(f"skipped, no such file: {path}", stacklevel=3)
-    return reader(spark, present, skip_failing) if present else None
+    return (reader(spark, present, skip_failing) if present else None), present
+
+
+def file_heads(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` lines of each file: value, file_path and rank, written once.
+
+    For lines of :func:`read_lines` the files are opened once more, each as one
+    task that ends as soon as it has its lines, so little is read whatever the
+    size of the files.  Lines of a column have no beginning to read: their row ids
+    alone are scanned for the least ones, and then those rows are taken.
+    """
+    found = lines.schema["file_path"].metadata
+    if PATHS in found:
+        return _heads_of_files(lines.sparkSession, found[PATHS], found["skip_failing"], n)
+    least = pinned(
+        lines.select("file_path", "row_id").mapInArrow(_least_ids(n), "file_path string, row_id bigint, last_id bigint")
+    )
+    last = least.groupBy("file_path").agg(F.max("last_id").alias("last_id"))
+    order = Window.partitionBy("file_path").orderBy("row_id")
+    ids = least.select("file_path", "row_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= n)
+    return pinned(
+        lines.join(ids.join(last, "file_path"), ["file_path", "row_id"]).select("value", "file_path", "rank", "row_id", "last_id")
+    )
+
+
+def _heads_of_files(spark: SparkSession, paths: list[str], skip_failing: bool, n: int) -> DataFrame:
+    reading = spark.newSession()  # for its settings, by which a task has one file
+    for key in ("maxPartitionBytes", "openCostInBytes"):
+        reading.conf.set(f"spark.sql.files.{key}", str(1 << 50))
+    lines = _first_of_each_task(_text_reader(reading, paths, skip_failing).select("value", "file_path"), n)
+    rank = (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")
+    path = f"{checkpoint_dir(spark)}/heads-{uuid.uuid4().hex}"
+    lines.withColumn("rank", rank).write.parquet(path)
+    none = F.lit(None).cast("bigint")
+    return spark.read.schema("value string, file_path string, rank int").parquet(path).select("*", none.alias("row_id"), none.alias("last_id"))
+
+
+def _first_of_each_task(df: DataFrame, n: int) -> DataFrame:
+    """The first half of ``limit``: n rows of each task, which then stops reading.
+
+    DataFrames offer only the whole of it.  A Python function can't do this, as
+    Spark feeds it all input even if it has returned.
+    """
+    session = df.sparkSession
+    plan = df.limit(n)._jdf.queryExecution().analyzed().child()
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def _least_ids(n: int):
+    """The n least ids of each file in a partition, each with the largest of the file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, np.ndarray] = {}
+        last: dict[str, int] = {}
+        for batch in batches:
+            files = batch.column("file_path").dictionary_encode()
+            codes = files.indices.to_numpy(zero_copy_only=False)
+            ids = batch.column("row_id").to_numpy()
+            for code, name in enumerate(files.dictionary.to_pylist()):
+                own = ids[codes == code] if len(files.dictionary) > 1 else ids
+                last[name] = max(last.get(name, -(1 << 63)), int(own.max()))
+                own = np.concatenate([least.get(name, own[:0]), own])
+                least[name] = np.partition(own, n)[:n] if len(own) > n else own
+        for name, ids in least.items():
+            yield pa.RecordBatch.from_pydict({
+                "file_path": pa.array([name] * len(ids), pa.string()), "row_id": pa.array(ids, pa.int64()),
+                "last_id": pa.array([last[name]] * len(ids), pa.int64()),
+            })
+
+    return run
 
 
 def split_table(lines: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from addrsift import dig, number_lines, read_lines, time_bounds
+from addrsift.functions.networks import address_key
 from addrsift.operators import correlate as C
 from addrsift.operators import entries as E
 from addrsift.operators import groups as G
@@ -236,6 +237,72 @@ def test_layout_of_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_heads_of_files_are_read_alone(spark, tmp_path):
+    """A layout reads the beginnings of files: bytes read don't grow with them."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        none = jvm.java.util.ArrayList()
+        found = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {found.apply(i).stageId(): found.apply(i).inputBytes() for i in range(found.size())}
+
+    def bytes_read(call):
+        before = stages()
+        call()
+        return sum(n for stage, n in stages().items() if stage not in before)
+
+    big = "Time,User,IP\n" + "".join(f"2024-01-01,u{i % 9},1.1.{i % 200}.7{' ' * 400}\n" for i in range(200_000))
+    (tmp_path / "big.csv").write_text(big)
+    (tmp_path / "short.csv").write_text("a;b\n1;2")
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt") as f:
+        f.write("x|y\r\n1|2\r\n")
+    lines = read_lines(spark, str(tmp_path))
+    heads = []
+    assert bytes_read(lambda: heads.append(C.sample_lines(lines))) < len(big) / 3  # what fits the pipes to the task
+    rows = sorted((r.file_path.rsplit("/", 1)[1], r["rank"], r.value) for r in heads[0].collect())
+    assert rows == [("big.csv", i + 1, x) for i, x in enumerate(big.split("\n")[:20])] + [
+        ("packed.csv.gz", 1, "x|y"), ("packed.csv.gz", 2, "1|2"), ("short.csv", 1, "a;b"), ("short.csv", 2, "1;2")
+    ]
+    laid = C.with_layout(lines, C.csv_layouts(lines), "user")
+    assert laid.count() == 200_000 + 2 and laid.where("value = 'Time,User,IP'").count() == 0
+
+
+def test_repeats_of_a_header_that_holds_an_address_count(spark, tmp_path):
+    rows = ["alice,1.1.1.1", "bob,2.2.2.2", "alice,1.1.1.1", "alice,1.1.1.1"] * 300
+    (tmp_path / "a.csv").write_text("\n".join(rows))
+    (tmp_path / "b.csv").write_text("name,host\n" + "\n".join(rows))
+    lines = read_lines(spark, str(tmp_path))
+    layouts = C.csv_layouts(lines)
+    assert {r.file_path[-5:]: r.header_row is None for r in layouts.collect()} == {"a.csv": False, "b.csv": True}
+    stats = dig(lines, correlate_user="alice").collect()
+    assert {r.ip: r["count"] for r in stats} == {"1.1.1.1": 1799, "2.2.2.2": 600}
+
+
+def test_halving_over_all_lengths(spark):
+    """Networks of every length: the longest one is found in 6 and 8 lookups."""
+    rng = random.Random(4)
+    nets, ips = {}, set()
+    for bits, make in ((32, ipaddress.IPv4Address), (128, ipaddress.IPv6Address)):
+        for plen in range(bits + 1):
+            for _ in range(2):
+                n = rng.getrandbits(bits)
+                nets[str(ipaddress.ip_network((n, plen), strict=False))] = f"c{len(nets)}"
+                ips.add(str(make(n ^ rng.getrandbits(max(1, (bits - plen) // 2)))))
+    ips |= {str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(50)}
+    rows = spark.createDataFrame([(ip,) for ip in ips], "ip string")
+    blocks = spark.createDataFrame(list(nets.items()), "network string, cc string")
+    parsed = [(ipaddress.ip_network(n), cc) for n, cc in nets.items()]
+    want = {ip: max(((n.prefixlen, cc) for n, cc in parsed if ipaddress.ip_address(ip) in n), default=(0, None))[1] for ip in ips}
+    for halve in (False, True):
+        assert {r.ip: r.cc for r in N.with_networks(rows, blocks, halve=halve).collect()} == want
+    lengths = {4: list(range(33)), 6: list(range(129))}
+    keys = rows.select("ip", address_key("ip").alias("_a"))
+    assert N.cut_to_lengths(keys.where("_a.family = 4"), lengths).count() == 33 * keys.where("_a.family = 4").count()
+    assert [len(lengths[f]).bit_length() for f in (4, 6)] == [6, 8]
+    assert all(max(b) < p for k in range(1, 130) for p, b in N._halvings(k).items() if b)
+
+
 @pytest.mark.parametrize("threshold", ["-1", "10m"])
 def test_network_joins_against_brute_force(spark, threshold, request):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
@@ -263,8 +330,9 @@ def test_network_joins_against_brute_force(spark, threshold, request):
         found = [ipaddress.ip_network(n) for n in nets if a in ipaddress.ip_network(n)]
         return nets[str(max(found, key=lambda n: n.prefixlen))] if found else None
 
-    placed = N.with_geo(rows, blocks).collect()
-    assert {r.ip: r.cc for r in placed} == {ip: best(ip) for ip in ips} | {None: None}
+    for halve in (False, True, None):
+        placed = N.with_networks(rows, blocks, halve=halve).collect()
+        assert {r.ip: r.cc for r in placed} == {ip: best(ip) for ip in ips} | {None: None}
     assert sorted((r["count"], str(r.ip)) for r in placed) == [(i, str(ip)) for i, ip in enumerate(listed_ips)]
 
     exact = sorted(ips)[:5]
@@ -272,6 +340,8 @@ def test_network_joins_against_brute_force(spark, threshold, request):
         F.when(F.expr("substr(cc, -1) < '5'"), "PeerDrop").otherwise("PhishTank").alias("list_name"), "network"
     ).union(spark.createDataFrame([("CINSBadRep", ip) for ip in exact], "list_name string, network string"))
     flags = N.with_threat_flags(rows, threats).collect()
+    lists = [{r["count"]: (r.ip, r.lists) for r in N.with_networks(rows, threats=threats, halve=h).collect()} for h in (False, True)]
+    assert lists[0] == lists[1] and len(lists[0]) == len(listed_ips)
 
     def listed(ip, name):
         for t in threat_rows:
