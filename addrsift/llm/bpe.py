@@ -13,6 +13,7 @@ asked for stay in a table.  A word's tokens are the only accepted path over its
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -200,12 +201,52 @@ _SYMBOLS = dict(enumerate(byte_symbols()))
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+# Code points, in hexadecimal, that the library takes otherwise than this
+# module's Unicode tables, as they came with later versions.  Letters and numbers that are
+# other signs to it; marks that it neither orders nor joins; capitals with the distance
+# to their small letters.
+_NO_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
+    "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_NO_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+_NO_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B "
+    "1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE "
+    "1E2EC-1E2EF 1E4EC-1E4EF"
+)
+_CAPITALS = "1C89:1 A7CB:-42343 A7CC:1 A7CE:1 A7D2:1 A7D4:1 A7DA:1 A7DC:-42561 10D50-10D65:32 16EA0-16EB8:27"
+
+
+def _ranges(listed: str) -> list[tuple[int, int]]:
+    ends = [x.split("-") for x in listed.split()]
+    return [(int(x[0], 16), int(x[-1], 16)) for x in ends]
+
+
+def _class(listed: str) -> str:
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in _ranges(listed)) + "]"
+
+
+_LOWER = {c: chr(c + int(by)) for listed, by in (x.split(":") for x in _CAPITALS.split()) for a, b in _ranges(listed) for c in range(a, b + 1)}
+_LETTER, _NUMBER = (rf"[{kind}--{_class(less)}]" for kind, less in ((r"\p{L}", _NO_LETTERS), (r"\p{N}", _NO_NUMBERS)))
+_RARE_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|[^\p{{White_Space}}{_LETTER}{_NUMBER}]+", regex.V1)
+_BARRIERS = re.compile(f"({_class(_NO_MARKS)})")
+_PLANES = " 10000-10FFFF"
+#: Texts without these need none of the lists above.
+_RARE = re.compile(_class(" ".join(r for r in f"{_NO_LETTERS} {_NO_MARKS} {re.sub(':[-0-9]+', '', _CAPITALS)}".split() if _ranges(r)[0][0] < 0x10000) + _PLANES))
+
+
 def split_words(text: str) -> list[str]:
     """Words, single digits and runs of other signs of a text, in composed
     lower-case form; each character is lowered for itself."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return _WORDS.findall(text.lower())
+    if text.isascii():
+        return _WORDS.findall(text.lower())
+    if not _RARE.search(text):
+        return _WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    text = "".join(unicodedata.normalize("NFC", part) for part in _BARRIERS.split(text))
+    return _RARE_WORDS.findall(text.replace("Σ", "σ").translate(_LOWER).lower())
 
 
 def load(path: str) -> Automaton:
@@ -237,8 +278,10 @@ class Codec:
         """doc_id, ids (array<int>) of every whole text, and with ``decode`` the
         text that they decode to, ``decoded``.
 
-        Null and empty texts have no tokens and decode to "".  Repeated rows
-        are encoded each; an empty table gives no rows.
+        Null and empty texts have no tokens and decode to "".  A very long
+        text is encoded whole, within its row.  Of pairs that could merge the
+        first in the file does, from the left.  Repeated rows are encoded each;
+        an empty table gives no rows; other columns take no part.
         """
         shared = self._shared
 
