@@ -1,7 +1,7 @@
 """Licences of a text, from known sentences and rules over their order.
 
-A text is cut into sentences, which are normalised and looked up among known
-licence sentences.  The identifiers found, with a gap mark between those that
+A text is cut into sentences, however its lines are wrapped; they are normalised
+and looked up among known licence sentences.  The identifiers found, with a gap mark between those that
 aren't neighbours, form a sequence; the ordered rules replace what they match
 in it by a licence, longer rules first.  Everything is Spark expressions.
 """
@@ -35,7 +35,7 @@ NAMES = {
     "LGPL-2.1": ["gnu lesser general public license version 2.1", "lgpl version 2.1", "lgplv2.1"],
     "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl version 3", "lgplv3"],
     "MIT": ["mit license", "mit", "expat license"],
-    "MPL-2.0": ["mozilla public license version 2.0", "mozilla public license v. 2.0", "mpl 2.0"],
+    "MPL-2.0": ["mozilla public license version 2.0", "mpl 2.0"],
     "Unlicense": ["unlicense"],
     "WTFPL": ["wtfpl"],
     "Zlib": ["zlib license"],
@@ -57,52 +57,46 @@ SENTENCES = {
     "BsdSource": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BsdBinary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "BsdNames": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "GnuFree3": "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "GnuFree2": "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "GnuHope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "GnuCopy": "you should have received a copy of the gnu general public license along with this program",
-    "MplForm": "this source code form is subject to the terms of the mozilla public license v. 2.0",
-    # as the cutting leaves them of the usual wording and line ends
+    "MplForm": "this source code form is subject to the terms of the mozilla public license version 2.0",
     "ApacheCopyAt": "you may obtain a copy of the license at",
     "ApacheUrl": "http://www.apache.org/licenses/license-2.0",
-    "ApacheUnless": "unless required by applicable law or agreed to in writing software",
-    "ApacheBasis": "under license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "IscGranted": "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above",
-    "IscNotice": "copyright notice and this permission notice appear in all copies",
     "GnuFree": "this program is free software",
-    "GnuTerms3": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "GnuTerms2": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "GnuUseful": "this program is distributed in the hope that it will be useful but without any warranty",
-    "GnuImplied": "without even the implied warranty of merchantability or fitness for a particular purpose",
-    "GnuSee": "see the gnu general public license for more details",
-    "MplFormV": "this source code form is subject to the terms of the mozilla public license v",  # only 2.0 says source code form
+    "GnuFreeLibrary": "this library is free software",
     "Reserved": "all rights reserved",
     "PublicDomain": "this work is in the public domain",
     "Unencumbered": "this is free and unencumbered software released into the public domain",
 }
 
+# Sentences of the GNU headers, after normalisation, and what they name.
+GNU_FREE = "this {thing} is free software {terms}"
+GNU_TERMS = (
+    "you can redistribute it and/or modify it under the terms of the gnu {kind} public license as published by the free software foundation "
+    "either version {version} of the license or at your option any later version"
+)
+GNU_OTHERS = {
+    "GnuHope": "this {thing} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "GnuSee": "see the gnu {kind} public license for more details",
+    "GnuCopy": "you should have received a copy of the gnu {kind} public license along with this {thing}",
+}
+GNU_KINDS = {"GPL": "general", "LGPL": "lesser general", "AGPL": "affero general"}
+GNU_THINGS = ["program", "library"]
+GNU_VERSIONS = {"GPL-2.0": "2", "GPL-3.0": "3", "LGPL-2.1": "2.1", "LGPL-3.0": "3", "AGPL-3.0": "3"}
+
 # Licences by the order of their sentences.
 TEXT_RULES = [
     ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopy"]),
+    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
+    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl"]),
+    ("Apache-2.0", ["ApacheHead", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
+    ("Apache-2.0", ["ApacheHead", "ApacheCopy"]),
+    ("Apache-2.0", ["ApacheHead", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
+    ("Apache-2.0", ["ApacheHead", "ApacheCopyAt", "ApacheUrl"]),
+    ("Apache-2.0", ["ApacheHead"]),
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs"]),
     ("ISC", ["IscGrant"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdNames"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
-    ("GPL-3.0-or-later", ["GnuFree3", "GnuHope", "GnuCopy"]),
-    ("GPL-3.0-or-later", ["GnuFree3"]),
-    ("GPL-2.0-or-later", ["GnuFree2", "GnuHope", "GnuCopy"]),
-    ("GPL-2.0-or-later", ["GnuFree2"]),
-    ("GPL-3.0-or-later", ["GnuFree", "GnuTerms3", "GnuUseful", "GnuImplied", "GnuSee", "GnuCopy"]),
-    ("GPL-3.0-or-later", ["GnuFree", "GnuTerms3"]),
-    ("GPL-2.0-or-later", ["GnuFree", "GnuTerms2", "GnuUseful", "GnuImplied", "GnuSee", "GnuCopy"]),
-    ("GPL-2.0-or-later", ["GnuFree", "GnuTerms2"]),
-    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl", "ApacheUnless", "ApacheBasis", "ApacheSee"]),
-    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
-    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopy", "ApacheUnless", "ApacheBasis", "ApacheSee"]),
-    ("Apache-2.0", ["Under:Apache-2.0", "ApacheComply", "ApacheCopyAt", "ApacheUrl"]),
-    ("ISC", ["IscGranted", "IscNotice"]),
-    ("MPL-2.0", ["MplFormV"]),
     ("MPL-2.0", ["MplForm"]),
     ("Unlicense", ["Unencumbered"]),
     ("Public-Domain", ["PublicDomain"]),
@@ -111,43 +105,75 @@ TEXT_RULES = [
 
 #: Every known sentence contains one of these, so other texts need no cutting.
 ANCHORS = ["licen[cs]", "permi", "copyright", "redistribut", "warrant", "rights", "domain", "under", "apache", "agreed to in writing", "free software"]
-#: Where a line starts a notice, it starts a sentence.
-NOTICE = r"(licensed|released|distributed|published|available|this (work|file|software|project|program|code|document|text|source)|permission|redistribution|copyright|all rights|the software)\b"
-#: A mark that ends a sentence is followed by white space or the end.
-BREAKS = [(r"([.!?;:])[\s\x01]+", "$1\x01"), (r"\n[ \t\r]*\n", "\x01"), (rf"\n[ \t#*/;-]*(?={NOTICE})", "\x01")]
+_THINGS = "(work|file|software|project|program|code|document|text)"
+_VERBS = "(licensed|released|distributed|published|available)"
+_NAMED = "|".join(sorted({names[0].split()[0] for names in NAMES.values()} | {n.split()[0] for names in NAMES.values() for n in names} | {"cc", "creative"}))
+#: What starts a sentence where a line starts, though the line before may have no end.
+#: No known sentence has any of these further inside.
+STARTS = (
+    rf"(this {_THINGS} is |it is |made available )*{_VERBS} under (the terms of )?(the |an |a )?({_NAMED})\b|all rights reserved|permission is hereby granted"
+    "|permission to use, copy|redistribution and use in|this (program|library) is free software|this source code form is|this is free and unencumbered"
+    "|this work is in the public domain|spdx-license-identifier"
+)
+_MARGIN = r"[ \t#*/;%-]*"
+#: Cutting of lower-cased text, pattern and replacement, in this order: blank lines, lines that
+#: start a sentence, list numbers, identifiers alone on their line, colons at line ends; then
+#: lines are joined, and what is left is cut at list numbers and ends of sentences.
+BREAKS = [
+    (rf"\n({_MARGIN}\r?\n)+", "\x01"), (rf"\n{_MARGIN}({STARTS})", "\x01\\1"), (rf"\n{_MARGIN}\(?[0-9]{{1,2}}[.)][ \t]+", "\x01"),
+    (r"spdx-license-identifier:[ \t]*([^ \t\r\n]+)[^\n]*", "\x01spdx-license-identifier \\1\x01"), (r":[ \t\r]*\n", "\x01"),
+    (r"[\s]*\n[ \t]*([#*;%]+|/[/*]+|--+)?[ \t]*", " "), (r"\bv\.[ \t]*([0-9])", "version \\1"),
+    (r"([.;:])[ \t]+(and[ \t]+)?\(?[0-9]{1,2}[.)][ \t]+", "\\1\x01"), (r"([.!?])[\s\x01]+", "\\1\x01"),
+]
 #: Normalisation of a sentence, in lower case.
 STEPS = [
-    (r"[\"'`,()\[\]“”‘’*#]", " "), (r"licence", "license"), (r"\s+", " "), (r"^[ /;-]+|[ .!?;:/-]+$", ""),
+    (r"[\"'`,()\[\]“”‘’*#%]", " "), (r"licence", "license"), (r"[;:](\s|$)", " "), (r"\s+", " "), (r"^[ /;-]+|[ .!?;:/-]+$", ""),
     (r"^(this (work|file|software|project|program|code|document|text) is |it is |(made )?available )*(licensed|released|distributed|published|available) under (the terms of )?(the |an |a )?", "under "),
 ]
 
 
 @cache
 def sentence_ids() -> dict[str, str]:
-    """Normalised sentence to identifier; notices are built from the names."""
+    """Normalised sentence to identifier; notices are built from the names, GNU
+    headers from their parts, identifiers from all licences."""
     found = {s: i for i, s in SENTENCES.items()}
+    kinds = [(kind, version) for kind in CC_KINDS for version in CC_VERSIONS]
     for licence, names in NAMES.items():
         found |= {f"under {name}{short}": f"Under:{licence}" for name in names for short in ("", " the license")}
-    for kind, version in product(CC_KINDS, CC_VERSIONS):
+    for kind, version in kinds:
         for name in (f"cc {kind} {version}", f"cc {kind} {version} license", f"creative commons {kind} {version} license"):
             found[f"under {name}"] = f"Under:CC-{kind.upper()}-{version}"
-    return found
+    for name in NAMES["Apache-2.0"]:  # a semicolon, so one sentence
+        found |= {f"under {name}{short} {SENTENCES['ApacheComply']}": "ApacheHead" for short in ("", " the license")}
+    for licence, version in GNU_VERSIONS.items():
+        terms = GNU_TERMS.format(kind=GNU_KINDS[licence.split("-")[0]], version=version)
+        found |= {terms: f"GnuTerms:{licence}"} | {GNU_FREE.format(thing=t, terms=terms): f"GnuFree:{licence}" for t in GNU_THINGS}
+    for i, sentence in GNU_OTHERS.items():
+        found |= {sentence.format(kind=kind, thing=thing): i for kind, thing in product(GNU_KINDS.values(), GNU_THINGS)}
+    spelt = {x: x for x in [*NAMES, *(f"CC-{k.upper()}-{v}" for k, v in kinds)]}
+    spelt |= {f"{x}-only": x for x in GNU_VERSIONS} | {f"{x}-or-later": f"{x}-or-later" for x in GNU_VERSIONS} | {f"{x}+": f"{x}-or-later" for x in GNU_VERSIONS}
+    return found | {f"spdx-license-identifier {name.lower()}": f"Spdx:{licence}" for name, licence in spelt.items()}
 
 
 @cache
 def rules() -> list[tuple[str, list[str]]]:
     """(licence, sentence identifiers in order), longer ones first."""
-    notices = sorted({i for i in sentence_ids().values() if i.startswith("Under:")})
-    return sorted([*TEXT_RULES, *((i.removeprefix("Under:"), [i]) for i in notices)], key=lambda r: -len(r[1]))
+    gnu = [
+        (f"{licence}-or-later", [*head, *tail])
+        for licence in GNU_VERSIONS
+        for head in ([f"GnuFree:{licence}"], ["GnuFree", f"GnuTerms:{licence}"], ["GnuFreeLibrary", f"GnuTerms:{licence}"])
+        for tail in (["GnuHope", "GnuSee", "GnuCopy"], ["GnuHope", "GnuSee"], ["GnuHope"], [])
+    ]
+    single = sorted({i for i in sentence_ids().values() if i.startswith(("Under:", "Spdx:"))})
+    return sorted([*TEXT_RULES, *gnu, *((i.split(":")[1], [i]) for i in single)], key=lambda r: -len(r[1]))
 
 
 def sentences(text: str | Column) -> Column:
-    """Sentences of a text: after . ! ? ; : and white space, at blank lines, and
-    before lines that start a notice."""
+    """Sentences of a text, lower-cased, those without a letter left out."""
     of = F.lower(text_of(text))
     for pattern, by in BREAKS:
-        of = F.regexp_replace(of, pattern, by)
-    return F.split(of, "\x01")
+        of = F.regexp_replace(of, pattern, by.replace("\\1", "$1"))
+    return F.filter(F.split(of, "\x01"), lambda x: x.rlike("[a-z]"))
 
 
 def normalised(sentence: Column) -> Column:
@@ -169,9 +195,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     ``sentence_ids``: known licence sentences in order; ``licences``: what the
     rules found, in order, each as often as it stands there; ``n_unmatched``:
-    known sentences that no rule took.  Null and empty texts, and texts without
-    any, have empty arrays and 0.  Repeated rows are scanned alike; an empty
-    table gives no rows.
+    known sentences that no rule took.  Of an SPDX expression the first name
+    counts.  Null and empty texts, and texts without
+    any, have empty arrays and 0.  A very long text is cut within its row.  Where
+    two rules match, the one of more sentences wins.  Repeated rows are scanned
+    alike; an empty table gives no rows; other columns take no part.
     """
     of = F.when(F.lower(text_of(text)).rlike("|".join(ANCHORS)), identified(sentences(text))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), of.alias("ids"))

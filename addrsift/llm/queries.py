@@ -232,9 +232,7 @@ def _licence_sql() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     broken = "lower(coalesce(text, ''))"
-    for pattern, by in (
-        (r"([.!?;:])[\s\x01]+", "\\1\x01"), (r"\n[ \t\r]*\n", "\x01"), (rf"\n[ \t#*/;-]*{L.NOTICE}", "\x01\\1"),
-    ):
+    for pattern, by in L.BREAKS:
         broken = f"regexp_replace({broken}, {quoted(pattern)}, {quoted(by)}, 'g')"
     clean = "s"
     for pattern, by in L.STEPS:
@@ -245,12 +243,12 @@ def _licence_sql() -> str:
     known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in L.sentence_ids().items())
     return f"""
     WITH cut AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, string_split({broken}, '\x01') AS parts FROM documents)),
-    found AS (SELECT doc_id, pos, id FROM (SELECT doc_id, pos, {clean} AS s FROM cut) LEFT JOIN (VALUES {known}) k(sentence, id) ON s = sentence),
+    found AS (SELECT doc_id, pos, id FROM (SELECT doc_id, pos, {clean} AS s FROM cut WHERE regexp_matches(s, '[a-z]')) LEFT JOIN (VALUES {known}) k(sentence, id) ON s = sentence),
     seq AS (
       SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY pos), '') AS sentence_ids,
         string_agg(CASE WHEN id IS NULL THEN '_' ELSE '<' || id || '>' END, '' ORDER BY pos) AS told
       FROM found GROUP BY doc_id
-    ), ruled AS (SELECT doc_id, sentence_ids, {told} AS told FROM seq)
+    ), ruled AS (SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce({told}, '') AS told FROM documents LEFT JOIN seq USING (doc_id))
     SELECT doc_id, sentence_ids, array_to_string(regexp_extract_all(told, '\\{{([^}}]*)\\}}', 1), ',') AS licences,
       len(regexp_extract_all(told, '<([^>]*)>', 1)) AS n_unmatched
     FROM ruled
