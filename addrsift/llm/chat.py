@@ -82,7 +82,8 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
     Rows go by turn, nulls first, ties by role and text.  A null role or text
     counts as empty; repeated rows are turns of their own; a null conv_id is a
     conversation like others.  No rows give no conversations.  Other columns
-    are ignored.
+    are ignored.  A conversation is one row whatever its length, as its format
+    is one text: a very long one must fit a row (2 GB).
     """
     t = template
     sorted_turns = rows.groupBy("conv_id").agg(

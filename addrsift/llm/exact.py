@@ -94,7 +94,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", co
     The row with the smallest id stays; null ids come last, and of rows that
     repeat the smallest id exactly one stays.  A null text counts as empty, and
     empty texts are equal.  An empty table gives no rows.  Other columns of the
-    input are ignored.  Texts are read once.
+    input are ignored.  Texts are read once; of very long ones, too, only the
+    digest goes on.
     """
     rows = staged(
         docs.select(F.col(doc_id).alias("doc_id"), text_digest(text).alias("digest"))

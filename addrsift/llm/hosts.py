@@ -122,8 +122,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, page_id:
 
     A null url or one without :// has an empty host and path, and that host is
     judged like others.  Several outcomes of a page all count, null ones not;
-    repeated pages are judged alike, each in a row of its own.  No pages give
-    no rows.
+    repeated pages are judged alike, each in a row of its own.  Of rules of one
+    length the first by its text decides; a very long url is taken whole.
+    No pages give no rows; other columns take no part.
     """
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     votes = outcomes.select("page_id", F.col("good").cast("bigint").alias("good")).dropna().groupBy("page_id").agg(

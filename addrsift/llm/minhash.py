@@ -410,8 +410,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pla
 
     Equal sequences of lower-case words are one text; so are all texts without
     words, null ones among them.  A text of fewer words than a shingle is one
-    shingle.  Ties and repeated rows are members of their class, one kept.  An
-    empty table gives no rows.  Candidates are texts that meet in a band; any two
+    shingle.  Ties and repeated rows are members of their class, one kept.  A
+    very long text has as many registers as others and is compared whole.  An
+    empty table gives no rows; other columns take no part.  Candidates are texts that meet in a band; any two
     of a bucket are compared unless links already join them.
     """
     rows = _signed_rows(docs, doc_id, text, plan)

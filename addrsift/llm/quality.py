@@ -258,7 +258,8 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """Adds to whole rows (``_row``): stats, base_failed, rule, kept.
 
     A null or empty text has no words and fails the base rules.  Repeated rows
-    are judged alike.  An empty table gives no rows.
+    are judged alike.  A very long text is counted whole, in its own row.
+    Where several rules hold the first decides.  An empty table gives no rows.
     """
     return (
         docs.select(F.struct("*").alias("_row"), stats_of(text).alias("stats"))

@@ -51,7 +51,8 @@ def captures_of(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
     Of pages with equal payloads of at least ``least_bytes`` the one with the
     smallest id (nulls last) is the response; rows that repeat it are
-    responses too.
+    responses too.  A null html is empty, a null url left out of the record; a
+    very long page is one record.  An empty table gives no captures.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), text_of(html).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("uri", record_uri(F.col("page_id"), F.col("url"), F.col("digest")))
@@ -181,7 +182,8 @@ def read_records(spark: SparkSession, path: str, version: str = VERSION) -> Data
     ``payload`` is the block, for HTTP without its headers; digests are of what
     was read.  A record shorter than its Content-Length, whether its file was
     cut or a version line in a payload met the end of a split, is an error,
-    never a lost record.  Empty archives give no rows.
+    never a lost record.  Empty archives give no rows.  A record is one row, so
+    a very long one must fit it (2 GB).
     """
     mark = version + _EOL
     pieces = spark.read.option("lineSep", mark).text(path).select("_metadata.file_path", F.col("value").cast("binary").alias("value"))
