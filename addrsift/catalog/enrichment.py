@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import networks as NF
@@ -12,7 +14,9 @@ from ..operators import lookups as L
 from ..operators import networks as N
 from ..operators import stats as S
 from ..plans.dig import dig
+from ..session import checkpoint_dir, pinned
 from ..sinks import views as V
+from ..sinks import writers as W
 from ..sources import lists as T
 from .base import query
 from .checks import ENTRIES, EU, GDPR, HITS, LINES, stats_of, v4_number, v6_hex, with_
@@ -87,7 +91,7 @@ def _stats(spark, sf_dir):
     return S.ip_stats(entries(spark, sf_dir, detect_login=True)).drop("correlation")
 
 
-def _placed(spark, sf_dir):
+def placed_stats(spark, sf_dir):
     return N.with_geo(
         _stats(spark, sf_dir), frame(spark, sf_dir, "geo_blocks"), frame(spark, sf_dir, "asn_blocks")
     )
@@ -142,12 +146,12 @@ def enrich_entries_geo(spark, sf_dir):
 
 @query(with_(STATS, _GEO, f'SELECT ip, "count", cc FROM located WHERE cc IS NULL OR cc NOT IN ({EU})'))
 def filter_outside_eu(spark, sf_dir):
-    return G.outside_eu(_placed(spark, sf_dir)).select("ip", "count", "cc")
+    return G.outside_eu(placed_stats(spark, sf_dir)).select("ip", "count", "cc")
 
 
 @query(with_(STATS, _GEO, f"""SELECT ip, "count", cc FROM located WHERE cc IS NULL OR cc NOT IN ({GDPR})"""))
 def filter_outside_gdpr(spark, sf_dir):
-    return G.outside_gdpr(_placed(spark, sf_dir)).select("ip", "count", "cc")
+    return G.outside_gdpr(placed_stats(spark, sf_dir)).select("ip", "count", "cc")
 
 
 # -- groups --------------------------------------------------------------------------------
@@ -156,37 +160,37 @@ def filter_outside_gdpr(spark, sf_dir):
 @query(with_(PLACED, """SELECT coalesce(asn, 'unknown') AS group_key, CAST(sum("count") AS BIGINT) AS total_count,
   count(*) AS unique_ips, arg_min_null(org, ip) AS org FROM placed GROUP BY 1"""))
 def group_by_asn(spark, sf_dir):
-    return G.key_totals(_placed(spark, sf_dir), "asn")
+    return G.key_totals(placed_stats(spark, sf_dir), "asn")
 
 
 @query(with_(PLACED, """SELECT coalesce(cc, 'unknown') AS group_key, CAST(sum("count") AS BIGINT) AS total_count,
   count(*) AS unique_ips, arg_min_null(country, ip) AS country FROM placed GROUP BY 1"""))
 def group_by_country(spark, sf_dir):
-    return G.key_totals(_placed(spark, sf_dir), "country")
+    return G.key_totals(placed_stats(spark, sf_dir), "country")
 
 
 @query(with_(PLACED, """SELECT coalesce(org, 'unknown') AS group_key, CAST(sum("count") AS BIGINT) AS total_count,
   count(*) AS unique_ips FROM placed GROUP BY 1"""))
 def group_by_org(spark, sf_dir):
-    return G.key_totals(_placed(spark, sf_dir), "org")
+    return G.key_totals(placed_stats(spark, sf_dir), "org")
 
 
 @query(with_(PLACED, """SELECT CASE WHEN asn IS NULL THEN 'Unknown ASN' WHEN org IS NULL THEN asn
   ELSE asn || ' (' || org || ')' END AS group_label, CAST(sum("count") AS BIGINT) AS total_count,
   count(*) AS unique_ips FROM placed GROUP BY 1"""))
 def group_labels_asn(spark, sf_dir):
-    return G.label_totals(_placed(spark, sf_dir), "asn")
+    return G.label_totals(placed_stats(spark, sf_dir), "asn")
 
 
 @query(with_(PLACED, """SELECT CASE WHEN country IS NULL THEN 'Unknown Country' ELSE country || ' (' || cc || ')' END AS group_label,
   CAST(sum("count") AS BIGINT) AS total_count, count(*) AS unique_ips FROM placed GROUP BY 1"""))
 def group_labels_country(spark, sf_dir):
-    return G.label_totals(_placed(spark, sf_dir), "country")
+    return G.label_totals(placed_stats(spark, sf_dir), "country")
 
 
 @query(with_(PLACED, """SELECT coalesce(cc, 'unknown') AS group_key, ip, "count", first_seen, last_seen FROM placed"""))
 def group_members_country(spark, sf_dir):
-    return G.group_members(_placed(spark, sf_dir), "country")
+    return G.group_members(placed_stats(spark, sf_dir), "country")
 
 
 # -- lookups ---------------------------------------------------------------------------------
@@ -281,6 +285,29 @@ def user_lookup(spark, sf_dir):
     )
 
 
+_RUNS = [NOW - 25 * 3600, NOW - 2 * 3600, NOW + 2 * 3600]
+
+
+def _size(ip: str) -> dict[str, int]:
+    if ":" in ip:
+        raise ValueError(f"no size of {ip}")
+    return {"size": len(ip)}
+
+
+@query(with_(ENTRIES, f"""SELECT ip, 'size' AS source, CAST(CASE WHEN bool_or(event_id % 3 = 0) THEN {_RUNS[2]} ELSE {_RUNS[1]} END AS BIGINT) AS cached_at,
+  CAST(length(ip) AS VARCHAR) AS size FROM entries WHERE NOT contains(ip, ':') GROUP BY ip"""))
+def cache_store(spark, sf_dir):
+    """The stored cache after three runs: the second finds the rows of the first fresh, the
+    third finds them expired; addresses that fail are never stored."""
+    store = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    seen = pinned(entries(spark, sf_dir).select("ip", "row_id"))
+    for now, wanted in zip(_RUNS, (seen.where("row_id % 3 = 0"), seen, seen), strict=True):
+        cache = W.read_store(spark, store)
+        found = L.lookup_cached(wanted, cache, "size", _size, now)
+        W.write_store(L.merge_cache(cache, found.select("ip", "source", "cached_at", "data")), store)
+    return W.read_store(spark, store).select("ip", "source", "cached_at", F.col("data")["size"].alias("size"))
+
+
 # -- threat list text ------------------------------------------------------------------------
 
 
@@ -427,12 +454,17 @@ def _present(names: list[str]) -> str:
     return " || ".join(f"coalesce(',\"{n}\":\"' || {v} || '\"', '')" for n, v in names)
 
 
-@query(with_(PLACED, f"""SELECT ip, "count", longitude, latitude, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":['
+_FEATURES = f"""SELECT ip, "count", longitude, latitude, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":['
   || printf('%.6f', longitude) || ',' || printf('%.6f', latitude) || ']}},"properties":{{' || {_CORE_JSON}
   || {_present([(c, c) for c in ('asn', 'cc', 'city', 'country', 'org')])} || '}}}}' AS feature
-FROM placed WHERE latitude IS NOT NULL"""))
+FROM placed WHERE latitude IS NOT NULL"""
+#: Numbered in the order of documents.
+GEO_BODY = f"""SELECT feature AS value, row_number() OVER (ORDER BY "count" DESC, ip) AS rn FROM ({_FEATURES})"""
+
+
+@query(with_(PLACED, _FEATURES))
 def geojson_features(spark, sf_dir):
-    return V.geo_features(_placed(spark, sf_dir))
+    return V.geo_features(placed_stats(spark, sf_dir))
 
 
 _ENRICHMENT = _present([
@@ -441,10 +473,14 @@ _ENRICHMENT = _present([
 ])
 
 
-@query(with_(PLACED, f"""SELECT '{{' || {_CORE_JSON} || CASE WHEN e = '' THEN '' ELSE ',"enrichment":{{' || substr(e, 2) || '}}' END || '}}' AS value
-FROM (SELECT *, {_ENRICHMENT} AS e FROM placed)"""))
+_RECORDS = f"""SELECT '{{' || {_CORE_JSON} || CASE WHEN e = '' THEN '' ELSE ',"enrichment":{{' || substr(e, 2) || '}}' END || '}}' AS value, ip, "count"
+FROM (SELECT *, {_ENRICHMENT} AS e FROM placed)"""
+STATS_BODY = f"""SELECT value, row_number() OVER (ORDER BY "count" DESC, ip) AS rn FROM ({_RECORDS})"""
+
+
+@query(with_(PLACED, f"SELECT value FROM ({_RECORDS})"))
 def stats_json(spark, sf_dir):
-    return V.stats_json(_placed(spark, sf_dir))
+    return V.stats_json(placed_stats(spark, sf_dir))
 
 
 @query(with_(PLACED, """SELECT ip AS "IP Address", coalesce(first_seen, '(no date)') AS "First Seen",
@@ -456,7 +492,7 @@ def stats_json(spark, sf_dir):
   coalesce(printf('%.6f', longitude), '') AS longitude, coalesce(org, '') AS org FROM placed"""))
 def table_view(spark, sf_dir):
     flagged = S.with_attack_flags(
-        _placed(spark, sf_dir), spray=False, scan=False, bruteforce=False, window=86400
+        placed_stats(spark, sf_dir), spray=False, scan=False, bruteforce=False, window=86400
     )
     return V.display_view(S.by_count(flagged), search_hits=True)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import addresses as A
@@ -9,6 +11,7 @@ from ..functions import lines as L
 from ..functions import text as X
 from ..functions import times as T
 from ..operators import entries as E
+from ..session import checkpoint_dir
 from .base import query
 from .checks import ENTRIES, EU, FAILED, GDPR, HITS, LINES, V4, V6, dated, exploded, with_
 from .inputs import CODE_OF_NATION, NOW, check_sql, frame, log_lines, table
@@ -218,6 +221,15 @@ def time_filter_counts(spark, sf_dir):
     return E.time_range_counts(E.extract_entries(log_lines(spark, sf_dir)), START, END)
 
 
+@query(with_(ENTRIES, f"""SELECT count(*) FILTER (WHERE ts <> 0 AND ts BETWEEN {START} AND {END}) AS kept,
+  count(*) FILTER (WHERE ts = 0 OR ts NOT BETWEEN {START} AND {END}) AS excluded, count(*) FILTER (WHERE ts = 0) AS no_timestamp FROM entries"""))
+def time_filter_observed(spark, sf_dir):
+    """What a filter left out, observed while its result was written."""
+    path = f"{checkpoint_dir(spark)}/entries-{uuid.uuid4().hex}"
+    seen = E.write_time_range(E.extract_entries(log_lines(spark, sf_dir)), path, START, END)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept")).select("kept", *[F.lit(n).cast("bigint").alias(c) for c, n in seen.items()])
+
+
 @query(with_(ENTRIES, check_sql("range_rules"), """SELECT name AS range_name, count(*) AS entries,
   count(DISTINCT ip) AS ips, min(ts) AS first_ts FROM entries JOIN range_rules
   ON ts <> 0 AND (start_ts IS NULL OR ts >= start_ts) AND (end_ts IS NULL OR ts <= end_ts) GROUP BY name"""))

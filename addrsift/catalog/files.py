@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import correlate as C
 from ..operators import entries as E
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, pinned
+from ..sinks.writers import write_geojson_document, write_stats_document
 from ..sources.accounts import file_account
 from ..sources.lines import codec_of, number_lines, read_lines
 from .base import query
 from .checks import HITS, LINES, with_
+from .enrichment import GEO_BODY, PLACED, STATS_BODY, placed_stats
 from .inputs import check_sql, csv_lines, frame
 
 #: Lines of one file of the logs.
@@ -138,3 +140,33 @@ def correlate_files(spark, sf_dir):
     lines, value = C.correlate(_tables(spark, sf_dir), user="user")
     entries = E.extract_entries(lines, correlation=value)
     return entries.groupBy(F.regexp_extract("filename", "name=([^/]*)", 1).alias("name"), "ip", "correlation").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a document's parts, numbered through all parts in order of their names."""
+    lines = pinned(number_lines(read_lines(spark, path)).select("file_path", "line_number", "value"))
+    sizes = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))  # a row per part
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sizes.select("file_path", before.alias("before")), "file_path").select(
+        (F.col("before") + F.col("line_number")).alias("line_number"), "value"
+    )
+
+
+def _document_check(head: str, tail: str, body: str) -> str:
+    return f"""SELECT 1 AS line_number, '{head}' AS value UNION ALL
+SELECT rn + 1, CASE WHEN rn > 1 THEN ',' ELSE '' END || value FROM ({body})
+UNION ALL SELECT count(*) + 2, {tail} FROM ({body})"""
+
+
+@query(with_(PLACED, _document_check('{"statistics":[', """'],"total":' || count(*) || '}'""", STATS_BODY)))
+def stats_document(spark, sf_dir):
+    """One JSON document in parts."""
+    write_stats_document(placed_stats(spark, sf_dir), path := _new_folder(spark))
+    return _in_order(spark, path)
+
+
+@query(with_(PLACED, _document_check('{"type":"FeatureCollection","features":[', "']}'", GEO_BODY)))
+def geojson_document(spark, sf_dir):
+    """One FeatureCollection in parts."""
+    write_geojson_document(placed_stats(spark, sf_dir), path := _new_folder(spark))
+    return _in_order(spark, path)

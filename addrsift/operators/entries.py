@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as A
 from ..functions.lines import extract_date, login_status, search_flag
+from ..session import pinned
 
 
 #: Widths of range buckets: from a day to longer than any time stamp.
+#: In place of a width, for entries without a time stamp.
+_UNDATED = -1
 _WIDTHS = 28
 
 
@@ -192,6 +195,16 @@ def filter_time_range(
     return entries.where(keep)
 
 
+def write_time_range(
+    entries: DataFrame, path: str, start: int | None = None, end: int | None = None, include_missing: bool = False,
+) -> dict[str, int]:
+    """Writes the entries in the range as Parquet and returns what was left out, counted
+    by the same single pass."""
+    seen = Observation()
+    filter_time_range(entries, start, end, include_missing, seen).write.parquet(path)
+    return seen.get
+
+
 def time_range_counts(
     entries: DataFrame, start: int | None = None, end: int | None = None,
     include_missing: bool = False,
@@ -209,8 +222,14 @@ def last_entries(entries: DataFrame, n: int) -> DataFrame:
     return entries.orderBy(F.desc("row_id"), F.desc("pos")).limit(n)
 
 
+#: Cut ranges that a join may broadcast, counted each time (about 60 bytes each); copies
+#: that salting makes of more than that, together.
+BROADCAST_RANGES, SALTED_RANGES = 100_000, 20_000_000
+
+
 def match_ranges(
     entries: DataFrame, ranges: DataFrame, include_missing: bool = False, bucket_seconds: int = 86_400,
+    broadcast_rows: int = BROADCAST_RANGES,
 ) -> DataFrame:
     """Entries joined to every named range that holds them.
 
@@ -219,6 +238,10 @@ def match_ranges(
     it, and an entry meets the one bucket of each width that holds it; ends are
     then compared exactly.  So the work is an equi-join, whatever the number of
     ranges and however long they are.
+
+    Entries of one day or open-ended ranges put most entries into one bucket.  The cut
+    ranges are counted: up to ``broadcast_rows`` of them come to the entries, which stay
+    where they are; more are copied for salts over which the entries of a bucket are dealt.
     """
     widths = [bucket_seconds << i for i in range(_WIDTHS)]
     low, high = -(1 << 40), 1 << 40
@@ -234,18 +257,28 @@ def match_ranges(
     )
     first, last = F.floor(F.col("_lo") / F.col("_width")), F.floor(F.col("_hi") / F.col("_width"))
     cut = sized.select("name", "start_ts", "end_ts", "_level", F.explode(F.sequence(first, last)).alias("_bucket"))
-    used = [r["_level"] for r in cut.select("_level").distinct().collect()]  # a row for each width at most
+    if include_missing:  # undated entries belong to all ranges, wrong ones too
+        none = F.lit(None).cast("bigint")
+        every = ranges.select("name", none.alias("start_ts"), none.alias("end_ts"), F.lit(_UNDATED).alias("_level"), F.lit(0).cast("bigint").alias("_bucket"))
+        cut = cut.unionByName(every)
+    cut = pinned(cut)
+    counted = {r["_level"]: r["count"] for r in cut.groupBy("_level").count().collect()}  # a row for each width at most
     names = entries.columns
-    if not used:
+    if not counted:
         return entries.where(F.lit(False)).withColumn("range_name", F.lit(None).cast("string"))
-    met = entries.select(
-        "*", F.inline(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(F.col("ts") / widths[i]).alias("_bucket")) for i in sorted(used)]))
-    ).where("ts <> 0")
-    held = met.join(cut, ["_level", "_bucket"]).where(
-        (F.col("start_ts").isNull() | (F.col("ts") >= F.col("start_ts"))) & (F.col("end_ts").isNull() | (F.col("ts") <= F.col("end_ts")))
-    ).select(*names, F.col("name").alias("range_name"))
+    places = [F.struct(F.lit(i).alias("_level"), F.floor(F.col("ts") / widths[i]).alias("_bucket")) for i in sorted(counted) if i != _UNDATED]
+    missing = F.array(F.struct(F.lit(_UNDATED).alias("_level"), F.lit(0).cast("bigint").alias("_bucket")))
+    own = F.when(F.col("ts") == 0, missing)  # nothing without a range of any width
+    met = entries.select("*", F.inline(own.otherwise(F.array(*places)) if places else own))
     if not include_missing:
-        return held
-    every = ranges.select(F.lit(0).alias("_ts"), F.col("name").alias("range_name"))
-    undated = entries.where("ts = 0").join(every, F.col("ts") == F.col("_ts")).select(*names, "range_name")
-    return held.unionByName(undated)
+        met = met.where("ts <> 0")
+    inside = (F.col("start_ts").isNull() | (F.col("ts") >= F.col("start_ts"))) & (F.col("end_ts").isNull() | (F.col("ts") <= F.col("end_ts")))
+    keys, total = ["_level", "_bucket"], sum(counted.values())
+    if total <= broadcast_rows:
+        cut = F.broadcast(cut)
+    else:
+        shares = max(1, min(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), SALTED_RANGES // total))
+        met = met.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in entries.dtypes if "map<" not in kind]), F.lit(shares)).cast("int"))
+        cut = cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        keys.append("_salt")
+    return met.join(cut, keys).where(inside).select(*names, F.col("name").alias("range_name"))

@@ -16,10 +16,19 @@ from .lines import CODECS, expanded, load_present
 _FAILURES = (PySparkException, Py4JJavaError)
 
 
+def _path(path: Column) -> Column:
+    """Local paths are named in two ways; here they have one slash."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def _listing(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFrame:
-    """Files and sizes; no content is read, as no column of it is asked for."""
+    """Files and sizes; no content is read, as no column of it is asked for.  Scans leave
+    empty files out, so the names are those of the listing, which the driver holds anyway."""
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", skip_failing).load(paths)
-    return files.select("_metadata.file_path", F.col("length").alias("file_bytes"))
+    known = [(n.replace("file:///", "file:/", 1),) for n in sorted(files.inputFiles())]
+    names = spark.createDataFrame(known, "file_path string")
+    sizes = files.select(_path(F.col("_metadata.file_path")).alias("file_path"), F.col("length").alias("file_bytes"))
+    return names.join(sizes.distinct(), "file_path", "left").withColumn("file_bytes", F.coalesce("file_bytes", F.lit(0).cast("bigint")))
 
 
 def _texts(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFrame:
@@ -28,7 +37,7 @@ def _texts(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFra
 
 
 def _counted(spark: SparkSession, paths: list[str], skip_failing: bool) -> DataFrame:
-    rows = _texts(spark, paths, skip_failing).select("_metadata.file_path", F.octet_length("value").alias("n"))
+    rows = _texts(spark, paths, skip_failing).select(_path(F.col("_metadata.file_path")).alias("file_path"), F.octet_length("value").alias("n"))
     counted = rows.groupBy("file_path").agg(F.count("*").alias("n_lines"), (F.sum("n") + F.count("*")).alias("text_bytes"))
     return pinned(counted)
 
@@ -41,8 +50,9 @@ def _reason(problem: Exception) -> str:
 
 
 def _literal(path: str) -> str:
-    """A path as it was found, for reading it again: no glob, no percent signs."""
-    return re.sub(r"([][{}*?\\])", r"\\\1", unquote(path))
+    """A path as it was found, for reading it again: no percent signs, and no glob but
+    one sign for each that would begin one."""
+    return re.sub(r"[][{}*?\\]", "?", unquote(path))
 
 
 def _broken(spark: SparkSession, files: list[str]) -> dict[str, str]:
@@ -97,7 +107,7 @@ def file_account(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     wrong = spark.createDataFrame(list(broken.items()), "file_path string, error string")
     zero = F.lit(0).cast("bigint")
     return (
-        files.distinct().join(counts, "file_path", "left").join(wrong, "file_path", "left")
+        files.join(counts, "file_path", "left").join(wrong, "file_path", "left")
         .select(
             "file_path", codec_column(F.col("file_path")).alias("codec"), "file_bytes", F.coalesce("n_lines", zero).alias("n_lines"),
             F.coalesce("text_bytes", zero).alias("text_bytes"), F.col("error").isNull().alias("complete"), "error",

@@ -389,10 +389,28 @@ def test_ranges_of_any_number(spark):
             (i, n) for i, ts in rows for n, a, b in ranges
             if (missing if ts == 0 else (a is None or ts >= a) and (b is None or ts <= b))
         )
+        salted = E.match_ranges(entries, table, include_missing=missing, broadcast_rows=0)
+        assert sorted((r.id, r.range_name) for r in salted.collect()) == got
+    wrong = spark.createDataFrame([("w", 5, 1)], table.schema)
+    assert {(r.ts, r.range_name) for r in E.match_ranges(entries, wrong, include_missing=True).collect()} <= {(0, "w")}
     many = spark.range(100_000).selectExpr("CAST(id AS STRING) AS name", "id * 10 AS start_ts", "id * 10 + 9 AS end_ts")
     assert E.match_ranges(entries.filter("ts > 0 AND ts < 1000000"), many).count() == sum(0 < t < 1_000_000 for _, t in rows)
 
 
+def test_hot_buckets_are_dealt_over_tasks(spark):
+    """Open-ended rules over entries of one day: as many rows in each task, about."""
+    rules = spark.range(1000).selectExpr("CAST(id AS STRING) AS name", "id AS start_ts", "CAST(null AS BIGINT) AS end_ts")
+    entries = spark.range(2000, numPartitions=8).selectExpr("id AS row_id", "1704067200 + id AS ts")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for most in (100_000, 0):  # broadcast, and dealt over the four shuffle partitions
+            met = E.match_ranges(entries, rules, broadcast_rows=most)
+            sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 2_000_000 and max(sizes) < 3 * sum(sizes) / (8 if most else 4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_time_range_is_pushed_down(spark, log, tmp_path):
     E.extract_entries(log).write.parquet(str(tmp_path / "entries"))
     kept = E.filter_time_range(spark.read.parquet(str(tmp_path / "entries")), 10, 20)
@@ -408,7 +426,12 @@ def test_salted_join_equals_plain(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
 
 
-def test_geo_filters_and_groups(spark, log):
+def joined(folder):
+    """The parts of a document by name, as one."""
+    return json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+
+
+def test_geo_filters_and_groups(spark, log, tmp_path):
     geo = spark.createDataFrame(
         [("198.51.100.0/24", "DE", "Germany", 1.5, 2.5), ("203.0.0.0/16", "no", "Norway", 3.0, 4.0)],
         "network string, cc string, country string, latitude double, longitude double",
@@ -424,7 +447,8 @@ def test_geo_filters_and_groups(spark, log):
     assert [r.group_label for r in labels] == ["Unknown Country", "Norway (no)", "Germany (DE)"]
     nested = G.nested_groups(dig(log, geo_blocks=geo), "country").collect()
     assert [len(r.ips) for r in nested] == [1, 1, 5]
-    document = json.loads(W.geojson_document(dig(log, geo_blocks=geo)))
+    W.write_geojson_document(dig(log, geo_blocks=geo), str(tmp_path / "map"))
+    document = joined(tmp_path / "map")
     assert [f["geometry"]["coordinates"] for f in document["features"]] == [[4.0, 3.0], [2.5, 1.5]]
     assert document["features"][0]["properties"]["cc"] == "no"
     assert "latitude" not in document["features"][0]["properties"]
@@ -433,13 +457,24 @@ def test_geo_filters_and_groups(spark, log):
 
 
 def test_documents_and_writers(spark, lines, log, tmp_path):
-    document = json.loads(W.stats_document(dig(log, detect_login=True)))
+    def document_of(stats, name):
+        W.write_stats_document(stats, str(tmp_path / name))
+        return joined(tmp_path / name)
+
+    document = document_of(dig(log, detect_login=True), "a")
     assert document["total"] == 7 and document["statistics"][0]["ip_address"] == "203.0.113.201"
-    assert json.loads(W.stats_document(dig(lines("nothing here")))) == {"statistics": [], "total": 0}
-    undated = json.loads(W.stats_document(dig(lines("from 8.8.8.8"))))["statistics"][0]
+    assert document_of(dig(lines("nothing here")), "b") == {"statistics": [], "total": 0}
+    undated = document_of(dig(lines("from 8.8.8.8")), "c")["statistics"][0]
     assert undated["first_seen"] is None and undated["first_timestamp"] == 0
-    with pytest.raises(ValueError):
-        W.stats_document(dig(log), max_rows=3)
+    # any size, repeated rows too
+    many = dig(lines("from 8.8.8.8")).drop("ip", "count").crossJoin(spark.range(300_000, numPartitions=9).select(
+        F.concat(F.lit("10.0.0."), (F.col("id") % 250).cast("string")).alias("ip"), (F.col("id") % 7).alias("count")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts
+    document = document_of(many, "d")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert document["total"] == len(document["statistics"]) == 300_000
+    keys = [(-r["count"], r["ip_address"]) for r in document["statistics"]]
+    assert keys == sorted(keys) and len(list((tmp_path / "d").glob("part-*"))) > 1
     W.write_stats_json(dig(log), str(tmp_path / "stats"))
     back = spark.read.json(str(tmp_path / "stats"))
     assert {r.ip_address for r in back.collect()} == set(GOLDEN)
