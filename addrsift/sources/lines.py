@@ -11,10 +11,8 @@ from __future__ import annotations
 import os
 import uuid
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,14 +129,12 @@ def file_heads(lines: DataFrame, n: int) -> DataFrame:
     found = lines.schema["file_path"].metadata
     if PATHS in found:
         return _heads_of_files(lines.sparkSession, found[PATHS], found["skip_failing"], n)
-    least = pinned(
-        lines.select("file_path", "row_id").mapInArrow(_least_ids(n), "file_path string, row_id bigint, last_id bigint")
-    )
-    last = least.groupBy("file_path").agg(F.max("last_id").alias("last_id"))
     order = Window.partitionBy("file_path").orderBy("row_id")
-    ids = least.select("file_path", "row_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= n)
+    ids = lines.select("file_path", "row_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= n)
+    last = lines.groupBy("file_path").agg(F.max("row_id").alias("last_id"))
+    least = pinned(ids.join(last, "file_path"))
     return pinned(
-        lines.join(ids.join(last, "file_path"), ["file_path", "row_id"]).select("value", "file_path", "rank", "row_id", "last_id")
+        lines.join(least, ["file_path", "row_id"]).select("value", "file_path", "rank", "row_id", "last_id")
     )
 
 
@@ -165,29 +161,6 @@ def _first_of_each_task(df: DataFrame, n: int) -> DataFrame:
     return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
 
 
-def _least_ids(n: int):
-    """The n least ids of each file in a partition, each with the largest of the file."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[str, np.ndarray] = {}
-        last: dict[str, int] = {}
-        for batch in batches:
-            files = batch.column("file_path").dictionary_encode()
-            codes = files.indices.to_numpy(zero_copy_only=False)
-            ids = batch.column("row_id").to_numpy()
-            for code, name in enumerate(files.dictionary.to_pylist()):
-                own = ids[codes == code] if len(files.dictionary) > 1 else ids
-                last[name] = max(last.get(name, -(1 << 63)), int(own.max()))
-                own = np.concatenate([least.get(name, own[:0]), own])
-                least[name] = np.partition(own, n)[:n] if len(own) > n else own
-        for name, ids in least.items():
-            yield pa.RecordBatch.from_pydict({
-                "file_path": pa.array([name] * len(ids), pa.string()), "row_id": pa.array(ids, pa.int64()),
-                "last_id": pa.array([last[name]] * len(ids), pa.int64()),
-            })
-
-    return run
-
-
 def split_table(lines: DataFrame) -> DataFrame:
     """One row per file split: first_id, last_id, n_rows, and first_line, the 1-based
     number of its first line in the file."""
