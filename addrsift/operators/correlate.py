@@ -15,6 +15,7 @@ from ..functions import patterns as P
 from ..functions.text import field_at, field_map, registered_domain, split_fields
 from ..session import pinned
 from ..sources.lines import PATHS, file_heads, split_first, split_table
+from .joins import sorted_by_text
 
 #: Every text that holds an address matches this.
 _LIKE_ADDRESS = r"[0-9]\.[0-9]|:[0-9a-fA-F]*:"
@@ -209,11 +210,7 @@ def ip_correlations(entries: DataFrame) -> DataFrame:
 
 def correlation_groups(stats: DataFrame, label: str = "Correlation") -> DataFrame:
     """Addresses and events per correlation value set, largest first."""
-    return (
-        stats.groupBy(F.coalesce("correlation", F.lit("unknown")).alias("correlation_value"))
-        .agg(F.count(F.lit(1)).alias("unique_ips"), F.sum("count").alias("total_events"))
-        .withColumn("label", F.lit(label))
-        .orderBy(F.desc("total_events"), "correlation_value")
-    )
-
-
+    groups = stats.groupBy(F.coalesce("correlation", F.lit("unknown")).alias("correlation_value")).agg(
+        F.count(F.lit(1)).alias("unique_ips"), F.sum("count").alias("total_events")
+    ).withColumn("label", F.lit(label))
+    return sorted_by_text(groups, "correlation_value", F.desc("total_events"))

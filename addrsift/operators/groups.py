@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import is_eu_country, is_gdpr_country
 from ..session import pinned
-from .joins import salted_join
+from .joins import salted_join, sorted_by_text
 
 # group kind -> key column, extra column taken from the smallest address
 _KINDS = {"asn": ("asn", "org"), "country": ("cc", "country"), "org": ("org", None)}
@@ -48,11 +48,10 @@ def group_key(kind: str) -> Column:
 
 def label_totals(stats: DataFrame, kind: str) -> DataFrame:
     """Groups by heading, largest first."""
-    return (
-        stats.groupBy(group_label(kind).alias("group_label"))
-        .agg(F.sum("count").alias("total_count"), F.count(F.lit(1)).alias("unique_ips"))
-        .orderBy(F.desc("total_count"), "group_label")
+    totals = stats.groupBy(group_label(kind).alias("group_label")).agg(
+        F.sum("count").alias("total_count"), F.count(F.lit(1)).alias("unique_ips")
     )
+    return sorted_by_text(totals, "group_label", F.desc("total_count"))
 
 
 def key_totals(stats: DataFrame, kind: str) -> DataFrame:
@@ -69,29 +68,44 @@ def group_members(stats: DataFrame, kind: str, order: bool = True) -> DataFrame:
     members = stats.select(
         group_key(kind).alias("group_key"), "ip", "count", "first_seen", "last_seen"
     )
-    return members.orderBy("group_key", "ip") if order else members
+    if not order:
+        return members
+    if kind == "correlation":
+        return _members_in_place(stats, kind).select(members.columns)
+    return members.orderBy("group_key", "ip")
 
 
 def members_with_totals(stats: DataFrame, kind: str) -> DataFrame:
-    """Members in long form with the totals of their group.
+    """Members in long form with the totals of their group, the largest group first."""
+    return _members_in_place(stats, kind, F.desc("total_events"))
+
+
+def _members_in_place(stats: DataFrame, kind: str, *before: Column) -> DataFrame:
+    """Members and the totals of their group, by ``before``, the key of the group and the address.
 
     The statistics are written once, so that totals and members come from one pass
-    over the logs.  Most addresses may share the group of those without a place, so
-    members of a group are spread over copies of its totals.
+    over the logs.  A key may be the joined values of an address, a text as long as they
+    are many: groups are known by its digest and get their places first, so that neither
+    joins nor sort keys hold the text.  Most addresses may share the group of those
+    without a place, so members of a group are spread over copies of its totals.
     """
-    stats = pinned(stats)
-    totals = stats.groupBy(group_key(kind).alias("group_key")).agg(
-        F.count(F.lit(1)).alias("unique_ips"), F.sum("count").alias("total_events")
+    digest = F.unhex(F.sha2("group_key", 256)).alias("_group")
+    members = pinned(group_members(stats, kind, order=False).select("*", digest))
+    totals = members.groupBy("_group").agg(
+        F.any_value("group_key").alias("_key"), F.count(F.lit(1)).alias("unique_ips"), F.sum("count").alias("total_events")
+    )
+    # ids grow with the partition, and so does the order
+    places = pinned(
+        sorted_by_text(totals, "_key", *before)
+        .select("_group", "unique_ips", "total_events", F.monotonically_increasing_id().alias("_place"))
     )
-    members = group_members(stats, kind, order=False)
-    return salted_join(members, totals, ["group_key"], F.col("ip")).orderBy(F.desc("total_events"), "group_key", "ip")
+    return salted_join(members, places, ["_group"], F.col("ip")).orderBy("_place", "ip").drop("_group", "_place")
 
 
 def nested_groups(stats: DataFrame, kind: str) -> DataFrame:
     """One row per group with its members in an array, for groups known to be small."""
     member = F.struct("ip", "count", "first_seen", "last_seen")
-    return (
-        stats.groupBy(group_key(kind).alias("group_key"))
-        .agg(F.sum("count").alias("total_count"), F.sort_array(F.collect_list(member)).alias("ips"))
-        .orderBy("group_key")
+    groups = stats.groupBy(group_key(kind).alias("group_key")).agg(
+        F.sum("count").alias("total_count"), F.sort_array(F.collect_list(member)).alias("ips")
     )
+    return sorted_by_text(groups, "group_key")

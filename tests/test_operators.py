@@ -426,6 +426,37 @@ def test_salted_join_equals_plain(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
 
 
+def test_groups_by_texts_of_any_length(spark):
+    """Long keys are neither sampled nor broadcast, and their order is that of the whole texts."""
+    start = "a, " * 200
+    sets = [start + "x", start + "b", None, "unknown", "ä", start + "b", "", start]
+    rows = [(f"8.8.{i % 3}.{i}", sets[i % len(sets)], 1 + i % 8 // 6, "t", None) for i in range(64)]
+    stats = spark.createDataFrame(rows, "ip string, correlation string, count bigint, first_seen string, last_seen string")
+    groups = {}
+    for ip, text, n, *_ in rows:
+        groups.setdefault("unknown" if text is None else text, []).append((ip, n))
+    total = {k: sum(n for _, n in v) for k, v in groups.items()}
+    utf8 = str.encode
+    by_size = sorted(groups, key=lambda k: (-total[k], utf8(k)))
+
+    members = G.members_with_totals(stats, "correlation")
+    want = [(k, *m, "t", None, len(groups[k]), total[k]) for k in by_size for m in sorted(groups[k])]
+    assert [tuple(r) for r in members.collect()] == want
+    listed = G.group_members(stats, "correlation")
+    assert [(r.group_key, r.ip) for r in listed.collect()] == [(k, m[0]) for k in sorted(groups, key=utf8) for m in sorted(groups[k])]
+    sized = C.correlation_groups(stats)
+    assert [(r.correlation_value, r.unique_ips, r.total_events) for r in sized.collect()] == [(k, len(groups[k]), total[k]) for k in by_size]
+    nested = G.nested_groups(stats, "correlation")
+    assert [r.group_key for r in nested.collect()] == sorted(groups, key=utf8)
+    labels = G.label_totals(stats.fillna("unknown", "correlation"), "correlation")
+    assert [(r.group_label, r.total_count) for r in labels.collect()] == [(k, total[k]) for k in by_size]
+    for made in (members, listed, sized, nested, labels):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "rangepartitioning(" in x]
+        assert dealt and all("substring(" in x or "_place" in x for x in dealt)
+        assert "BroadcastExchange HashedRelationBroadcastMode(List(group_key" not in plan
+
+
 def joined(folder):
     """The parts of a document by name, as one."""
     return json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
