@@ -13,6 +13,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from addrsift import dig, number_lines, read_lines, time_bounds
+from addrsift.catalog.inputs import frame
 from addrsift.functions.networks import address_key
 from addrsift.operators import correlate as C
 from addrsift.operators import entries as E
@@ -426,6 +427,28 @@ def test_salted_join_equals_plain(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
 
 
+def most_of_a_task(df):
+    """Partitions, and rows of the largest one."""
+    sizes = df.groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)), F.max("count")).first()
+    return sizes[0], sizes[1]
+
+
+def test_captured_answers_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """However the files are cut and whatever the keys are."""
+    monkeypatch.setattr("addrsift.catalog.inputs.ROWS_PER_TASK", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # splits by the dozen, of which one holds the rows
+    try:
+        for i, key in enumerate(("id", "nullif(id, id)", "7L")):
+            spark.range(5000, numPartitions=1).selectExpr(
+                f"{key} AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority",
+                "TIMESTAMP '2024-01-02 03:04:05' AS o_orderdate",
+            ).write.parquet(str(tmp_path / f"{i}/orders.parquet"))
+            n, most = most_of_a_task(frame(spark, str(tmp_path / str(i)), "tls_answers"))
+            assert n == 50 and most < 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_groups_by_texts_of_any_length(spark):
     """Long keys are neither sampled nor broadcast, and their order is that of the whole texts."""
     start = "a, " * 200
