@@ -13,7 +13,8 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from addrsift import dig, number_lines, read_lines, time_bounds
-from addrsift.catalog.inputs import frame
+from addrsift.catalog import statistics
+from addrsift.catalog.inputs import frame, log_lines
 from addrsift.functions.networks import address_key
 from addrsift.operators import correlate as C
 from addrsift.operators import entries as E
@@ -449,6 +450,23 @@ def test_captured_answers_are_dealt_by_rows(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_log_lines_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """However the files are cut, and the statistics stay those of all lines."""
+    monkeypatch.setattr("addrsift.catalog.inputs.ROWS_PER_TASK", 100)
+    spark.range(5000, numPartitions=1).selectExpr(
+        "id AS event_id", "TIMESTAMP '2024-01-02 03:04:05' AS ts", "id % 4 AS user_id", "if(id % 5 = 0, 'error', 'signup') AS event_type",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        n, most = most_of_a_task(log_lines(spark, str(tmp_path)))
+        assert n == 50 and most < 200
+        stats = {r.ip: r for r in statistics.ip_stats_login(spark, str(tmp_path)).collect()}
+        assert len(stats) == 5 and {stats[ip]["count"] for ip in stats if ip != "198.51.100.9"} == {1250}
+        assert sum(r.login_failed_count for r in stats.values()) == 1000 + 5000 // 85 + 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_groups_by_texts_of_any_length(spark):
     """Long keys are neither sampled nor broadcast, and their order is that of the whole texts."""
     start = "a, " * 200
