@@ -13,7 +13,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from addrsift import dig, number_lines, read_lines, time_bounds
-from addrsift.catalog import statistics
+from addrsift.catalog import enrichment, statistics
 from addrsift.catalog.inputs import frame, log_lines
 from addrsift.functions.networks import address_key
 from addrsift.operators import correlate as C
@@ -467,6 +467,25 @@ def test_log_lines_are_dealt_by_rows(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_records_come_from_lines_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Records of all lines, the statistics under them taken by tasks of few rows."""
+    monkeypatch.setattr("addrsift.catalog.inputs.ROWS_PER_TASK", 100)
+    spark.range(3000, numPartitions=1).selectExpr(
+        "nullif(id, id) AS event_id", "TIMESTAMP '2024-01-02 03:04:05' AS ts", "4 * id + 2 AS user_id", "'error' AS event_type",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(25).selectExpr("id AS n_nationkey", "'N' AS n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(3).selectExpr("id AS s_suppkey", "'S' AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert enrichment.stats_json(spark, str(tmp_path)).count() == 0  # a line without an id is null
+    spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("event_id", F.lit(5)).write.parquet(str(tmp_path / "b/events.parquet"))
+    for name in ("nation", "supplier"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(tmp_path / f"b/{name}.parquet"))
+    n, most = most_of_a_task(log_lines(spark, str(tmp_path / "b")))  # one key in all rows
+    assert n == 30 and most < 200
+    records = [json.loads(r.value) for r in enrichment.stats_json(spark, str(tmp_path / "b")).collect()]
+    assert [r["ip_address"] for r in records] == ["8.10.2.9", "8.14.2.9", "8.18.2.9", "8.2.2.9", "8.6.2.9"]
+    assert {(r["count"], r["login_failed_count"], r["enrichment"]["city"]) for r in records} == {(600, 600, f"City {k}") for k in (2, 6, 10, 14, 18)}
+
+
 def test_groups_by_texts_of_any_length(spark):
     """Long keys are neither sampled nor broadcast, and their order is that of the whole texts."""
     start = "a, " * 200
