@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from addrsift import dig, number_lines, read_lines, time_bounds
 from addrsift.catalog import enrichment, statistics
-from addrsift.catalog.inputs import frame, log_lines
+from addrsift.catalog.inputs import frame, log_lines, spread
 from addrsift.functions.networks import address_key
 from addrsift.operators import correlate as C
 from addrsift.operators import entries as E
@@ -486,6 +486,20 @@ def test_records_come_from_lines_dealt_by_rows(spark, tmp_path, monkeypatch):
     assert {(r["count"], r["login_failed_count"], r["enrichment"]["city"]) for r in records} == {(600, 600, f"City {k}") for k in (2, 6, 10, 14, 18)}
 
 
+def test_rows_are_dealt_by_their_places(spark, tmp_path, monkeypatch):
+    """No row group is sorted before it is dealt, and files of one row each are dealt as evenly as one file."""
+    monkeypatch.setattr("addrsift.catalog.inputs.ROWS_PER_TASK", 10)
+    for name, rows, files in (("one", 1000, 1), ("many", 300, 300)):
+        spark.range(rows, numPartitions=files).selectExpr("7L AS event_id", "nullif(id, id) AS user_id").write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+        dealt = spread(table)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" in plan and "RoundRobinPartitioning" not in plan
+        n, most = most_of_a_task(dealt)
+        assert n > rows // 13 and most < 30
+        assert dealt.columns == table.columns and dealt.exceptAll(table).isEmpty() and dealt.count() == rows
+
+
 def test_groups_by_texts_of_any_length(spark):
     """Long keys are neither sampled nor broadcast, and their order is that of the whole texts."""
     start = "a, " * 200
