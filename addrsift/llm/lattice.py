@@ -13,7 +13,9 @@ product over its words and its end.
 
 Texts are first cut into blocks of bounded size, each with its own numbering of
 distinct words.  Only (block, word) pairs meet the counts, so a word of every
-text joins once per block and not once per text.
+text joins once per block and not once per text.  A block is staged as a row
+per word and a row per text, never as one row: values of many MB fill the heap,
+and pages of Parquet as large as they are take as much again beside it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,26 +208,79 @@ def spell(words: list[bytes], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return out
 
 
+def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2 ** 35 in seven bits a byte, the low ones first and all
+    bytes but the last marked; where each begins, and the end of all."""
+    n = 1 + sum((x >> 7 * k > 0).astype(np.int64) for k in range(1, 5))
+    at = np.append(0, np.cumsum(n))
+    raw = np.empty(at[-1], np.uint8)
+    for k in range(5):
+        some = n > k
+        raw[at[:-1][some] + k] = (x[some] >> 7 * k) & 127 | (n[some] > k + 1) << 7
+    return raw, at
+
+
+def _numbers(raw: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(raw < 128)
+    first = np.append(-1, last)[:-1] + 1
+    out = np.zeros(len(last), np.int64)
+    for k in range(5):
+        some = last - first >= k
+        out[some] |= (raw[first[some] + k].astype(np.int64) & 127) << 7 * k
+    return out
+
+
+def _packed(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The first ``sizes[0]`` numbers as one value, the next ones as another."""
+    raw, at = _varints(numbers.astype(np.int64))
+    cuts = at[np.append(0, np.cumsum(sizes))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+
+
+def _steps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sorted numbers of each text as the first one and the differences."""
+    out = np.diff(flat, prepend=flat[:1] * 0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = flat[first]
+    return out
+
+
+def _unstepped(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.append(0, np.cumsum(steps))
+    return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
+
+
 def _blocks(block_bytes: int, id_type: pa.DataType):
-    """(doc_id, held_out, text) to one row per block of texts."""
-    names = ["words", "counts", "ids", "held", "n_words", "sizes", "at", "times", "ends"]
+    """(doc_id, held_out, text) to rows of words, with their counts among the
+    training texts of the block, and rows of texts, whose ``pos`` is null: the
+    sorted places of a text's words and how often each comes, as varints."""
+    types = {
+        "block": pa.int64(), "pos": pa.int32(), "word": pa.binary(), "n": pa.int64(), "doc_id": id_type, "held_out": pa.bool_(),
+        "n_words": pa.int64(), "size": pa.int64(), "at": pa.binary(), "times": pa.binary(),
+    }
+
+    def rows(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()], [*types])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         known: dict[bytes, int] = {}
         ids, held, lengths, at, times, size = [], [], [], [], [], 0
 
-        def block() -> pa.RecordBatch:
+        def block() -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x in at], np.int64)
             flat = np.concatenate([np.zeros(0, np.int32), *at])
             often = np.concatenate([np.zeros(0, np.int32), *times])
-            trains = ~np.array(held, bool)
-            seen = np.repeat(trains, sizes)
-            columns = [
-                pa.array(known, pa.binary()), pa.array(np.bincount(flat[seen], often[seen], minlength=len(known)).astype(np.int64)),
-                pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()),
-                pa.array(sizes), pa.array(flat, pa.int32()), pa.array(often, pa.int32()), pa.array([int(trains.sum())], pa.int64()),
-            ]
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
+            seen = np.repeat(~np.array(held, bool), sizes)
+            counts = np.bincount(flat[seen], often[seen], minlength=len(known)).astype(np.int64)
+            yield rows(
+                n := len(known), block=pa.array(np.full(n, number)), pos=pa.array(np.arange(n, dtype=np.int32)),
+                word=pa.array(known, pa.binary()), n=pa.array(counts),
+            )
+            yield rows(
+                n := len(ids), block=pa.array(np.full(n, number)), doc_id=pa.array(ids, id_type), held_out=pa.array(held, pa.bool_()),
+                n_words=pa.array(lengths, pa.int64()), size=pa.array(sizes), at=_packed(_steps(flat, sizes), sizes), times=_packed(often, sizes),
+            )
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
@@ -234,15 +290,18 @@ def _blocks(block_bytes: int, id_type: pa.DataType):
                 ids.append(i)
                 held.append(out)
                 lengths.append(sum(found.values()))
-                at.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
-                times.append(np.fromiter(found.values(), np.int32, len(found)))
+                places = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found))
+                order = np.argsort(places)
+                at.append(places[order])
+                times.append(np.fromiter(found.values(), np.int32, len(found))[order])
                 size += len(raw) + 200
                 if size >= block_bytes:
-                    yield block()
+                    yield from block()
+                    number += 1
                     known = {}
                     ids, held, lengths, at, times, size = [], [], [], [], [], 0
         if ids:
-            yield block()
+            yield from block()
 
     return run
 
@@ -290,16 +349,17 @@ def _scored(totals: Totals):
         at = words.column("pos").to_numpy()
         count, spelling = np.zeros(len(at)), np.zeros(len(at))
         count[at], spelling[at] = words.column("n").to_numpy(), words.column("spelling").to_numpy()
-        row = {n: docs.column(n).combine_chunks().flatten() for n in ("ids", "held", "n_words", "sizes", "at", "times")}
-        flat, often = row["at"].to_numpy(), row["times"].to_numpy()
-        n = len(row["sizes"])
-        owner = np.repeat(np.arange(n), row["sizes"].to_numpy())
+        sizes = docs.column("size").to_numpy()
+        places, often = (_numbers(np.frombuffer(b"".join(docs.column(c).to_pylist()), np.uint8)) for c in ("at", "times"))
+        flat = _unstepped(places, sizes)
+        n = len(sizes)
+        owner = np.repeat(np.arange(n), sizes)
 
         def per_text(values: np.ndarray) -> np.ndarray:
             return np.bincount(owner, values[flat] * often, minlength=n)
 
         return pa.table({
-            "doc_id": row["ids"], "held_out": row["held"], "n_tokens": pa.array(row["n_words"].to_numpy() + 1),
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(docs.column("n_words").to_numpy() + 1),
             "n_known": pa.array(np.rint(per_text((count > 0).astype(float))).astype(np.int64) + int(totals.ends > 0)),
             "train_tokens": pa.array(np.full(n, totals.tokens)), "base_score": pa.array(per_text(totals.base(count)) + totals.base(totals.ends)),
             "score": pa.array(per_text(totals.score(count, spelling)) + math.log10(totals.end)),
@@ -338,22 +398,20 @@ def score_texts(docs: DataFrame, pieces: Pieces, held_out: Column, doc_id: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_of(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType
     schema = (
-        f"words array<binary>, counts array<bigint>, ids array<{id_type.simpleString()}>, held array<boolean>, "
-        "n_words array<bigint>, sizes array<bigint>, at array<int>, times array<int>, ends array<bigint>"
-    )
-    blocks = staged(
-        rows.mapInArrow(_blocks(plan.block_bytes, to_arrow_type(id_type)), schema).withColumn("block", F.monotonically_increasing_id()), "lattice-blocks"
+        f"block bigint, pos int, word binary, n bigint, doc_id {id_type.simpleString()}, held_out boolean, "
+        "n_words bigint, size bigint, at binary, times binary"
     )
-    met = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    blocks = staged(rows.mapInArrow(_blocks(plan.block_bytes, to_arrow_type(id_type)), schema), "lattice-blocks")
+    met = blocks.filter("pos IS NOT NULL").select("block", "pos", "word", "n")
+    texts = blocks.filter("pos IS NULL").select("block", "doc_id", "held_out", "n_words", "size", "at", "times")
     counted = met.groupBy("word").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary
     words = staged(counted.mapInArrow(_spelt(shared), "word binary, n bigint, spelling double"), "lattice-words")
-    told = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.get("ends", F.lit(0))), F.lit(0)).alias("ends")).first()
+    told = texts.agg(F.count_distinct("block").alias("blocks"), F.count_if(~F.coalesce("held_out", F.lit(False))).alias("ends")).first()
     totals = _totals(words, told.ends)
     tasks = max(1, -(-told.blocks // plan.blocks_a_task))
     found = met.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("of"), "pos", "n", "spelling").repartition(tasks, "of")
-    texts = blocks.select("block", "ids", "held", "n_words", "sizes", "at", "times").repartition(tasks, "block")
-    return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
+    return texts.repartition(tasks, "block").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
         _scored(totals),
         f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )

@@ -418,6 +418,32 @@ def test_scores(spark):
     assert len(untrained) == 5 and all(math.isfinite(r.score) and r.n_known == 0 and r.train_tokens == 0 for r in untrained)
 
 
+def test_blocks_are_staged_as_small_rows(spark, monkeypatch):
+    # one block of 400 texts and 8,000 words: a row for each, none that grows with the block
+    kept, stage = {}, lattice.staged
+    monkeypatch.setattr(lattice, "staged", lambda df, name: kept.setdefault(name, stage(df, name)))
+    frame = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(400)], "doc_id bigint, text string")
+    out = lattice.score_texts(frame.coalesce(1), small_pieces(), lattice.is_held_out("doc_id"))
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == dict.fromkeys(range(400), 21)
+    blocks = kept["lattice-blocks"]
+    assert blocks.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 1000
+    assert blocks.count() == 400 + 8000 and blocks.select("block").distinct().count() == 1
+
+
+def test_packed_places_are_read_back():
+    rng = np.random.default_rng(5)
+    for most in (1, 2, 128, 20_000, 2**31 - 1):
+        for sizes in ([], [0], [0, 0], [3, 0, 1, 400, 0], [1] * 50):
+            flat = np.concatenate([np.zeros(0, np.int32), *(np.sort(rng.integers(0, most, n)).astype(np.int32) for n in sizes)])
+            sizes = np.array(sizes, np.int64)
+            values = lattice._packed(lattice._steps(flat, sizes), sizes).to_pylist()
+            read = lattice._numbers(np.frombuffer(b"".join(values), np.uint8))
+            assert len(values) == len(sizes) and (lattice._unstepped(read, sizes) == flat).all()
+            assert all(len(lattice._numbers(np.frombuffer(v, np.uint8))) == n for v, n in zip(values, sizes, strict=True))
+    edge = np.array([0, 127, 128, 16_383, 16_384, 2**31 - 1])
+    assert lattice._numbers(lattice._varints(edge)[0]).tolist() == edge.tolist()
+
+
 def test_word_probabilities_sum_to_less_than_one():
     pieces = small_pieces()
     totals = lattice.Totals(tokens=20, kinds=4, ends=5, discount=0.6)
